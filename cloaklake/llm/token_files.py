@@ -8,8 +8,8 @@ file is batch r // rows, row r % rows, without a copy; `index-<k>.arrow` holds d
 Documents move once, by range of doc_id; a shard is encoded as a stream, so a task holds one batch of rows of text at a time.
 Files get their final name by a rename, and a repeated task writes the same bytes, so a lost executor does no harm.
 
-The library encodes every distinct piece of text once for each worker: a text falls into pieces at each single blank between
-two characters that aren't white space, where the byte-level pre-tokenizer always splits as well. tests compare with whole texts.
+The library encodes every distinct piece of text once for each worker: a text falls into pieces at places (see cuts) where the
+byte-level pre-tokenizer always splits as well; tests compare with whole texts.
 
 Defined results: a null or empty text has just the end id; equal doc_ids stand side by side, ordered by their text; null
 doc_ids come first; an empty table has no files and an empty result; other columns are ignored.
@@ -18,7 +18,6 @@ doc_ids come first; an empty table has no files and an empty result; other colum
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,15 +29,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, written
+from .wordkernel import CodeTable, mixed, powers, slices, text_bytes
 
-_EDGES = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r" \s|\s ")
+#: Bytes of white space in ASCII, and first bytes of characters beyond it of which some are white space.
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_PERHAPS = np.zeros(256, bool)
+_PERHAPS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != ord("|")]] = True
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of this worker process: what it has encoded serves its later tasks as well."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
 
 
 class PieceEncoder:
-    """Ids of texts by the tokenizers library, each distinct piece encoded once while it is remembered."""
+    """Ids of texts by the tokenizers library, each distinct piece encoded once while it is remembered (by a 64-bit hash)."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -48,51 +64,83 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.table = CodeTable()
         self.flat = np.zeros(1 << 16, self.dtype)
         self.off = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _learn(self, new: list[str]) -> None:
-        if self.used + len(new) > self.most:
-            self._forget()
-        for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
-            ids = np.array(e.ids, dtype=self.dtype)
-            if self.used + 2 > len(self.off):
-                self.off = np.concatenate([self.off, np.zeros_like(self.off)])
-            a = self.off[self.used]
-            while a + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[a : a + len(ids)] = ids
-            self.off[self.used + 1] = a + len(ids)
-            self.used += 1
-        self.code.update(zip(new, range(self.used - len(new), self.used), strict=True))
-
-    def pieces(self, text: str) -> list[str]:
-        """Pieces that the pre-tokenizer never joins; each but the first begins with its blank."""
-        if _ODD.search(text) or text[:1] == " " or text[-1:] == " ":
-            return _EDGES.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if rest else [first]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
-        known = self.code
-        if new := list({p for ps in cut for p in ps if p not in known}):
-            if self.used + len(new) > self.most:
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = [e.ids for e in encoded]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.fromiter((k for x in ids for k in x), self.dtype, int(n.sum()))
+        a, used = self.off[self.used], self.used + len(texts)
+        while used + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros_like(self.off)])
+        while a + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[a : a + len(new)] = new
+        self.off[self.used + 1 : used + 1] = a + np.cumsum(n)
+        self.table.add(keys, np.arange(self.used, used))
+        self.used = used
+
+    @staticmethod
+    def cuts(d: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """Where pieces start. All are places where the pre-tokenizer ends a token whatever stands around:
+        each text's start; before a single blank, and before and after a single line break, between characters that surely aren't
+        white space; between an ASCII or Latin-1 letter and ASCII punctuation (but | of the end-of-text mark)."""
+        cut = np.zeros(len(d) + 1, bool)
+        if len(d) > 2:
+            edge = np.zeros(len(d) + 1, bool)
+            edge[o] = True
+            space = _SPACE[d]
+            at = np.flatnonzero(space[1:-1] & ~space[:-2] & ~space[2:]) + 1
+            before = d[at - 1]
+            safe = ~(edge[at] | edge[at + 1] | _PERHAPS[d[at + 1]])
+            safe &= ~((before >= 0x80) & (_PERHAPS[d[np.maximum(at - 2, 0)]] | _PERHAPS[d[np.maximum(at - 3, 0)]]))
+            at = at[safe]
+            blank, line = at[d[at] == 0x20], at[d[at] == 0x0A]
+            cut[blank] = cut[line] = cut[line + 1] = True
+            mark = np.flatnonzero(_PUNCTUATION[d[1:]]) + 1
+            b = d[mark - 1]
+            latin = (b >= 0x80) & (d[np.maximum(mark - 2, 0)] == 0xC3) & (b != 0x97) & (b != 0xB7)
+            cut[mark[_LETTER[b] | latin]] = True
+        cut[o[:-1]] = True
+        return np.flatnonzero(cut[:-1]) if len(d) else np.zeros(0, np.int64)
+
+    def __call__(self, data: np.ndarray, off: np.ndarray, i: int, j: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts i..j, each followed by end_id, and how many each text has with it."""
+        o, d = off[i : j + 1] - off[i], data[off[i] : off[j]]
+        start = self.cuts(d, o)
+        n = np.diff(start, append=len(d))
+        if len(start):
+            place = np.arange(len(d)) - np.repeat(start, n)
+            key = np.add.reduceat((d.astype(np.uint64) + np.uint64(1)) * powers(int(n.max()))[place], start)
+            key = mixed(key + n.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        else:
+            key = np.zeros(0, np.uint64)
+        code = self.table.find(key)
+        if (code < 0).any():
+            if self.used > self.most:
                 self._forget()
-                new = list({p for ps in cut for p in ps})
-            self._learn(new)
-        out = []
-        get = self.code.__getitem__
-        for ps in cut:
-            codes = np.fromiter(map(get, ps), np.int64, len(ps))
-            a = self.off[codes]
-            n = self.off[codes + 1] - a
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - ends + n, n)
-            out.append(self.flat[at])
-        return out
+                code[:] = -1
+            new = np.flatnonzero(code < 0)
+            own, first = np.unique(key[new], return_index=True)
+            raw = d.tobytes()
+            self._learn(own, [raw[start[k] : start[k] + n[k]].decode() for k in new[first].tolist()])
+            code[new] = self.table.find(key[new])
+        a = self.off[code]
+        size = self.off[code + 1] - a
+        row_end = np.searchsorted(start, o[1:])  # an end id goes before the piece that begins the next text
+        total = np.concatenate([[0], np.cumsum(size)])
+        n_tokens = np.diff(total[row_end], prepend=0) + 1
+        out = np.empty(total[-1] + (j - i), self.dtype)
+        ends = np.cumsum(n_tokens) - 1
+        keep = np.ones(len(out), bool)
+        keep[ends] = False
+        out[ends] = end_id
+        out[keep] = self.flat[np.arange(total[-1]) + np.repeat(a - total[:-1], size)]
+        return out, n_tokens
 
 
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -136,7 +184,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = 20
             if not batch.num_rows:
                 continue
             if encode is None:
-                encode = PieceEncoder(tokenizer)
+                encode = encoder(tokenizer)
                 schema = sequence_schema(seq_len, encode.dtype)
                 fs, root = opened(folder)
                 fs.create_dir(root, recursive=True)
@@ -148,15 +196,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = 20
                     cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), seq_len) for x in (ids, mask)]
                     tokens.write(pa.RecordBatch.from_arrays(cols, schema=schema))
 
-            ids_column, texts = batch.column("doc_id"), batch.column("text").fill_null("")
-            for a in range(0, batch.num_rows, 256):
-                part = encode(texts.slice(a, 256).to_pylist())
-                n = np.array([len(p) + 1 for p in part], np.int64)
+            data, off = text_bytes(batch.column("text"))
+            for i, j in slices(off):
+                ids, n = encode(data, off, i, j, end_id)
                 starts = base + np.cumsum(n) - n
-                index.write(pa.RecordBatch.from_arrays([ids_column.slice(a, 256), pa.array(starts), pa.array(n)], schema=INDEX))
-                base, docs_seen = base + int(n.sum()), docs_seen + len(part)
-                end = np.full(1, end_id, rest.dtype)
-                rest = np.concatenate([rest, *[x for p in part for x in (p, end)]])
+                index.write(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(starts), pa.array(n)], schema=INDEX))
+                base, docs_seen = base + len(ids), docs_seen + j - i
+                rest = np.concatenate([rest, ids])
                 whole = seq_len * rows
                 done = len(rest) // whole * whole
                 for b in range(0, done, whole):

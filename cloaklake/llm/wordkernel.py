@@ -149,3 +149,48 @@ def shingles(words: Words, row: int, k: int = 5) -> np.ndarray:
     if len(h) < k:
         out += np.full(1, len(h), U64) * _LEN
     return np.unique(mixed(out))
+
+
+class CodeTable:
+    """Codes of 64-bit keys: open addressing over arrays, looked up and filled many keys at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.codes, self.used = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int64), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The code of each key, -1 where it has none."""
+        keys = np.maximum(keys, U64(1))
+        mask = U64(len(self.keys) - 1)
+        slot = (keys & mask).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where(got == keys, self.codes[slot], -1)
+        left = np.flatnonzero((got != keys) & (got != 0))
+        while len(left):
+            at = (slot[left] + 1) & int(mask)
+            slot[left] = at
+            got = self.keys[at]
+            hit = got == keys[left]
+            out[left[hit]] = self.codes[at[hit]]
+            left = left[~hit & (got != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        """Distinct keys that have no code yet."""
+        keys = np.maximum(keys, U64(1))
+        if 2 * (self.used + len(keys)) > len(self.keys):
+            old = self.keys != 0
+            k, c = self.keys[old], self.codes[old]
+            self.__init__(int(4 * (self.used + len(keys))).bit_length())
+            self._put(k, c)
+        self._put(keys, codes)
+
+    def _put(self, keys: np.ndarray, codes: np.ndarray) -> None:
+        self.used += len(keys)
+        mask = len(self.keys) - 1
+        slot = (keys & U64(mask)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            own = self.keys[slot] == keys
+            self.codes[slot[own]] = codes[own]
+            keys, codes, slot = keys[~own], codes[~own], (slot[~own] + 1) & mask

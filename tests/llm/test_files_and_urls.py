@@ -18,13 +18,22 @@ def documents(spark, texts=TEXTS):
     return spark.createDataFrame(rows, "doc_id long, text string, start string, tokens int")
 
 
+HARD = ["a,b—,é,×, é.\nB.\n\nC it's a're?", "a\tb,\tc ,d", "\n", "\na\n", " \na ", "don't’s", "<|endoftext|> a <|endoftext|>x", "à la é è\u0085 f", "\u2003em\u3000,b\u00a0c"]
+
+
 def test_pieces_encode_as_whole_texts():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
+    from cloaklake.llm.wordkernel import text_bytes
+
     whole, own = Tokenizer.from_file(TOKENIZER), token_files.PieceEncoder(TOKENIZER, most=50)
-    texts = [t or "" for t in TEXTS] + ["many words " + " ".join(f"w{i}" for i in range(200))]
-    for got, e in zip(own(texts), whole.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert got.tolist() == e.ids
+    texts = [t or "" for t in TEXTS] + HARD + ["many words " + " ".join(f"w{i}" for i in range(200))]
+    data, off = text_bytes(pa.array(texts))
+    for i, j in [(0, 5), (5, len(texts)), (0, len(texts))]:
+        ids, n = own(data, off, i, j, 0)
+        for got, e in zip(np.split(ids, np.cumsum(n)[:-1]), whole.encode_batch(texts[i:j], add_special_tokens=False), strict=True):
+            assert got.tolist() == [*e.ids, 0]
 
 
 def test_token_files_round_trip(spark):
