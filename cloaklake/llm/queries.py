@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, licence_scan, lm_score, token_files, url_filter, warc_store
+from . import language_id, licence_scan, lm_score, ngram_join, token_files, url_filter, warc_store
 from .shared import fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.page_records(spark, path)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_score": op4_lm_score,
     "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
+    "op8_ngram_join": op8_ngram_join,
     "op9_token_files": op9_token_files,
 }
 
