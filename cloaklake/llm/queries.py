@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, licence_scan, lm_score, ngram_join, token_files, url_filter, warc_store
+from . import ann_search, language_id, licence_scan, lm_score, ngram_join, token_files, url_filter, warc_store
 from .shared import fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_language_id": op2_language_id,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op8_ngram_join": op8_ngram_join,
     "op9_token_files": op9_token_files,
+    "op10_ann_search": op10_ann_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
