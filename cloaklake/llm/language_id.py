@@ -160,8 +160,8 @@ def _counted(n: int, keys: np.ndarray, lang: int, count: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(np.full(k, n, np.int32)), pa.array(keys.view(np.int64)), pa.array(np.full(k, lang, np.int32)), pa.array(count)], ["n", "key", "lang", "count"])
 
 
-def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, the columns of carry, lang_pred and score of every row of docs."""
+def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = None, keep_text: bool = False) -> DataFrame:
+    """doc_id, the columns of carry, the text if it is to be kept, lang_pred and score of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = carry or {}
 
@@ -185,11 +185,11 @@ def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = No
                         if plain[r] or has_letter(w.low[o[r] : o[r + 1]].tobytes()):
                             best[i + r] = s[r].argmax()
                             score[i + r] = p[r].max() / p[r].sum()
-            out = [c for name, c in zip(batch.schema.names, batch.columns, strict=True) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*out, pa.array([names[b] for b in best.tolist()]), pa.array(score)], names=[*[x for x in batch.schema.names if x != "text"], "lang_pred", "score"])
+            keep = [x for x in batch.schema.names if keep_text or x != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in keep], pa.array([names[b] for b in best.tolist()]), pa.array(score)], names=[*keep, "lang_pred", "score"])
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in carry.items()], "text")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.drop("text").schema.fields)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in (df if keep_text else df.drop("text")).schema.fields)
     return df.mapInArrow(predict, f"{fields}lang_pred string, score double")
 
 

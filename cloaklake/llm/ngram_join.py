@@ -295,3 +295,18 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: i
     out = rows.join(of_set, "set", "left")
     own = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def without_copies(docs: DataFrame, broadcast_ids: int = 2_000_000, **options: object) -> DataFrame:
+    """One document of each component, that of the smallest doc_id; of rows that repeat a doc_id with one text, one.
+
+    Rows without doc_id stay unless a document with one is in their component.
+    """
+    found = written(ngram_join(docs, **options), "copies")
+    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone")).distinct()
+    number = gone.count()
+    gone = F.broadcast(gone) if number <= broadcast_ids else gone
+    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    kept = found.filter("doc_id = component_id and n_shingles > 0")
+    again = kept.groupBy("doc_id").count().filter("count > 1").take(1)
+    return out.dropDuplicates(["doc_id", "text"]) if again else out

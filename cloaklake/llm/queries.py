@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, language_id, licence_scan, lm_score, ngram_join, token_files, url_filter, warc_store
+from . import ann_search, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, token_files, url_filter, warc_store
 from .shared import fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -36,6 +40,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.page_records(spark, path)
 
 
+def op7_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return pfair_mix.mix(docs)
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -51,9 +60,11 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_language_id": op2_language_id,
+    "op3_decontaminate": op3_decontaminate,
     "op4_lm_score": op4_lm_score,
     "op5_url_filter": op5_url_filter,
     "op6_warc": op6_warc,
+    "op7_pfair_mix": op7_pfair_mix,
     "op8_ngram_join": op8_ngram_join,
     "op9_token_files": op9_token_files,
     "op10_ann_search": op10_ann_search,

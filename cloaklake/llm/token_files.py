@@ -218,7 +218,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = 20
             yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [docs_seen], "tokens": [base]})
 
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in order if c not in ("doc_id", "text")])
-    placed = df.repartitionByRange(shards, *order[:1]).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(shards, *[c for c in order if c != "text"]).sortWithinPartitions(*order)
     return written(placed.select("doc_id", "text").mapInArrow(shard, "shard long, docs long, tokens long"), "token-shards")
 
 
