@@ -5,8 +5,8 @@ is cut into parts of nearly equal size with few edges between them, and a softma
 its neighbours are. Every vector of the table is indexed, in its most probable part; a query goes to its several most probable
 parts, as many as reach `target` recall on the sample. There, inner products in double precision rank all vectors.
 
-Parts grow in number with the table, about `part_rows` rows each. A part that is larger all the same is searched in blocks, each
-with all of its queries, so no task holds more than a block of both; nothing is left out. Of equal vectors only the 21 with the
+Parts grow in number with the square root of the table's rows. A part is searched in blocks, each with all of its queries in
+blocks as well, so no task holds more than a block of both; nothing is left out. Of equal vectors only the 21 with the
 smallest ids can be among the 20 nearest of any query, so only those are indexed (the rest is an exact reduction: a hot vector
 costs no more than others), and equal queries are searched once.
 
@@ -153,7 +153,7 @@ def best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: in
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, part_rows: int = 2000, max_sample: int = 65_536, target: float = 0.97, block_rows: int = 4096, parts: int | None = None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, max_sample: int = 65_536, target: float = 0.95, block_rows: int = 4096, parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = written(usable(vectors), "vectors")
@@ -161,7 +161,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, part_rows: int = 2
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    parts = parts or max(1, min(total // part_rows, max_sample // 64))
+    parts = parts or max(1, min(int(total**0.5) // 16, max_sample // 64))
     size = min(max_sample, max(8192, 64 * parts), total)
     share = rows.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, 1.05 * size / total) * (1 << 30)))
     sample = matrix(share.select("v").limit(size).toArrow().column("v")) if parts > 1 else np.zeros((0, 1))
