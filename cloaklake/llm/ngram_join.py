@@ -6,9 +6,11 @@
    same links, a good one (rare shingles first) gives few candidates.
 2. Prefixes. Sets with Jaccard similarity of at least t share a shingle among the first n - ceil(t n) + 1 of each. Sets with the
    same prefix and the same size are one group, which stands for its members in all postings (shingle, group, size, place).
-3. Picks. In each run of equal shingles every group picks one earlier group of fitting size at random (by a hash). Picks are as
-   many as postings at most, and join the many copies of one text without writing out their pairs.
-4. Verification counts the shingles that two sets share, exactly. Verified links give components.
+3. Picks. In each run of equal shingles every group picks up to `picks` earlier groups of fitting size at random (by a hash).
+   Picks are so many times the postings at most, and join the many copies of one text without writing out their pairs.
+4. Verification. Each set has a parity bitmap: two sets differ in at least as many shingles as their bitmaps in bits, which
+   rules out most pairs that don't link, and no other; of the rest, the shingles that two sets share are counted, exactly.
+   Verified links give components.
 5. The rest. What picks haven't joined is compared in full: in each run that still holds several components, every group outside
    the run's largest component meets all groups of other components that pass the size and the positional filter; so does
    every pair of members of a group that are in different components. These pairs are verified as well. A link is lost only if
@@ -111,8 +113,24 @@ def sketch_levels(parts: DataFrame, cells: int) -> np.ndarray:
     return out
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bit b is the parity of the number of shingles that fall on b; some 2 to 4 bits for each shingle, within bounds."""
+    bits = 1 << min(13, max(9, (2 * len(s) - 1).bit_length()))
+    at = ((s >> U64(32)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parity bitmaps differ, the longer one folded to the shorter one's size."""
+    x, y = sorted((x, y), key=len)
+    y = np.frombuffer(y, np.uint8)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ y).sum())
+
+
 def prefixes(docs: DataFrame, k: int, levels: np.ndarray, num: int, den: int) -> DataFrame:
-    """set, its group (a hash of prefix and size), size n and prefix tokens, rare ones first; a set once for each task."""
+    """set, its group (a hash of prefix and size), size n, parity bitmap, prefix tokens, rare ones first; a set once for each task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,16 +144,16 @@ def prefixes(docs: DataFrame, k: int, levels: np.ndarray, num: int, den: int) ->
                 seen.add(d)
                 n = len(s)
                 p = s[np.argsort(level[(s & mask).astype(np.int64)], kind="stable")[: n - (num * n + den - 1) // den + 1]]
-                rows.append((d, xxhash.xxh3_64_intdigest(p.tobytes(), seed=n), n, p))
+                rows.append((d, xxhash.xxh3_64_intdigest(p.tobytes(), seed=n), n, parity(s), p))
             if rows:
-                d, g, n, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(n, pa.int64()), _lists(list(p))], ["set", "g", "n", "tokens"])
+                d, g, n, b, p = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(b, pa.binary()), _lists(list(p))], ["set", "g", "n", "bits", "tokens"])
 
-    return docs.select("text").mapInArrow(work, "set binary, g long, n long, tokens array<long>")
+    return docs.select("text").mapInArrow(work, "set binary, g long, n long, bits binary, tokens array<long>")
 
 
-def runs(postings: DataFrame, num: int, den: int, context: int = 4096) -> DataFrame:
-    """Postings whose token at least one other group has, each with a pick: an earlier group of its run that may be similar.
+def runs(postings: DataFrame, num: int, den: int, picks: int = 8, context: int = 4096) -> DataFrame:
+    """Postings whose token at least one other group has, each with picks: earlier groups of its run that may be similar.
 
     postings: token, g, n, p, sorted by (token, n, g) within partitions that hold tokens whole.
     """
@@ -159,10 +177,15 @@ def runs(postings: DataFrame, num: int, den: int, context: int = 4096) -> DataFr
             order = run * (1 << 40) + n
             first = np.searchsorted(order, run * (1 << 40) + (num * n + den - 1) // den)
             width = np.arange(len(token)) - first
-            pick = first + (mixed((token ^ g).view(U64)) % np.maximum(width, 1).astype(U64)).astype(np.int64)
-            near = (width > 0) & ((num + den) * np.minimum(n - p, n[pick] - p[pick]) >= num * (n + n[pick]))
-            got = pa.array(g[pick][own], mask=~near[own])
-            return pa.RecordBatch.from_arrays([*[pa.array(x[own]) for x in (token, g, n, p)], got], [*columns, "pick"])
+            first, width = first[own], width[own]
+            mine = [x[own] for x in (token, g, n, p)]
+            seed = mixed((mine[0] ^ mine[1]).view(U64))[:, None] + np.arange(picks, dtype=U64)[None, :]
+            pick = first[:, None] + (mixed(seed) % np.maximum(width, 1).astype(U64)[:, None]).astype(np.int64)
+            pick[:, 1:][np.arange(1, picks)[None, :] >= width[:, None]] = 0  # no more picks than there are groups
+            near = (np.arange(picks)[None, :] < width[:, None]) & ((num + den) * np.minimum((mine[2] - mine[3])[:, None], (n - p)[pick]) >= num * (mine[2][:, None] + n[pick]))
+            off = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
+            got = pa.ListArray.from_arrays(pa.array(off), pa.array(g[pick[near]]))
+            return pa.RecordBatch.from_arrays([*map(pa.array, mine), got], [*columns, "picks"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -182,7 +205,7 @@ def runs(postings: DataFrame, num: int, den: int, context: int = 4096) -> DataFr
         if len(held[0]):
             yield out(held, before if len(before[0]) and before[0][-1] == held[0][0] else none)
 
-    return postings.mapInArrow(work, "token long, g long, n long, p long, pick long")
+    return postings.mapInArrow(work, "token long, g long, n long, p long, picks array<long>")
 
 
 def bloom(keys: DataFrame, count: int, most: int = 1 << 26) -> np.ndarray:
@@ -195,10 +218,26 @@ def bloom(keys: DataFrame, count: int, most: int = 1 << 26) -> np.ndarray:
     return out
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def may_link(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs (a, b), a < b, that the parity bitmaps in signs (set, n, bits) don't rule out; a written table."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            apart = np.fromiter(map(parity_distance, x, y), np.int64, len(x))
+            keep = (num + den) * apart <= (den - num) * (batch.column("m").to_numpy() + batch.column("n").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = pairs.join(signs.select(F.col("set").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a")
+    pairs = pairs.join(signs.select(F.col("set").alias("b"), "n", F.col("bits").alias("y")), "b")
+    return written(pairs.select("a", "b", "m", "n", "x", "y").mapInArrow(work, "a binary, b binary"), "pairs")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of sets with shared * den >= num * union; a written table."""
     spark = docs.sparkSession
-    pairs = written(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = may_link(pairs, signs, num, den)
     keys = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     count = keys.count()
     if not count:
@@ -248,7 +287,7 @@ def rest_of_pairs(picked: DataFrame, members: DataFrame, label: DataFrame, num:
     lone = F.min("label") == F.max("label")
     groups = placed.groupBy("g").agg(F.when(lone, F.min("label")).alias("comp"))
     own = F.coalesce("comp", F.encode(F.concat(F.lit("mixed group "), F.col("g").cast("string")), "utf-8"))
-    entries = written(picked.drop("pick").join(groups, "g").withColumn("comp", own), "entries")
+    entries = written(picked.drop("picks").join(groups, "g").withColumn("comp", own), "entries")
     sizes = entries.groupBy("token", "comp").agg(F.count("*").alias("c"))
     several = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
     several = written(several, "several")
@@ -267,7 +306,7 @@ def rest_of_pairs(picked: DataFrame, members: DataFrame, label: DataFrame, num:
     return across.unionByName(within.filter("a < b and la <> lb").select("a", "b"))
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22, picks: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; texts link at Jaccard similarity num / den or more."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -277,14 +316,15 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: i
     rows = found.filter(F.col("chunk").isNull()).select("doc_id", "n", "set")
     prefix = written(prefixes(docs, k, levels, num, den), "prefixes")
     members = prefix.select("set", "g").distinct()
+    signs = prefix.select("set", "n", "bits").distinct()
     first = members.groupBy("g").agg(F.min("set").alias("rep"))
     postings = prefix.select("g", "n", F.posexplode("tokens").alias("p", "token")).select("token", "g", "n", F.col("p").cast("long").alias("p"))
-    picked = written(runs(postings.repartition(parts, "token").sortWithinPartitions("token", "n", "g"), num, den), "runs")
-    chosen = picked.filter(F.col("pick").isNotNull()).select("g", "pick").distinct()
+    picked = written(runs(postings.repartition(parts, "token").sortWithinPartitions("token", "n", "g"), num, den, picks), "runs")
+    chosen = picked.select("g", F.explode("picks").alias("pick")).distinct()
     pairs = chosen.join(first.select("g", F.col("rep").alias("a")), "g").join(first.select(F.col("g").alias("pick"), F.col("rep").alias("b")), "pick").select("a", "b")
     inside = members.join(first, "g").filter("set <> rep").select(F.col("set").alias("a"), F.col("rep").alias("b"))
-    links = verified(docs, pairs.unionByName(inside), k, num, den)
-    more = verified(docs, rest_of_pairs(picked, members, components(links), num, den), k, num, den)
+    links = verified(docs, pairs.unionByName(inside), signs, k, num, den)
+    more = verified(docs, rest_of_pairs(picked, members, components(links), num, den), signs, k, num, den)
     label = components(links.unionByName(more))
     dropped(prefix)
     dropped(picked)

@@ -80,13 +80,14 @@ def test_runs_keep_every_shared_posting(spark, context):
     rows = sorted({(t, rnd.randrange(5, 9), g, 0) for t in range(30) for g in rnd.sample(range(50), rnd.choice([1, 1, 2, 12]))})
     rows += rows[::5]
     df = spark.createDataFrame([(t, g, n, p) for t, n, g, p in sorted(rows)], "token long, g long, n long, p long").coalesce(1).sortWithinPartitions("token", "n", "g")
-    got = ngram_join.runs(df, 3, 4, context).collect()
+    got = ngram_join.runs(df, 3, 4, 3, context).collect()
     size = {}
     for t, g in {(r[0], r[2]) for r in rows}:
         size.setdefault(t, set()).add(g)
     want = sorted((t, g) for t, gs in size.items() if len(gs) > 1 for g in gs)
     assert sorted({(r.token, r.g) for r in got}) == want
-    assert all(r.pick in size[r.token] and r.pick != r.g for r in got if r.pick is not None)
+    assert all(x in size[r.token] and x != r.g for r in got for x in r.picks)
+    assert any(r.picks for r in got)
 
 
 def test_components(spark):
@@ -101,3 +102,15 @@ def test_components(spark):
         for b in got:
             assert (got[a] == got[b]) == (find(a) == find(b))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_parity_never_rules_out_a_link():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n in (3, 40, 700, 6000):
+        for m in (n, n + n // 3):
+            for shared in (n, n // 2, 0):
+                x = rnd.integers(0, 2**63, n).astype(np.uint64)
+                y = np.concatenate([x[:shared], rnd.integers(0, 2**63, m - shared).astype(np.uint64)])
+                assert ngram_join.parity_distance(ngram_join.parity(x), ngram_join.parity(y)) <= n + m - 2 * shared
