@@ -324,8 +324,10 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: i
     pairs = chosen.join(first.select("g", F.col("rep").alias("a")), "g").join(first.select(F.col("g").alias("pick"), F.col("rep").alias("b")), "pick").select("a", "b")
     inside = members.join(first, "g").filter("set <> rep").select(F.col("set").alias("a"), F.col("rep").alias("b"))
     links = verified(docs, pairs.unionByName(inside), signs, k, num, den)
-    more = verified(docs, rest_of_pairs(picked, members, components(links), num, den), signs, k, num, den)
-    label = components(links.unionByName(more))
+    joined = components(links)
+    more = verified(docs, rest_of_pairs(picked, members, joined, num, den), signs, k, num, den)
+    # what the links have joined is given by one edge for each set, to its label
+    label = components(joined.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     dropped(prefix)
     dropped(picked)
     classes = rows.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
