@@ -55,7 +55,7 @@ def schedule(quota: list[int]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: str = "n_chars", block_size: int = 1 << 20, period: int = 1000, power: float = 0.5, range_rows: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: str = "n_chars", block_size: int = 1 << 20, period: int = 1000, power: float = 0.5, range_rows: int = 4096) -> DataFrame:
     """docs with block, slot, release, deadline and at (where the document starts in its block). Without weights, each source's is its size to `power`."""
     spark = docs.sparkSession
     units = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
