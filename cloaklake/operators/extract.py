@@ -89,7 +89,7 @@ def joined_text(spans: DataFrame) -> DataFrame:
 
 def text_of(content: Column) -> Column:
     """A content's text: a string, or its text parts joined by line breaks; else empty."""
-    parts = F.filter(F.try_variant_get(content, "$", "array<variant>"), lambda p: F.try_variant_get(p, "$.type", "string") == "text")
+    parts = F.filter(F.try_variant_get(content, "$", "array<variant>"), lambda p: (F.try_variant_get(p, "$.type", "string") == "text") & (kind_of(F.try_variant_get(p, "$.text", "variant")) == "STRING"))
     listed = F.array_join(F.transform(parts, lambda p: F.try_variant_get(p, "$.text", "string")), "\n")
     return F.when(kind_of(content) == "STRING", F.try_variant_get(content, "$", "string")).when(kind_of(content) == "ARRAY", listed).otherwise("")
 
@@ -109,7 +109,7 @@ def block_text(block: Column, depth: int = 2) -> Column:
 
 def content_text_b(content: Column) -> Column:
     """A string, or the texts of blocks joined by line breaks, empty ones left out."""
-    texts = F.filter(F.transform(F.try_variant_get(content, "$", "array<variant>"), block_text), lambda t: t != "")
+    texts = F.filter(F.transform(F.try_variant_get(content, "$", "array<variant>"), lambda b: block_text(b)), lambda t: t != "")
     return F.when(kind_of(content) == "STRING", F.try_variant_get(content, "$", "string")).when(kind_of(content) == "ARRAY", F.array_join(texts, "\n")).otherwise("")
 
 
