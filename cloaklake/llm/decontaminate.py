@@ -103,6 +103,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     if windows is None:
         return docs.sparkSession.createDataFrame([], schema)
     windows = windows.groupBy("doc_id", "window").agg(F.min("start").alias("start"))
+    # few bytes and much to compute: dealt out over all partitions
+    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "window", "doc_id")  # in another order than grouped by: else taken for the same exchange
     shingled = windows.withColumn("ws", F.filter(F.split("window", " "), lambda x: x != "")).select("doc_id", "window", "start", F.explode(_shingles("ws", k)).alias("h"))
     default = F.lit(1.0) + F.log(F.lit(float(max(1, number))))
     small_weights = _bounded(weight, seeds, broadcast_rows)
