@@ -21,27 +21,29 @@ WORDS: dict[str, list[str]] = {
 OVERRIDES = {"no": "nb"}
 
 
-def tokens(text: Column) -> Column:
-    return F.split(F.lower(text), "[^a-zà-öø-ÿąćęłńóśźż]+")
+LETTERS = "a-zà-öø-ÿąćęłńóśźż"
 
 
 def raw_language(text: Column) -> Column:
-    """The language with most function words, of equal ones the first by code; null without any."""
-    every = sorted({w for words in WORDS.values() for w in words})
-    known = F.filter(tokens(text), lambda w: w.isin(every))  # few words are left to count by language
-    count = lambda t, words: F.size(F.filter(t, lambda w: w.isin(words)))
-    scored = lambda t: F.array_min(F.array(*[F.struct((-count(t, words)).alias("s"), F.lit(code).alias("lang")) for code, words in sorted(WORDS.items())]))
-    best = F.get(F.transform(F.array(known), scored), F.lit(0))
-    return F.when(best.s < 0, best.lang)
+    """The language with most function words, of equal ones the first by code; null without any. Words end at other than LETTERS."""
+    low = F.lower(text)
+    count = lambda words: F.regexp_count(low, F.lit(rf"(?<![{LETTERS}])(?:{'|'.join(words)})(?![{LETTERS}])"))
+    best = F.array_min(F.array(*[F.struct((-count(words)).alias("s"), F.lit(code).alias("lang")) for code, words in sorted(WORDS.items())]))
+    return F.get(F.transform(F.array(best), lambda b: F.when(b.s < 0, b.lang)), F.lit(0))
 
 
 def detect_language(text: Column, languages: list[str], fallback: str = "en") -> Column:
     """struct(language, used_fallback, detected): the detected language if it is configured, else the fallback."""
-    raw = raw_language(text)
-    found = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in OVERRIDES.items() for x in kv]), raw), raw)
-    return F.when(F.coalesce(text, F.lit("")) == "", _answer(F.lit(fallback), F.lit(True), F.lit(None).cast("string"))).otherwise(
-        F.when(found.isin(languages), _answer(found, F.lit(False), found)).otherwise(_answer(F.lit(fallback), F.lit(True), found))
-    )
+    norm = F.create_map(*[F.lit(x) for kv in OVERRIDES.items() for x in kv])
+
+    def answer(raw: Column) -> Column:
+        found = F.coalesce(F.element_at(norm, raw), raw)
+        own = F.coalesce(found.isin(languages), F.lit(False))
+        return _answer(F.when(own, found).otherwise(fallback), ~own, found)
+
+    # through an array of one, so that the counts are made once, however often the answer refers to them
+    judged = F.get(F.transform(F.array(raw_language(text)), answer), F.lit(0))
+    return F.when(F.coalesce(text, F.lit("")) == "", _answer(F.lit(fallback), F.lit(True), F.lit(None).cast("string"))).otherwise(judged)
 
 
 def request_language(given: Column, text: Column, languages: list[str], fallback: str = "en") -> Column:
