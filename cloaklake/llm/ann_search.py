@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import tidied, written
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -170,6 +170,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, max_sample: int =
     shared = spark.sparkContext.broadcast(router)
 
     def routed(probes: int):
+        @tidied
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = shared.value
             for batch in batches:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidied
 from .wordkernel import Words, mixed, slices, step_powers, text_bytes
 
 UNKNOWN = "und"
@@ -132,6 +133,7 @@ def learn(docs: DataFrame, sample_docs: int = 500, longest: int = 5, modulus: in
     sample = rows.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
     place = {k: i for i, k in enumerate(languages)}
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column("text"))
@@ -165,6 +167,7 @@ def identify(docs: DataFrame, model: Model, carry: dict[str, Column] | None = No
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = carry or {}
 
+    @tidied
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = [*m.languages, UNKNOWN]

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidied
 from .wordkernel import Words, hash_of, slices, text_bytes
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -135,6 +136,7 @@ class RareIndex:
 def document_frequencies(docs: DataFrame, keys: np.ndarray) -> dict[int, int]:
     """In how many documents each key occurs: one number for each key, summed over all documents."""
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(keys), np.int64)
         for batch in batches:
@@ -160,6 +162,7 @@ def scan_licences(docs: DataFrame, base: dict[str, str] = BASE, templates: list[
     phrases = [(label, [w.encode() for w in plain_words(p)], [np.uint64(hash_of(w)) for w in plain_words(p)]) for p, label in base.items()]
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
+    @tidied
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column("text"))

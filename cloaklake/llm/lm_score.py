@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, tidied, written
 from .wordkernel import Words, slices, text_bytes
 
 LN10 = float(np.log(10.0))
@@ -76,6 +76,7 @@ class Pieces:
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n (in training rows), n_all. docs: text, train."""
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_bytes(batch.column("text"))
@@ -104,6 +105,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def piece_counts(words: DataFrame, path: str) -> np.ndarray:
     """Weighted counts of all pieces in the training words: as many numbers as the vocabulary has pieces."""
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         total = np.zeros(pieces.size, np.int64)
@@ -127,6 +129,7 @@ def marginals(words: DataFrame, path: str, counts: np.ndarray) -> DataFrame:
     """key (the word's hash), n, n_all and lm, log10 of the word's marginal."""
     shared = words.sparkSession.sparkContext.broadcast(counts)
 
+    @tidied
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(path)
         pieces.weigh(shared.value)
@@ -174,6 +177,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, modulus: int = 7, hel
     shared = spark.sparkContext.broadcast((arrays[0].view(np.uint64), arrays[1], arrays[2]))
     base_known, lm_end = float(np.log10(ends + 1)), pieces.end_weight / LN10
 
+    @tidied
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, lm = shared.value
         log_n, task, seen = np.log10(n + 1.0), TaskContext.get().partitionId(), 0

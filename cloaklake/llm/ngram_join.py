@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dropped, written
+from .shared import dropped, tidied, written
 from .wordkernel import U64, Words, mixed, shingles, slices, text_bytes
 
 CHUNK = 1 << 16
@@ -64,6 +64,7 @@ def _lists(arrays: list[np.ndarray], dtype: type = np.int64) -> pa.Array:
 def features(docs: DataFrame, k: int, cells: int) -> DataFrame:
     """Rows (doc_id, n, set) of all texts, and rows (chunk, counts) with each task's part of the sketch."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "set", "chunk", "counts"]
         total, seen = np.zeros(cells, np.uint8), set()
@@ -98,6 +99,7 @@ def features(docs: DataFrame, k: int, cells: int) -> DataFrame:
 def sketch_levels(parts: DataFrame, cells: int) -> np.ndarray:
     """The tasks' sketches added up, as logarithmic levels: `cells` bytes, whatever the input."""
 
+    @tidied
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -133,6 +135,7 @@ def prefixes(docs: DataFrame, k: int, levels: np.ndarray, num: int, den: int) ->
     """set, its group (a hash of prefix and size), size n, parity bitmap, prefix tokens, rare ones first; a set once for each task."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = shared.value, set()
         mask = U64(len(level) - 1)
@@ -159,6 +162,7 @@ def runs(postings: DataFrame, num: int, den: int, picks: int = 8, context: int =
     """
     columns = ["token", "g", "n", "p"]
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = [np.zeros(0, np.int64)] * 4
         held, before = none, none  # held: the last run so far; before: the latest of its postings that went out already
@@ -221,6 +225,7 @@ def bloom(keys: DataFrame, count: int, most: int = 1 << 26) -> np.ndarray:
 def may_link(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
     """The distinct pairs (a, b), a < b, that the parity bitmaps in signs (set, n, bits) don't rule out; a written table."""
 
+    @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
@@ -244,6 +249,7 @@ def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame, k: int, num: i
         return pairs
     shared = spark.sparkContext.broadcast(bloom(keys, count))
 
+    @tidied
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
         for batch in batches:
@@ -264,6 +270,7 @@ def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame, k: int, num: i
     sets = docs.select("text").mapInArrow(wanted, "set binary, shingles binary").join(keys, "set", "left_semi")
     sets = written(sets.dropDuplicates(["set"]), "pair-sets")
 
+    @tidied
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

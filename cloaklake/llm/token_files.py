@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, written
+from .shared import fresh_path, tidied, written
 from .wordkernel import CodeTable, mixed, powers, slices, text_bytes
 
 #: Bytes of white space in ASCII, and first bytes of characters beyond it of which some are white space.
@@ -70,10 +70,11 @@ class PieceEncoder:
         self.used = 0
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
+        ids = []
+        for a in range(0, len(texts), 8192):  # the library's results are far larger than their ids
+            ids += [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts[a : a + 8192], add_special_tokens=False)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((k for x in ids for k in x), self.dtype, int(n.sum()))
+        new = np.concatenate(ids)
         a, used = self.off[self.used], self.used + len(texts)
         while used + 1 > len(self.off):
             self.off = np.concatenate([self.off, np.zeros_like(self.off)])
@@ -177,6 +178,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = 20
     shards = shards or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = order or ["doc_id", "text"]
 
+    @tidied
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tokens, index, base, docs_seen = None, None, None, 0, 0
         k, tag = TaskContext.get().partitionId(), f"{TaskContext.get().taskAttemptId()}"
@@ -244,6 +246,7 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     places = shards.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
+    @tidied
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, root = opened(folder)
         head = folder[: len(folder) - len(root)]
