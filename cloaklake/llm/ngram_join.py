@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import dropped, tidied, written
+from .shared import scratch, tidied, written
 from .wordkernel import U64, Words, mixed, shingles, slices, text_bytes
 
 CHUNK = 1 << 16
@@ -283,7 +283,6 @@ def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame, k: int, num: i
 
     a = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a")
     out = written(a.join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary"), "links")
-    dropped(sets)
     return out
 
 
@@ -313,11 +312,9 @@ def rest_of_pairs(picked: DataFrame, members: DataFrame, label: DataFrame, num:
     return across.unionByName(within.filter("a < b and la <> lb").select("a", "b"))
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22, picks: int = 8) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; texts link at Jaccard similarity num / den or more."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _classes(docs: DataFrame, k: int, num: int, den: int, cells: int, picks: int) -> tuple[DataFrame, DataFrame]:
+    """The features of all texts, and for each set the component_id of its class."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(features(docs, k, cells), "features")
     levels = sketch_levels(found.filter(F.col("chunk").isNotNull()).select("chunk", "counts"), cells)
     rows = found.filter(F.col("chunk").isNull()).select("doc_id", "n", "set")
@@ -335,12 +332,18 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: i
     more = verified(docs, rest_of_pairs(picked, members, joined, num, den), signs, k, num, den)
     # what the links have joined is given by one edge for each set, to its label
     label = components(joined.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    dropped(prefix)
-    dropped(picked)
     classes = rows.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
     named = classes.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_set = written(named.join(names, "label").select("set", "component_id"), "classes")
+    return found, written(named.join(names, "label").select("set", "component_id"), "classes")
+
+
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22, picks: int = 8) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; texts link at Jaccard similarity num / den or more."""
+    with scratch(docs.sparkSession) as keep:
+        found, of_set = _classes(docs.select("doc_id", "text"), k, num, den, cells, picks)
+        keep(found, of_set)
+    rows = found.filter(F.col("chunk").isNull()).select("doc_id", "n", "set")
     out = rows.join(of_set, "set", "left")
     own = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -67,14 +67,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratches:
+        _scratches[-1].append((out, path))
+    return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove a table that written() made and nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tables/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: Tables written inside the scratch() blocks that are open, innermost last.
+_scratches: list[list[tuple[DataFrame, str]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Tables written inside are removed at the end, but those given to what this yields: they are what is still read later."""
+    own: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+    _scratches.append(own)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        _scratches.remove(own)
+        stay = [(t, p) for t, p in own if any(t is k for k in kept)]
+        for t, p in own:
+            if not any(t is k for k, _ in stay):
+                _remove(spark, p)
+        if _scratches:
+            _scratches[-1].extend(stay)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
