@@ -12,7 +12,7 @@
    rules out most pairs that don't link, and no other; of the rest, the shingles that two sets share are counted, exactly.
    Verified links give components.
 5. The rest. What picks haven't joined is compared in full: in each run that still holds several components, every group outside
-   the run's largest component meets all groups of other components that pass the size and the positional filter; so does
+   the run's largest component meets all groups of other components that pass the size, positional and bitmap filters; so does
    every pair of members of a group that are in different components. These pairs are verified as well. A link is lost only if
    its ends are in one component already.
 
@@ -122,6 +122,17 @@ def parity(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+FOLDS = ["f0", "f1", "f2", "f3"]
+
+
+def folded(bits: bytes) -> np.ndarray:
+    """A parity bitmap folded to 256 bits: four integers that joins can compare."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > 32:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.int64)
+
+
 def parity_distance(x: bytes, y: bytes) -> int:
     """Bits in which two parity bitmaps differ, the longer one folded to the shorter one's size."""
     x, y = sorted((x, y), key=len)
@@ -150,12 +161,14 @@ def prefixes(docs: DataFrame, k: int, levels: np.ndarray, num: int, den: int) ->
                 rows.append((d, xxhash.xxh3_64_intdigest(p.tobytes(), seed=n), n, parity(s), p))
             if rows:
                 d, g, n, b, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(b, pa.binary()), _lists(list(p))], ["set", "g", "n", "bits", "tokens"])
+                folds = np.array([folded(x) for x in b]).T
+                columns = [pa.array(d, pa.binary()), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(b, pa.binary()), *map(pa.array, folds), _lists(list(p))]
+                yield pa.RecordBatch.from_arrays(columns, ["set", "g", "n", "bits", *FOLDS, "tokens"])
 
-    return docs.select("text").mapInArrow(work, "set binary, g long, n long, bits binary, tokens array<long>")
+    return docs.select("text").mapInArrow(work, f"set binary, g long, n long, bits binary, {', '.join(f'{f} long' for f in FOLDS)}, tokens array<long>")
 
 
-def runs(postings: DataFrame, num: int, den: int, picks: int = 8, context: int = 4096) -> DataFrame:
+def runs(postings: DataFrame, num: int, den: int, picks: int = 4, context: int = 4096) -> DataFrame:
     """Postings whose token at least one other group has, each with picks: earlier groups of its run that may be similar.
 
     postings: token, g, n, p, sorted by (token, n, g) within partitions that hold tokens whole.
@@ -288,21 +301,23 @@ def verified(docs: DataFrame, pairs: DataFrame, signs: DataFrame, k: int, num: i
 
 def rest_of_pairs(picked: DataFrame, members: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of sets in different components that share a prefix shingle or a group and pass the filters."""
-    placed = members.join(label.withColumnRenamed("node", "set"), "set", "left").select("set", "g", F.coalesce("label", "set").alias("label"))
+    placed = members.join(label.withColumnRenamed("node", "set"), "set", "left").select("set", "g", F.coalesce("label", "set").alias("label"), *FOLDS)
     placed = written(placed, "placed")
     lone = F.min("label") == F.max("label")
-    groups = placed.groupBy("g").agg(F.when(lone, F.min("label")).alias("comp"))
+    # a group of one set has that set's bitmap; of several, none, and passes
+    groups = placed.groupBy("g").agg(F.when(lone, F.min("label")).alias("comp"), *[F.when(F.count("*") == 1, F.min(f)).alias(f) for f in FOLDS])
     own = F.coalesce("comp", F.encode(F.concat(F.lit("mixed group "), F.col("g").cast("string")), "utf-8"))
     entries = written(picked.drop("picks").join(groups, "g").withColumn("comp", own), "entries")
     sizes = entries.groupBy("token", "comp").agg(F.count("*").alias("c"))
     several = sizes.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
     several = written(several, "several")
     live = entries.join(several, "token")
-    x = live.filter(F.col("comp") != F.col("most")).select("token", *[F.col(c).alias(f"x_{c}") for c in ("g", "n", "p", "comp")])
-    y = live.select("token", *[F.col(c).alias(f"y_{c}") for c in ("g", "n", "p", "comp")], (F.col("comp") == F.col("most")).alias("big"))
+    x = live.filter(F.col("comp") != F.col("most")).select("token", *[F.col(c).alias(f"x_{c}") for c in ("g", "n", "p", "comp", *FOLDS)])
+    y = live.select("token", *[F.col(c).alias(f"y_{c}") for c in ("g", "n", "p", "comp", *FOLDS)], (F.col("comp") == F.col("most")).alias("big"))
     fits = F.expr(
         f"x_comp <> y_comp and (big or x_g < y_g) and {den} * least(x_n, y_n) >= {num} * greatest(x_n, y_n)"
         f" and {num + den} * least(x_n - x_p, y_n - y_p) >= {num} * (x_n + y_n)"
+        f" and coalesce({num + den} * ({' + '.join(f'bit_count(x_{f} ^ y_{f})' for f in FOLDS)}) <= {den - num} * (x_n + y_n), true)"
     )
     met = x.join(y, "token").filter(fits).select("x_g", "y_g").distinct()
     side = lambda s: placed.select(F.col("g").alias(f"{s}_g"), F.col("set").alias(s), F.col("label").alias(f"{s}_label"))
@@ -319,14 +334,14 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, cells: int, picks: int
     levels = sketch_levels(found.filter(F.col("chunk").isNotNull()).select("chunk", "counts"), cells)
     rows = found.filter(F.col("chunk").isNull()).select("doc_id", "n", "set")
     prefix = written(prefixes(docs, k, levels, num, den), "prefixes")
-    members = prefix.select("set", "g").distinct()
+    members = prefix.select("set", "g", *FOLDS).distinct()
     signs = prefix.select("set", "n", "bits").distinct()
     first = members.groupBy("g").agg(F.min("set").alias("rep"))
     postings = prefix.select("g", "n", F.posexplode("tokens").alias("p", "token")).select("token", "g", "n", F.col("p").cast("long").alias("p"))
     picked = written(runs(postings.repartition(parts, "token").sortWithinPartitions("token", "n", "g"), num, den, picks), "runs")
     chosen = picked.select("g", F.explode("picks").alias("pick")).distinct()
     pairs = chosen.join(first.select("g", F.col("rep").alias("a")), "g").join(first.select(F.col("g").alias("pick"), F.col("rep").alias("b")), "pick").select("a", "b")
-    inside = members.join(first, "g").filter("set <> rep").select(F.col("set").alias("a"), F.col("rep").alias("b"))
+    inside = members.select("set", "g").join(first, "g").filter("set <> rep").select(F.col("set").alias("a"), F.col("rep").alias("b"))
     links = verified(docs, pairs.unionByName(inside), signs, k, num, den)
     joined = components(links)
     more = verified(docs, rest_of_pairs(picked, members, joined, num, den), signs, k, num, den)
@@ -338,7 +353,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, cells: int, picks: int
     return found, written(named.join(names, "label").select("set", "component_id"), "classes")
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22, picks: int = 8) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22, picks: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; texts link at Jaccard similarity num / den or more."""
     with scratch(docs.sparkSession) as keep:
         found, of_set = _classes(docs.select("doc_id", "text"), k, num, den, cells, picks)

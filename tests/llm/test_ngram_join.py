@@ -114,3 +114,5 @@ def test_parity_never_rules_out_a_link():
                 x = rnd.integers(0, 2**63, n).astype(np.uint64)
                 y = np.concatenate([x[:shared], rnd.integers(0, 2**63, m - shared).astype(np.uint64)])
                 assert ngram_join.parity_distance(ngram_join.parity(x), ngram_join.parity(y)) <= n + m - 2 * shared
+                a, b = (ngram_join.folded(ngram_join.parity(v)).view(np.uint64) for v in (x, y))
+                assert int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * shared
