@@ -54,7 +54,7 @@ def encoder(path: str) -> PieceEncoder:
 class PieceEncoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once while it is remembered (by a 64-bit hash)."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

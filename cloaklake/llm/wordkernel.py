@@ -155,7 +155,7 @@ class CodeTable:
     """Codes of 64-bit keys: open addressing over arrays, looked up and filled many keys at a time."""
 
     def __init__(self, bits: int = 16):
-        self.keys, self.codes, self.used = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int64), 0
+        self.keys, self.codes, self.used = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The code of each key, -1 where it has none."""
@@ -163,7 +163,7 @@ class CodeTable:
         mask = U64(len(self.keys) - 1)
         slot = (keys & mask).astype(np.int64)
         got = self.keys[slot]
-        out = np.where(got == keys, self.codes[slot], -1)
+        out = np.where(got == keys, self.codes[slot], -1).astype(np.int64)
         left = np.flatnonzero((got != keys) & (got != 0))
         while len(left):
             at = (slot[left] + 1) & int(mask)
@@ -180,7 +180,7 @@ class CodeTable:
         if 2 * (self.used + len(keys)) > len(self.keys):
             old = self.keys != 0
             k, c = self.keys[old], self.codes[old]
-            self.__init__(int(4 * (self.used + len(keys))).bit_length())
+            self.__init__(int(2 * (self.used + len(keys))).bit_length())
             self._put(k, c)
         self._put(keys, codes)
 
