@@ -16,6 +16,7 @@ from ..functions import intervals, language, patterns, placeholders
 from ..operators import audit, detect, evaluate, extract, mask, policy
 from ..sources import audit_log, requests
 from ..sources.config import Config, Local, Pii, Secrets
+from ..sources.tables import read_table
 from ..streaming import unmask
 from . import oracle as O
 
@@ -39,8 +40,7 @@ def query(sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 # Documents ------------------------------------------------------------------------------------------------------------
