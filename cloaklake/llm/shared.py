@@ -12,11 +12,12 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
+
 ARROW = "spark.sql.execution.arrow."
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 def shared_dir(spark: SparkSession) -> str:

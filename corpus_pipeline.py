@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloaklake.llm import decontaminate, language_id, ngram_join, pfair_mix, token_files
-from cloaklake.llm.shared import table, written
+from cloaklake.llm.shared import scratch, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    with scratch(spark) as keep:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        keep(docs)
     return docs
