@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def _hit(start: Column, end: Column, entity_type: Column, score: Column) -> Colu
     return F.struct(start.alias("start"), end.alias("end"), entity_type.alias("entity_type"), score.alias("score"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use refers to it (through an array of one)."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def merge_same_type(hits: Column) -> Column:
     """Overlapping hits of one type become one, over all of them, with the best score; transitively."""
     by_type = F.array_sort(F.transform(hits, lambda h: F.struct(h.entity_type, h.start, h.end, h.score)))
@@ -34,6 +41,10 @@ def merge_same_type(hits: Column) -> Column:
 
 def resolve_by_score(hits: Column) -> Column:
     """After merging: by score, then length, then start (then type), each kept if it overlaps none kept; in order of start."""
+    return once(hits, _by_score)
+
+
+def _by_score(hits: Column) -> Column:
     ranked = F.array_sort(F.transform(merge_same_type(hits), lambda h: F.struct((-h.score).alias("s"), (h.start - h.end).alias("l"), h.start, h.entity_type, h.end)))
 
     def step(acc: Column, x: Column) -> Column:
@@ -45,6 +56,10 @@ def resolve_by_score(hits: Column) -> Column:
 
 def resolve_by_start(hits: Column) -> Column:
     """By start, then longest first (then type); each kept if it starts where the last kept one has ended."""
+    return once(hits, _by_start)
+
+
+def _by_start(hits: Column) -> Column:
     ranked = F.array_sort(F.transform(hits, lambda h: F.struct(h.start, (h.start - h.end).alias("l"), h.entity_type, h.end, h.score)))
 
     def step(acc: Column, x: Column) -> Column:
