@@ -11,6 +11,9 @@ counts less; one that no item has weighs as one that a single item has.
 3. Multi-index. Fingerprints fall into `blocks` blocks. Two that differ in `radius` bits at most differ in at most
    radius // blocks bits in some block; items are entered in every block under all values that near, so one equi-join
    on (block, value) finds all items within the radius of a window, and the whole distance confirms it.
+   Similar pairs can lie beyond any radius, so the same join has one block more, with shingles as values: of each set the
+   heaviest ones, for as long as they and what follows have a share of `threshold` of its weight. Two sets of at least that
+   similarity both have the heaviest shingle that they share among these, so no pair is left out.
 4. Verification. Weighted Jaccard similarity of the two shingle sets of at least `threshold`, exactly.
 
 Defined results: null and empty texts and items match nothing; a null doc_id or item_id is carried as null; repeated rows and
@@ -72,12 +75,22 @@ def block_values(fingerprint: str, blocks: int, radius: int) -> tuple[Column, Co
     return F.lit(near).cast("array<bigint>"), F.flatten(F.array(*parts))
 
 
+HEAVIEST_FIRST = "array_sort(transform(x, e -> struct(-e.w as v, e.h as h)))"
+
+
+def _leading(threshold: float) -> Column:
+    """Of the array o, heaviest first: those that with what follows have a share of `threshold` of the weight, as (block, value) of block -1."""
+    total = "aggregate(o, 0D, (s, e) -> s - e.v)"
+    count = f"aggregate(o, struct(0 as n, {total} as rest), (s, e) -> struct(s.n + if(s.rest >= {threshold - 1e-9!r}D * {total}, 1, 0) as n, s.rest + e.v as rest), s -> s.n)"
+    return F.expr(f"transform(slice(o, 1, {count}), e -> struct(-1 as block, e.h as value))")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15, blocks: int = 4, threshold: float = 0.75, broadcast_rows: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, similarity, first_word (where the window starts) of each document and item that it holds."""
     if 64 % blocks:
         raise ValueError("blocks must divide 64")
     table = item_table(items, k)
-    number = table.count()
+    number, words = table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     posts = table.select("item_id", "size", F.least("size", F.lit(k)).alias("k"), F.explode("hs").alias("h"))
     weight = posts.groupBy("h").agg(F.count_distinct("item_id").alias("df")).select("h", (1 + F.log(F.lit(float(max(1, number))) / F.greatest(F.col("df"), F.lit(1)))).alias("w"))
     # every place of a shingle in an item gives the place of a window
@@ -112,12 +125,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     seen = weigh(shingled, "doc_id", "window", "start").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
     known = weigh(posts.select("item_id", "size", "h"), "item_id", "size").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
     near, entered = block_values("f", blocks, radius)
-    index = known.withColumn("m", near).select("item_id", F.col("x").alias("y"), F.col("f").alias("g"), F.explode(entered).alias("e")).select("item_id", "y", "g", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
+    index = known.withColumn("m", near).withColumn("o", F.expr(HEAVIEST_FIRST)).withColumn("leading", _leading(threshold)).select("item_id", F.col("x").alias("y"), F.col("f").alias("g"), F.explode(F.concat(entered, "leading")).alias("e")).select("item_id", "y", "g", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
     fingers = index.drop("y")
-    entries = number * blocks * sum(1 for n in range(radius // blocks + 1) for _ in combinations(range(64 // blocks), n))
+    entries = number * blocks * sum(1 for n in range(radius // blocks + 1) for _ in combinations(range(64 // blocks), n)) + words
     _, own = block_values("f", blocks, 0)
-    asked = seen.withColumn("m", F.lit([0]).cast("array<bigint>")).select("doc_id", "start", "x", "f", F.explode(own).alias("e")).select("doc_id", "start", "x", "f", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
-    close = asked.join(_bounded(fingers, entries, broadcast_rows), (asked.block == fingers.block) & (asked.value == fingers.value) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius))
+    asked = seen.withColumn("m", F.lit([0]).cast("array<bigint>")).withColumn("o", F.expr(HEAVIEST_FIRST)).withColumn("leading", _leading(threshold))
+    asked = asked.select("doc_id", "start", "x", "f", F.explode(F.concat(own, "leading")).alias("e")).select("doc_id", "start", "x", "f", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
+    within = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius
+    # the further block is for what the others leave
+    close = asked.join(_bounded(fingers, entries, broadcast_rows), (asked.block == fingers.block) & (asked.value == fingers.value) & ((asked.block >= 0) == within))
     pairs = close.join(_bounded(known.select(F.col("item_id").alias("own_id"), F.col("x").alias("y")), number, broadcast_rows), F.col("item_id").eqNullSafe(F.col("own_id")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.w)
     both = total(F.filter("x", lambda e: F.array_contains(F.transform("y", lambda o: o.h), e.h)))

@@ -75,6 +75,24 @@ def test_leaks_near_copies_and_edges(spark):
     assert {(r.doc_id, r.item_id) for r in joined.collect()} == want.keys()
 
 
+def test_leaks_near_the_threshold(spark):
+    rnd = random.Random(1)
+    common = [f"c{n}" for n in range(12)]
+    texts = [[f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(30, 60))] + (common if i % 2 else []) for i in range(30)]
+    docs = []
+    for i, t in enumerate(texts):
+        for n in (1, 2, 2, 2, 2, 2, 3, 3):
+            edited = list(t)
+            for at in rnd.sample(range(len(t)), n):
+                edited[at] = f"x{rnd.randrange(10**6)}"
+            docs.append((len(docs), " ".join(["before", "it"] + edited + ["after", "it"])))
+    items = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute(docs, items)
+    assert sum(s < 0.8 for s, _ in want.values()) > 20
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, items, "item_id")).collect()}
+    assert want.keys() <= got.keys() and all(got[p] >= s - 1e-9 for p, (s, _) in want.items())
+
+
 def test_leaks_empty(spark):
     some, none = [(1, "a b c d e f g")], []
     assert decontaminate.find_leaks(frame(spark, none, "doc_id"), frame(spark, some, "item_id")).count() == 0
