@@ -112,7 +112,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
             laid = found.join(cut, F.col("of").eqNullSafe(F.col("doc_id"))).select("doc_id", "words", "size", "start")
         laid = laid.select("doc_id", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ").alias("window"))
         windows = laid if windows is None else windows.unionByName(laid)
-    schema = "doc_id long, item_id long, similarity double, first_word long"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, first_word long"
     if windows is None:
         return docs.sparkSession.createDataFrame([], schema)
     windows = windows.groupBy("doc_id", "window").agg(F.min("start").alias("start"))
@@ -145,6 +145,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, broadcast_ids: int = 2_000_000, **options: object) -> DataFrame:
-    """The documents that hold no item; rows without doc_id are kept if none of them holds one."""
-    bad = written(find_leaks(docs, items, **options).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(_bounded(bad, bad.count(), broadcast_ids), F.col("doc_id").eqNullSafe(F.col("leak")), "left_anti")
+    """The documents that hold no item. Each row is judged by its own text, whatever other rows have its doc_id, or none."""
+    digest = F.unhex(F.md5("text"))
+    bad = written(find_leaks(docs.select(digest.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
+    return docs.join(_bounded(bad, bad.count(), broadcast_ids), digest == F.col("leak"), "left_anti")

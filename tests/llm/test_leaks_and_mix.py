@@ -93,6 +93,13 @@ def test_leaks_near_the_threshold(spark):
     assert want.keys() <= got.keys() and all(got[p] >= s - 1e-9 for p, (s, _) in want.items())
 
 
+def test_clean_rows_stay_beside_leaks_with_their_doc_id(spark):
+    item, clean = (" ".join(f"{c}{n}" for n in range(30)) for c in "ab")
+    docs = [(None, item), (None, clean), (None, "more " + clean), (None, None), (7, item + " more"), (7, clean), (8, clean)]
+    kept = decontaminate.without_leaks(frame(spark, docs, "doc_id"), frame(spark, [(1, item)], "item_id"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((d for d in docs if item not in (d[1] or "")), key=str)
+
+
 def test_leaks_empty(spark):
     some, none = [(1, "a b c d e f g")], []
     assert decontaminate.find_leaks(frame(spark, none, "doc_id"), frame(spark, some, "item_id")).count() == 0
