@@ -56,10 +56,10 @@ def _simhash(weighted: str) -> Column:
 
 
 def item_table(items: DataFrame, k: int) -> DataFrame:
-    """item_id, size, words, shingles of the items that have words."""
+    """item_id, digest, size, words, shingles of the items that have words; item_id and digest tell the rows apart."""
     clean = F.filter(words_of(F.col("text")), lambda x: x != "")
     df = items.filter("text is not null").select("item_id", clean.alias("words")).filter("size(words) > 0").distinct()
-    return df.select("item_id", F.size("words").alias("size"), "words", _shingles("words", k).alias("hs"))
+    return df.select("item_id", F.unhex(F.md5(F.array_join("words", " "))).alias("digest"), F.size("words").alias("size"), "words", _shingles("words", k).alias("hs"))
 
 
 def _bounded(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -91,8 +91,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
         raise ValueError("blocks must divide 64")
     table = item_table(items, k)
     number, words = table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    posts = table.select("item_id", "size", F.least("size", F.lit(k)).alias("k"), F.explode("hs").alias("h"))
-    weight = posts.groupBy("h").agg(F.count_distinct("item_id").alias("df")).select("h", (1 + F.log(F.lit(float(max(1, number))) / F.greatest(F.col("df"), F.lit(1)))).alias("w"))
+    posts = table.select("item_id", "digest", "size", F.least("size", F.lit(k)).alias("k"), F.explode("hs").alias("h"))
+    weight = posts.groupBy("h").agg(F.count("*").alias("df")).select("h", (1 + F.log(F.lit(float(max(1, number))) / F.greatest(F.col("df"), F.lit(1)))).alias("w"))
     # every place of a shingle in an item gives the place of a window
     at = F.expr("explode(transform(sequence(0, size - k), i -> struct(i, case k " + " ".join(f"when {n} then xxhash64({', '.join(f'get(words, i + {j})' for j in range(n))})" for n in range(1, k + 1)) + " end as h)))")
     places = table.withColumn("k", F.least("size", F.lit(k))).select("size", "k", at.alias("x")).select("k", F.col("x.h").alias("h"), "size", F.col("x.i").alias("at")).distinct()
@@ -123,9 +123,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     small_weights = _bounded(weight, seeds, broadcast_rows)
     weigh = lambda df, *keys: df.join(small_weights, "h", "left").withColumn("w", F.coalesce("w", default)).groupBy(*keys).agg(F.collect_list(F.struct("h", "w")).alias("x"))
     seen = weigh(shingled, "doc_id", "window", "start").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
-    known = weigh(posts.select("item_id", "size", "h"), "item_id", "size").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
+    known = weigh(posts.select("item_id", "digest", "h"), "item_id", "digest").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
     near, entered = block_values("f", blocks, radius)
-    index = known.withColumn("m", near).withColumn("o", F.expr(HEAVIEST_FIRST)).withColumn("leading", _leading(threshold)).select("item_id", F.col("x").alias("y"), F.col("f").alias("g"), F.explode(F.concat(entered, "leading")).alias("e")).select("item_id", "y", "g", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
+    index = known.withColumn("m", near).withColumn("o", F.expr(HEAVIEST_FIRST)).withColumn("leading", _leading(threshold)).select("item_id", "digest", F.col("x").alias("y"), F.col("f").alias("g"), F.explode(F.concat(entered, "leading")).alias("e")).select("item_id", "digest", "y", "g", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
     fingers = index.drop("y")
     entries = number * blocks * sum(1 for n in range(radius // blocks + 1) for _ in combinations(range(64 // blocks), n)) + words
     _, own = block_values("f", blocks, 0)
@@ -134,7 +134,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     within = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius
     # the further block is for what the others leave
     close = asked.join(_bounded(fingers, entries, broadcast_rows), (asked.block == fingers.block) & (asked.value == fingers.value) & ((asked.block >= 0) == within))
-    pairs = close.join(_bounded(known.select(F.col("item_id").alias("own_id"), F.col("x").alias("y")), number, broadcast_rows), F.col("item_id").eqNullSafe(F.col("own_id")))
+    pairs = close.join(_bounded(known.select(F.col("item_id").alias("own_id"), F.col("digest").alias("own"), F.col("x").alias("y")), number, broadcast_rows), F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.w)
     both = total(F.filter("x", lambda e: F.array_contains(F.transform("y", lambda o: o.h), e.h)))
     similarity = both / (total("x") + total("y") - both)

@@ -100,6 +100,14 @@ def test_clean_rows_stay_beside_leaks_with_their_doc_id(spark):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((d for d in docs if item not in (d[1] or "")), key=str)
 
 
+def test_leaks_of_items_that_share_their_item_id(spark):
+    texts = [" ".join(f"{c}{n}" for n in range(30)) for c in "abcd"]
+    items = list(zip([None, None, 3, 3], texts, strict=True))
+    docs = [(i, f"before it {t} after it") for i, t in enumerate(texts)]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, items, "item_id")).collect()}
+    assert got == {(i, items[i][0]): pytest.approx(1.0) for i in range(4)}
+
+
 def test_leaks_empty(spark):
     some, none = [(1, "a b c d e f g")], []
     assert decontaminate.find_leaks(frame(spark, none, "doc_id"), frame(spark, some, "item_id")).count() == 0
