@@ -3,8 +3,8 @@
 Each source's documents are cut into blocks of `block_size` units (characters, by default). With weight w, block j of a source is
 released at slot floor(j / w) and due by slot ceil((j + 1) / w); each slot takes, of the blocks released, the one due first. As
 the weights sum to 1, every block meets its deadline, and after any number of slots each source has been given its share to
-within less than one block. Weights are rounded to multiples of 1 / period, so the schedule repeats after `period` slots: it
-is worked out once on the driver, for as many slots as that, whatever the number of documents.
+within less than one block. Weights are taken as multiples of 1 / period, which at 2^53 is as exact as doubles are. The
+schedule is worked out on the driver for the blocks that there are: a row for each `block_size` units of input, and no slot more.
 
 Documents stand in their source in the order of a hash of doc_id. The running sum of their sizes, which gives the block, is made
 of totals by (source, hash range) and sums within one range, so no task holds a whole source, however large. A document is in
@@ -18,7 +18,7 @@ like the new ones (block, slot, release, deadline, at) are replaced.
 from __future__ import annotations
 
 import heapq
-from math import ceil
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,35 +27,42 @@ NEW = ["block", "slot", "release", "deadline", "at"]
 
 
 def quotas(weights: list[float], period: int) -> list[int]:
-    """Slots of each weight in a period: proportional, by largest remainder, one at least."""
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    out = [1 + int(x) for x in exact]
+    """Slots of each weight in a period: proportional, by largest remainder; one where that is none, at the largest one's expense."""
+    exact = [Fraction(w) for w in weights]
+    total = sum(exact)
+    exact = [w * period / total for w in exact]
+    out = [int(x) for x in exact]
     rest = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
     for i in rest[: period - sum(out)]:
         out[i] += 1
+    for i in [i for i, x in enumerate(out) if not x]:
+        out[i] = 1
+        out[max(range(len(out)), key=out.__getitem__)] -= 1
     return out
 
 
-def schedule(quota: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(slot, source, block, release, deadline) of each slot of one period: earliest deadline first among released blocks."""
-    period = sum(quota)
+def schedule(quota: list[int], blocks: list[int] | None = None) -> list[tuple[int, int, int, int, int]]:
+    """(slot, source, block, release, deadline) of so many blocks of each source, those of one period by default: earliest deadline first among released blocks."""
+    period, blocks = sum(quota), blocks or quota
     waiting = [(0, s, 0) for s in range(len(quota))]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
+    out, slot = [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (ceil((j + 1) * period / quota[s]), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * period // quota[s]), s, j))
         due, s, j = heapq.heappop(ready)
         out.append((slot, s, j, j * period // quota[s], due))
-        if j + 1 < quota[s]:
+        if j + 1 < blocks[s]:
             heapq.heappush(waiting, ((j + 1) * period // quota[s], s, j + 1))
+        slot += 1
     return out
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: str = "n_chars", block_size: int = 1 << 20, period: int = 1000, power: float = 0.5, range_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: str = "n_chars", block_size: int = 1 << 20, period: int = 1 << 53, power: float = 0.5, range_rows: int = 4096, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with block, slot, release, deadline and at (where the document starts in its block). Without weights, each source's is its size to `power`."""
     spark = docs.sparkSession
     units = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
@@ -68,11 +75,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: s
     least = min((w for w in weights.values() if w > 0), default=1.0)
     share = [weights.get(s, 0.0) if weights.get(s, 0.0) > 0 else least / 1000 for s in names]
     quota = quotas(share, max(period, 4 * len(names)))
-    length = sum(quota)
+    units_of = {r.source: r.units for r in totals}
+    blocks = [units_of[s] // block_size + 1 for s in names]  # documents of size 0 may start where the source ends
     key = lambda s: "null" if s is None else f"={s}"
-    turns = [(key(names[s]), j, slot, release, due) for slot, s, j, release, due in schedule(quota)]
+    turns = [(key(names[s]), j, slot, release, due) for slot, s, j, release, due in schedule(quota, blocks)]
     plan = spark.createDataFrame(turns, "_k string, _j long, _slot long, _release long, _deadline long")
-    quota_of = spark.createDataFrame([(key(n), q) for n, q in zip(names, quota, strict=True)], "_s string, _quota long")
     bits = max(0, min(20, (max(r.rows for r in totals) // range_rows).bit_length()))
     h = F.xxhash64("doc_id")
     src = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
@@ -85,12 +92,10 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, size: s
     placed = rows.withColumn("_in", F.coalesce(F.sum("_units").over(inside), F.lit(0))).join(offsets, ["_src", "_range"])
     start = F.col("_before") + F.col("_in")
     placed = placed.withColumns({"block": F.floor(start / block_size), "at": start % block_size})
-    placed = placed.join(F.broadcast(quota_of), F.col("_src") == F.col("_s"))  # a row for each source
-    placed = placed.withColumns({"_turn": F.floor(F.col("block") / F.col("_quota")), "_place": F.col("block") % F.col("_quota")})
-    out = placed.join(F.broadcast(plan), (F.col("_src") == F.col("_k")) & (F.col("_place") == F.col("_j")))  # `period` rows
-    step = F.col("_turn") * length
+    plan = F.broadcast(plan) if len(turns) <= broadcast_rows else plan  # a row for each block
+    out = placed.join(plan, (F.col("_src") == F.col("_k")) & (F.col("block") == F.col("_j")))
     own = [c for c in docs.columns if c not in NEW]
-    return out.select(*own, "block", (F.col("_slot") + step).alias("slot"), (F.col("_release") + step).alias("release"), (F.col("_deadline") + step).alias("deadline"), "at")
+    return out.select(*own, "block", F.col("_slot").alias("slot"), F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), "at")
 
 
 def in_mixed_order(docs: DataFrame, **options: object) -> DataFrame:

@@ -170,6 +170,21 @@ def test_mix(spark, range_rows):
     assert mixed(spark, []) == []
 
 
+def test_mix_keeps_to_the_target_weights(spark):
+    assert pfair_mix.quotas([0.5, 0.3, 0.15, 0.05], 1000) == [500, 300, 150, 50]
+    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
+    rows = [(i, s, 1) for i, s in enumerate(s for s, w in weights.items() for _ in range(round(w * 5000)))]
+    given = dict.fromkeys(weights, 0)
+    for n, r in enumerate(sorted(mixed(spark, rows, block_size=1, weights=weights), key=lambda r: r.slot)):
+        assert r.slot == n
+        given[r.source] += 1
+        assert all(abs(given[s] - (n + 1) * w) < 1 + 1e-6 for s, w in weights.items())
+    hot = [1000 / 2] + [1.0] * 1000
+    quota = pfair_mix.quotas(hot, 1 << 53)
+    got = pfair_mix.schedule(quota, [1000] + [1] * 1000)
+    assert abs(sum(s == 0 for slot, s, *_ in got if slot < 900) - 300) < 1 + 1e-6
+
+
 def test_mixed_order(spark):
     df = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     out = pfair_mix.in_mixed_order(df, block_size=4096)
