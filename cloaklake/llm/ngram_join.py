@@ -62,11 +62,11 @@ def _lists(arrays: list[np.ndarray], dtype: type = np.int64) -> pa.Array:
 
 
 def features(docs: DataFrame, k: int, cells: int) -> DataFrame:
-    """Rows (doc_id, n, set) of all texts, and rows (chunk, counts) with each task's part of the sketch."""
+    """Rows (doc_id, own, n, set) of all texts, and rows (chunk, counts) with each task's part of the sketch; own is as in docs."""
 
     @tidied
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "set", "chunk", "counts"]
+        names = ["doc_id", "own", "n", "set", "chunk", "counts"]
         total, seen = np.zeros(cells, np.uint8), set()
         for batch in batches:
             n, digest, new, held = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [], 0
@@ -87,13 +87,13 @@ def features(docs: DataFrame, k: int, cells: int) -> DataFrame:
                         add(new)
                         new, held = [], 0
             add(new)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(n), pa.array(digest, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         parts = total.reshape(-1, CHUNK)
         at = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array([parts[c].tobytes() for c in at], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array([parts[c].tobytes() for c in at], pa.binary())], names)
 
-    schema = "doc_id long, n long, set binary, chunk int, counts binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
+    schema = "doc_id long, own binary, n long, set binary, chunk int, counts binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "own", "text").mapInArrow(work, schema)
 
 
 def sketch_levels(parts: DataFrame, cells: int) -> np.ndarray:
@@ -328,7 +328,7 @@ def rest_of_pairs(picked: DataFrame, members: DataFrame, label: DataFrame, num:
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int, cells: int, picks: int) -> tuple[DataFrame, DataFrame]:
-    """The features of all texts, and for each set the component_id of its class."""
+    """The features of all texts, and for each set the label and the component_id of its class."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(features(docs, k, cells), "features")
     levels = sketch_levels(found.filter(F.col("chunk").isNotNull()).select("chunk", "counts"), cells)
@@ -350,16 +350,20 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, cells: int, picks: int
     classes = rows.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
     named = classes.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    return found, written(named.join(names, "label").select("set", "component_id"), "classes")
+    return found, written(named.join(names, "label").select("set", "label", "component_id"), "classes")
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22, picks: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; texts link at Jaccard similarity num / den or more."""
+def _labelled(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: int = 1 << 22, picks: int = 4) -> DataFrame:
+    """doc_id, own, n, set of every document (doc_id, own, text), with the label and component_id of its set."""
     with scratch(docs.sparkSession) as keep:
-        found, of_set = _classes(docs.select("doc_id", "text"), k, num, den, cells, picks)
+        found, of_set = _classes(docs, k, num, den, cells, picks)
         keep(found, of_set)
-    rows = found.filter(F.col("chunk").isNull()).select("doc_id", "n", "set")
-    out = rows.join(of_set, "set", "left")
+    return found.filter(F.col("chunk").isNull()).select("doc_id", "own", "n", "set").join(of_set, "set", "left")
+
+
+def ngram_join(docs: DataFrame, **options: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; texts link at Jaccard similarity num / den or more."""
+    out = _labelled(docs.select("doc_id", F.lit(None).cast("binary").alias("own"), "text"), **options)
     own = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -367,13 +371,21 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 3, den: int = 4, cells: i
 def without_copies(docs: DataFrame, broadcast_ids: int = 2_000_000, **options: object) -> DataFrame:
     """One document of each component, that of the smallest doc_id; of rows that repeat a doc_id with one text, one.
 
-    Rows without doc_id stay unless a document with one is in their component.
+    Each row is judged by its own text, whatever other rows have its doc_id. Rows without doc_id come last in their component;
+    where several are first, the digest of doc_id and text decides. Rows without words and doc_id all stay.
     """
-    found = written(ngram_join(docs, **options), "copies")
-    gone = found.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone")).distinct()
-    number = gone.count()
-    gone = F.broadcast(gone) if number <= broadcast_ids else gone
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    kept = found.filter("doc_id = component_id and n_shingles > 0")
-    again = kept.groupBy("doc_id").count().filter("count > 1").take(1)
-    return out.dropDuplicates(["doc_id", "text"]) if again else out
+    own = F.unhex(F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), "text")))  # null text: no space
+    found = written(_labelled(docs.select("doc_id", own.alias("own"), "text"), **options).select("doc_id", "own", "label"), "copies")
+    rows = found.groupBy("label", "doc_id", "own").agg(F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "own"))
+    stay = found.filter("label is not null").groupBy("label").agg(first["own"].alias("own")).select("own")
+    gone = written(found.filter("label is not null").select("own").distinct().join(stay, "own", "left_anti"), "gone")
+    bounded = lambda df: F.broadcast(df) if df.count() <= broadcast_ids else df
+    out = docs.join(bounded(gone.withColumnRenamed("own", "_own")), own == F.col("_own"), "left_anti")
+    again = rows.filter("times > 1 and (label is not null or doc_id is not null)").select("own").join(gone, "own", "left_anti")
+    again = written(again.withColumnRenamed("own", "_own"), "again")
+    if not again.take(1):
+        return out
+    again = bounded(again)
+    one = out.join(again, own == F.col("_own"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, own == F.col("_own"), "left_anti").unionByName(one)
