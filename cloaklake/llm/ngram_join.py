@@ -208,6 +208,9 @@ def runs(postings: DataFrame, num: int, den: int, picks: int = 4, context: int =
             if not batch.num_rows:
                 continue
             both = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, columns, strict=True)]
+            new = np.ones(len(both[0]), bool)  # a group once in each run, so a run that exceeds the context has several groups
+            new[1:] = (both[0][1:] != both[0][:-1]) | (both[1][1:] != both[1][:-1])
+            both = [x[new] for x in both]
             cut = int(np.searchsorted(both[0], both[0][-1]))
             if len(before[0]) and before[0][-1] != both[0][0]:
                 before = none

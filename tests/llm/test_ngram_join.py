@@ -90,6 +90,18 @@ def test_runs_keep_every_shared_posting(spark, context):
     assert any(r.picks for r in got)
 
 
+def test_runs_keep_a_group_that_fills_the_context(spark):
+    rows = [(1, 10, 5, 0)] * 20 + [(1, 11, 6, 0), (1, 12, 6, 0), (2, 10, 5, 0)] + [(3, 10, 5, 0)] * 20
+    df = spark.createDataFrame([(t, g, n, p) for t, g, n, p in rows], "token long, g long, n long, p long").coalesce(1).sortWithinPartitions("token", "n", "g")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ngram_join.runs(df, 3, 4, 3, 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted({(r.token, r.g) for r in got}) == [(1, 10), (1, 11), (1, 12)]
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(x, x + 1) for x in range(0, 40)] + [(100 + rnd.randrange(50), 100 + rnd.randrange(50)) for _ in range(40)] + [(7, 7)]
