@@ -75,7 +75,8 @@ def test_leaks_near_copies_and_edges(spark):
     assert {(r.doc_id, r.item_id) for r in joined.collect()} == want.keys()
 
 
-def test_leaks_near_the_threshold(spark):
+@pytest.mark.parametrize("radius", [3])  # most of these pairs lie beyond it
+def test_leaks_near_the_threshold(spark, radius):
     rnd = random.Random(1)
     common = [f"c{n}" for n in range(12)]
     texts = [[f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(30, 60))] + (common if i % 2 else []) for i in range(30)]
@@ -89,7 +90,7 @@ def test_leaks_near_the_threshold(spark):
     items = [(i, " ".join(t)) for i, t in enumerate(texts)]
     want = brute(docs, items)
     assert sum(s < 0.8 for s, _ in want.values()) > 20
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, items, "item_id")).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"), radius=radius).collect()}
     assert want.keys() <= got.keys() and all(got[p] >= s - 1e-9 for p, (s, _) in want.items())
 
 
