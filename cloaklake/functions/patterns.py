@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import cut, cutter, once, scan
+
 HIT = "array<struct<start:int,end:int,entity_type:string,score:double>>"
 
 # White space as the rules below understand it.
@@ -60,30 +62,45 @@ def no_hits() -> Column:
     return F.array().cast(HIT)
 
 
+PART = "array<struct<gap:int,len:int,entity_type:string,score:double>>"
+
+
+def find_each(text: Column, wanted: list[tuple[str, str, float]], clues: list[Column] | None = None) -> Column:
+    """All non-overlapping matches, left to right, of each of the patterns (pattern, entity_type, score), one after the other.
+
+    Offsets come from the lengths of matches and of what is between; what follows a pattern's last match sets the sum back to 0.
+    clues: conditions under which the patterns are searched for.
+    """
+    if not wanted:
+        return no_hits()
+
+    def parts(pattern: str, entity_type: str, score: float) -> Column:
+        part = lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("len"), F.lit(entity_type).alias("entity_type"), F.lit(score).alias("score"))
+        some = lambda found: F.when(F.size(found) > 0, F.zip_with(F.split(text, pattern, -1), found, part)).otherwise(F.array().cast(PART))
+        return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
+
+    every = [parts(*w) for w in wanted]
+    if clues:
+        every = [F.when(c, p).otherwise(F.array().cast(PART)) for c, p in zip(clues, every, strict=True)]
+    hit = lambda pos, x: F.struct((pos + x.gap).alias("start"), (pos + x.gap + x.len).alias("end"), x.entity_type.alias("entity_type"), x.score.alias("score"))
+    state_of = lambda pos, x: F.coalesce(pos + x.gap + x.len, F.lit(0))
+    out_of = lambda pos, x: F.when(x.len.isNull(), no_hits()).otherwise(F.array(hit(pos, x)))
+    return scan(F.concat(*every) if len(every) > 1 else every[0], F.lit(0), state_of, out_of, HIT).out
+
+
 def find_all(text: Column, pattern: str, entity_type: str, score: float = 1.0) -> Column:
-    """All non-overlapping matches of a pattern, left to right. Offsets come from the lengths of matches and of what is between."""
-    p = F.lit(pattern)
-    parts = F.arrays_zip(
-        F.transform(F.split(text, pattern, -1), lambda x: F.length(x)).alias("gap"),
-        F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda x: F.length(x)).alias("len"),
-    )
-    start = F.struct(F.lit(0).alias("pos"), no_hits().alias("hits"))
-    step = lambda acc, x: F.struct(
-        (acc.pos + x["0"] + F.coalesce(x["1"], F.lit(0))).alias("pos"),
-        F.when(x["1"].isNull(), acc.hits).otherwise(F.array_append(acc.hits, F.struct((acc.pos + x["0"]).alias("start"), (acc.pos + x["0"] + x["1"]).alias("end"), F.lit(entity_type).alias("entity_type"), F.lit(score).alias("score")))).alias("hits"),
-    )
-    parts = F.transform(parts, lambda x: F.struct(x["gap"].alias("0"), x["len"].alias("1")))
-    return F.aggregate(parts, start, step, lambda acc: acc.hits)
+    """All non-overlapping matches of a pattern, left to right."""
+    return find_each(text, [(pattern, entity_type, score)])
 
 
 def value_of(text: Column, hit: Column) -> Column:
     return F.substring(text, hit.start + 1, hit.end - hit.start)
 
 
-def apart(text: Column, hit: Column) -> Column:
-    """Neither a letter nor a digit touches the hit."""
-    before = F.when(hit.start == 0, F.lit("")).otherwise(F.substring(text, hit.start, F.lit(1)))
-    return ~F.rlike(before, F.lit("[0-9A-Za-z]")) & ~F.rlike(F.substring(text, hit.end + 1, F.lit(1)), F.lit("[0-9A-Za-z]"))
+def apart(c: Column, hit: Column) -> Column:
+    """Neither a letter nor a digit touches the hit. c: cutter(text)."""
+    before = cut(c, F.greatest(F.lit(0), hit.start - 1), F.least(F.lit(1), hit.start))
+    return ~F.rlike(before, F.lit("[0-9A-Za-z]")) & ~F.rlike(cut(c, hit.end, F.lit(1)), F.lit("[0-9A-Za-z]"))
 
 
 def digits(value: Column) -> Column:
@@ -91,65 +108,88 @@ def digits(value: Column) -> Column:
 
 
 def luhn_ok(value: Column) -> Column:
-    return F.call_function("luhn_check", digits(value)) & (F.length(digits(value)) >= 13) & (F.length(digits(value)) <= 19)
+    return once(digits(value), lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & F.call_function("luhn_check", d))
 
 
 def iban_ok(value: Column) -> Column:
     """ISO 7064 mod 97: the first four characters go last, letters become 10 to 35, the number leaves 1."""
-    flat = F.replace(value, F.lit(" "), F.lit(""))
-    moved = F.concat(F.substring(flat, 5, 64), F.substring(flat, 1, 4))
     number = lambda c: F.when(F.ascii(c) >= 65, F.ascii(c) - 55).otherwise(F.ascii(c) - 48)
-    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(F.ascii(c) >= 65, 100).otherwise(10) + number(c)) % 97))
-    return (F.length(flat) >= 15) & (F.length(flat) <= 34) & (rest == 1)
-
-
-def secret_hits(text: Column, entity_type: str) -> Column:
-    clue, lower = CLUES[entity_type]
-    found = F.concat(*[find_all(text, p, entity_type) for p in SECRETS[entity_type]])
-    return F.when(F.contains(F.lower(text) if lower else text, F.lit(clue)), found).otherwise(no_hits())
-
-
-def pii_hits(text: Column, entity_type: str, language: Column | None = None, contexts: dict[str, list[str]] | None = None) -> Column:
-    """Hits of one recogniser. A phone number scores 0.4, or 0.75 where a context word of its language is among the 50 characters before."""
-    if entity_type == "EMAIL_ADDRESS":
-        return F.when(F.contains(text, F.lit("@")), find_all(text, PII[entity_type], entity_type)).otherwise(no_hits())
-    raw = find_all(text, PII.get(entity_type) or EXTRA[entity_type], entity_type, 0.4 if entity_type == "PHONE_NUMBER" else 1.0)
-    if entity_type in EXTRA:
-        return raw
-    if entity_type == "IBAN_CODE":
-        return F.filter(raw, lambda h: apart(text, h) & iban_ok(value_of(text, h)))
-    if entity_type == "CREDIT_CARD":
-        return F.filter(raw, lambda h: apart(text, h) & luhn_ok(value_of(text, h)))
-    if entity_type == "IP_ADDRESS":
-        return F.filter(raw, lambda h: apart(text, h))
-    phones = F.filter(raw, lambda h: apart(text, h) & F.length(digits(value_of(text, h))).between(7, 15))
-    if not contexts:
-        return phones
-    words = F.lit(contexts[sorted(contexts)[0]]) if language is None and len(contexts) == 1 else None
-    if words is None:
+    rest = lambda moved: F.aggregate(F.split(moved, ""), F.lit(0), lambda r, c: F.when(c == "", r).otherwise((r * F.when(F.ascii(c) >= 65, 100).otherwise(10) + number(c)) % 97))
+    return once(F.replace(value, F.lit(" "), F.lit("")), lambda flat: (F.length(flat) >= 15) & (F.length(flat) <= 34) & (rest(F.concat(F.substring(flat, 5, 64), F.substring(flat, 1, 4))) == 1))
+
+
+def with_cutter(text: Column, hits: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(cutter of the text, hits) where there are hits, both worked out once."""
+    return once(hits, lambda hs: F.when(F.size(hs) > 0, once(cutter(text), lambda c: use(c, hs))).otherwise(hs))
+
+
+def cut_hit(c: Column, hit: Column) -> Column:
+    return cut(c, hit.start, hit.end - hit.start)
+
+
+def secret_hits(text: Column, entity_types: list[str]) -> Column:
+    """Hits of secret types, in their order. A text without a type's clue is not searched for it."""
+
+    wanted = [(p, t, 1.0) for t in entity_types for p in SECRETS[t]]
+    clue = lambda t: F.contains(F.lower(text) if CLUES[t][1] else text, F.lit(CLUES[t][0]))
+    return find_each(text, wanted, [clue(t) for _, t, _ in wanted])
+
+
+def pii_hits(text: Column, entity_types: list[str], language: Column | None = None, contexts: dict[str, list[str]] | None = None) -> Column:
+    """Hits of recognisers, in their order. A phone number scores 0.4, or 0.75 where a context word of its language is among the 50 characters before."""
+    found = find_each(text, [(PII.get(t) or EXTRA[t], t, 0.4 if t == "PHONE_NUMBER" else 1.0) for t in entity_types])
+    sound = {
+        "IBAN_CODE": lambda c, h: iban_ok(cut_hit(c, h)),
+        "CREDIT_CARD": lambda c, h: luhn_ok(cut_hit(c, h)),
+        "IP_ADDRESS": lambda c, h: F.lit(True),
+        "PHONE_NUMBER": lambda c, h: F.length(digits(cut_hit(c, h))).between(7, 15),
+    }
+    checked = [t for t in entity_types if t in sound]
+    if not checked:
+        return found
+
+    def kept(c: Column, h: Column) -> Column:
+        out = F.when(~h.entity_type.isin(checked), True).when(~apart(c, h), False)
+        for t in checked:
+            out = out.when(h.entity_type == t, sound[t](c, h))
+        return out
+
+    if "PHONE_NUMBER" not in checked or not contexts:
+        return with_cutter(text, found, lambda c, hs: F.filter(hs, lambda h: kept(c, h)))
+    if len(contexts) == 1 and language is None:
+        words = F.lit(next(iter(contexts.values())))
+    else:
         table = F.create_map(*[x for k, v in contexts.items() for x in (F.lit(k), F.lit(v))])
         words = F.coalesce(F.element_at(table, language if language is not None else F.lit("en")), F.array().cast("array<string>"))
-    before = lambda h: F.lower(F.substring(text, F.greatest(F.lit(1), h.start - 49), F.least(F.lit(50), h.start)))
-    raised = lambda h: F.when(F.exists(words, lambda w: F.contains(before(h), F.lower(w))), 0.75).otherwise(h.score)
-    return F.transform(phones, lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), h.entity_type.alias("entity_type"), raised(h).alias("score")))
+    before = lambda c, h: F.lower(cut(c, F.greatest(F.lit(0), h.start - 50), F.least(F.lit(50), h.start)))
+    near = lambda c, h, ws: once(before(c, h), lambda b: F.exists(ws, lambda w: F.contains(b, F.lower(w))))
+    score = lambda c, h, ws: F.when(h.entity_type != "PHONE_NUMBER", h.score).when(near(c, h, ws), 0.75).otherwise(h.score)
+    scored = lambda c, h, ws: F.struct(h.start.alias("start"), h.end.alias("end"), h.entity_type.alias("entity_type"), score(c, h, ws).alias("score"))
+    return with_cutter(text, found, lambda c, hs: once(words, lambda ws: F.transform(F.filter(hs, lambda h: kept(c, h)), lambda h: scored(c, h, ws))))
 
 
 def gazetteer_hits(text: Column, names: list[str], entity_type: str, score: float = 0.85) -> Column:
     """Hits of listed names (for PERSON or LOCATION, where no model is plugged in), longest names first."""
     quoted = "|".join(rf"\Q{n}\E" for n in sorted(names, key=lambda n: (-len(n), n)))
-    return F.filter(find_all(text, quoted, entity_type, score), lambda h: apart(text, h)) if names else no_hits()
+    return with_cutter(text, find_all(text, quoted, entity_type, score), lambda c, hs: F.filter(hs, lambda h: apart(c, h))) if names else no_hits()
 
 
-#: Detectors by type: text to hits. Further detectors may be registered.
-REGISTRY: dict[str, Callable[[Column], Column]] = {t: (lambda text, t=t: secret_hits(text, t)) for t in SECRETS} | {t: (lambda text, t=t: pii_hits(text, t)) for t in (*PII, *EXTRA)}
+#: Detectors by type: text to hits. Further detectors may be registered; those that come with the engine are searched for together.
+REGISTRY: dict[str, Callable[[Column], Column]] = {t: (lambda text, t=t: secret_hits(text, [t])) for t in SECRETS} | {t: (lambda text, t=t: pii_hits(text, [t])) for t in (*PII, *EXTRA)}
+_OWN = dict(REGISTRY)
 
 
 def register(entity_type: str, build: Callable[[Column], Column]) -> None:
     REGISTRY[entity_type] = build
 
 
-def detect(text: Column, types: list[str], max_chars: int = 0) -> Column:
-    """Hits of all given types in registry order; only the first max_chars characters are scanned (0: all)."""
+def detect(text: Column, types: list[str], max_chars: int = 0, language: Column | None = None, contexts: dict[str, list[str]] | None = None) -> Column:
+    """Hits of all given types, secrets in registry order, then personal data, then registered types; only the first max_chars
+    characters are scanned (0: all)."""
     scanned = F.substring(text, 1, max_chars) if max_chars else text
-    built = [REGISTRY[t](scanned) for t in REGISTRY if t in types]
+    own = [t for t in REGISTRY if t in types and REGISTRY[t] is _OWN.get(t)]
+    secrets, personal = [t for t in own if t in SECRETS], [t for t in own if t not in SECRETS]
+    built = [secret_hits(scanned, secrets)] if secrets else []
+    built += [pii_hits(scanned, personal, language, contexts)] if personal else []
+    built += [REGISTRY[t](scanned) for t in REGISTRY if t in types and t not in own]
     return F.concat(*built) if built else no_hits()

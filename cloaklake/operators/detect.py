@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import intervals, language, patterns
+from ..functions.arrays import once
 from ..sources.config import Pii, Secrets
 from ..sources.languages import contexts
 from .extract import joined_text
@@ -25,16 +26,15 @@ def not_whitelisted(text: Column, hits: Column, whitelist: tuple | list) -> Colu
     if not whitelist:
         return hits
     listed = F.lit(list(whitelist))
-    return F.filter(hits, lambda h: ~F.exists(listed, lambda w: F.contains(w, patterns.value_of(text, h)) | F.contains(patterns.value_of(text, h), w)))
+    clear = lambda v: ~F.exists(listed, lambda w: F.contains(w, v) | F.contains(v, w))
+    return patterns.with_cutter(text, hits, lambda c, hs: F.filter(hs, lambda h: once(patterns.cut_hit(c, h), clear)))
 
 
 def pii_hits(text: Column, config: Pii, lang: Column | None = None, whitelist: tuple | list = ()) -> Column:
     """Hits of the configured types, at or above the threshold, not whitelisted; none in empty texts. Types without a recogniser
     (PERSON and LOCATION, unless one was registered) have no hits."""
     known = [t for t in patterns.REGISTRY if t in config.entities and t not in patterns.SECRETS]
-    words = contexts(list(config.languages))
-    build = lambda t: patterns.pii_hits(text, t, lang, words) if t in patterns.PII else patterns.REGISTRY[t](text)
-    found = F.concat(*[build(t) for t in known]) if known else patterns.no_hits()
+    found = patterns.detect(text, known, language=lang, contexts=contexts(list(config.languages)))
     found = F.filter(found, lambda h: h.score >= config.score_threshold)
     return F.coalesce(not_whitelisted(text, found, whitelist), patterns.no_hits())
 

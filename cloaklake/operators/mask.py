@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import language, placeholders
+from ..functions.arrays import fresh
 from ..functions.patterns import no_hits
 from ..sources.config import Config, Pii, Secrets
 from .detect import pii_hits, resolved_pii, resolved_secrets, secret_hits
@@ -26,7 +29,7 @@ def mask_requests(spans: DataFrame, hits: str, seeds: DataFrame | None = None) -
     start = None
     if seeds is not None:
         out, start = out.join(seeds, "request_id", "left"), F.coalesce("start_from", F.create_map().cast("map<string,int>"))
-    out = out.withColumn("m", placeholders.mask_spans(F.col("s"), start))
+    out = placeholders.masked(out, F.col("s"), "m", start)
     own = F.transform(F.arrays_zip(F.col("s"), F.col("m.texts").alias("masked")), lambda z: F.struct(z.s.span_ord.alias("span_ord"), z.s.path.alias("path"), z.s.message_idx.alias("message_idx"), z.s.part_idx.alias("part_idx"), z.s.nested_idx.alias("nested_idx"), z.s.text.alias("text"), z.masked.alias("masked"), (F.size(z.s.hits) > 0).alias("changed")))
     keep = ["request_id", own.alias("spans"), F.col("m.context").alias("context")]
     return out.select(*keep, *(["start_from"] if seeds is not None else []))
@@ -44,9 +47,16 @@ def mask_bodies(requests: DataFrame, masked: DataFrame, dialect: str) -> DataFra
     return with_texts(requests, masked_spans(masked), dialect)
 
 
+def _one_masked(df: DataFrame, text: Column, hits: Column, resolve: Callable[[Column], Column], into: str, seeds: Column | None = None, context: Column | None = None) -> DataFrame:
+    """df with its text masked as `into`, each row on its own."""
+    h = fresh(df, "_hits")
+    out = df.withColumn(h, hits).withColumn(h, resolve(F.col(h)))
+    return placeholders.masked(out, F.array(F.struct(text.alias("text"), F.col(h).alias("hits"))), into, seeds, context).drop(h)
+
+
 def mask_documents(df: DataFrame, text: str, config: Pii, whitelist: tuple | list = (), lang: Column | None = None) -> DataFrame:
     """df with masked (struct of texts and context): each row a request of one text, without any exchange."""
-    return df.withColumn("masked", placeholders.mask_text(F.col(text), resolved_pii(pii_hits(F.col(text), config, lang, whitelist))))
+    return _one_masked(df, F.col(text), pii_hits(F.col(text), config, lang, whitelist), resolved_pii, "masked")
 
 
 def mask_service(df: DataFrame, config: Config) -> DataFrame:
@@ -59,10 +69,10 @@ def mask_service(df: DataFrame, config: Config) -> DataFrame:
     lang = language.request_language(F.col("given_language"), F.col("text"), list(pii.languages), pii.fallback_language)
     out = df.withColumn("_lang", lang)
     seeds = F.coalesce("start_from", F.create_map().cast("map<string,int>"))
-    first = F.when(wants("pii"), resolved_pii(pii_hits(F.col("text"), pii, F.col("_lang.language"), config.masking.whitelist))).otherwise(no_hits())
-    out = out.withColumn("_pii", placeholders.mask_text(F.col("text"), first, seeds)).withColumn("_text", first_text("_pii"))
-    second = F.when(wants("secrets"), resolved_secrets(secret_hits(F.col("_text"), secrets))).otherwise(no_hits())
-    out = out.withColumn("_all", placeholders.mask_text(F.col("_text"), second, seeds, F.col("_pii.context")))
+    first = F.when(wants("pii"), pii_hits(F.col("text"), pii, F.col("_lang.language"), config.masking.whitelist)).otherwise(no_hits())
+    out = _one_masked(out, F.col("text"), first, resolved_pii, "_pii", seeds).withColumn("_text", first_text("_pii"))
+    second = F.when(wants("secrets"), secret_hits(F.col("_text"), secrets)).otherwise(no_hits())
+    out = _one_masked(out, F.col("_text"), second, resolved_secrets, "_all", seeds, F.col("_pii.context"))
     return out.withColumns({
         "masked_text": first_text("_all"),
         "context": F.col("_all.context"),
@@ -76,7 +86,7 @@ def mask_service(df: DataFrame, config: Config) -> DataFrame:
 
 def mask_secrets(df: DataFrame, text: str, config: Secrets) -> DataFrame:
     """df with masked: secrets of a single text masked."""
-    return df.withColumn("masked", placeholders.mask_text(F.col(text), resolved_secrets(secret_hits(F.col(text), config))))
+    return _one_masked(df, F.col(text), secret_hits(F.col(text), config), resolved_secrets, "masked")
 
 
 def restored_choices(choices: Column, pii: Column, secrets: Column | None = None, marker: str | None = None) -> Column:

@@ -50,9 +50,9 @@ DOC_HITS = f"t AS (SELECT doc_id AS k, text, doc_id AS r0 FROM documents), h AS
 
 @query(f"WITH {DOC_HITS}, {O.by_score('f', 'h')}, {O.numbered('l', 'f', 't')}, {O.spliced('m', 'l', 't')} SELECT k AS doc_id, masked AS masked_text, n AS n_entities FROM m")
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("hits", detect.resolved_pii(detect.pii_hits(F.col("text"), PII)))
-    masked = placeholders.mask_text(F.col("text"), F.col("hits"))
-    return docs.select("doc_id", mask.first_text(masked).alias("masked_text"), F.size("hits").alias("n_entities"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("hits", detect.pii_hits(F.col("text"), PII)).withColumn("hits", detect.resolved_pii(F.col("hits")))
+    masked = placeholders.masked(docs, F.array(F.struct("text", "hits")), "masked")
+    return masked.select("doc_id", mask.first_text("masked").alias("masked_text"), F.size("hits").alias("n_entities"))
 
 
 @query(f"WITH {DOC_HITS}, {O.by_score('f', 'h')} SELECT t AS entity_type, count(*) AS hits, count(DISTINCT k) AS docs, count(DISTINCT substr(x.text, s + 1, e - s)) AS entity_values FROM f JOIN (SELECT k, text FROM t) x USING (k) GROUP BY t")

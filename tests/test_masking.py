@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,3 +198,48 @@ def test_model_plug_in_and_responses(spark):
     df = spark.createDataFrame([([(0, ("assistant", "hi [[A_1]]")), (1, ("assistant", None))], [("text", "[[A_1]]"), ("tool_use", "[[A_1]]")])], "choices array<struct<index:int,message:struct<role:string,content:string>>>, blocks array<struct<type:string,text:string>>")
     r = df.select(mask.restored_choices(F.col("choices"), pii).alias("c"), mask.restored_blocks(F.col("blocks"), pii, None, "*").alias("b")).first()
     assert [c.message.content for c in r.c] == ["hi $& x", None] and [b.text for b in r.b] == ["*$& x", "[[A_1]]"]
+
+
+def test_masking_grows_with_the_hits_and_fits_in_any_script(spark):
+    n = 1500  # several blocks of a fold; every value twice
+    text = " ".join(f"😀é user{i % (n // 2)}@example.com ﻿" for i in range(n))
+    ascii_only = " ".join(f"user{i % (n // 2)}@example.com 10.0.{i % 250}.1" for i in range(n))
+    config = Pii(entities=("EMAIL_ADDRESS", "IP_ADDRESS"))
+    df = mask.mask_documents(spark.createDataFrame([(0, text), (1, ascii_only)], "i int, text string"), "text", config)
+    restored = placeholders.restore(mask.first_text("masked"), placeholders.mapping(F.col("masked.context")))
+    rows = df.select("text", mask.first_text("masked").alias("m"), F.size("masked.context").alias("n"), restored.alias("r")).orderBy("i").collect()
+    assert all(r.r == r.text for r in rows) and [r.n for r in rows] == [n // 2, n // 2 + 250]
+    assert rows[0].m == " ".join(f"😀é [[EMAIL_ADDRESS_{i % (n // 2) + 1}]] ﻿" for i in range(n))
+
+
+@pytest.mark.parametrize("resolve", [intervals.resolve_by_score, intervals.resolve_by_start])
+def test_many_intervals(spark, resolve):
+    rnd = random.Random(5)
+    rows = [(s, s + rnd.randrange(1, 30), rnd.choice("AB"), rnd.randrange(5) / 4) for s in (rnd.randrange(6000) for _ in range(700))]
+
+    def merged():
+        out = []
+        for t in "AB":
+            own = []
+            for s, e, _, p in sorted(r for r in rows if r[2] == t):
+                if own and s < own[-1][1]:
+                    own[-1] = (own[-1][0], max(e, own[-1][1]), t, max(p, own[-1][3]))
+                else:
+                    own.append((s, e, t, p))
+            out += own
+        return out
+
+    by_score, want = resolve is intervals.resolve_by_score, []
+    for s, e, t, p in sorted(merged(), key=lambda h: (-h[3], h[0] - h[1], h[0], h[2])) if by_score else sorted(rows, key=lambda h: (h[0], h[0] - h[1], h[2])):
+        if all(e <= k[0] or k[1] <= s for k in want) if by_score else not want or s >= want[-1][1]:
+            want.append((s, e, t, p))
+    got = values(spark, [(iv(*rows),)], f"hits {patterns.HIT}", resolve(F.col("hits")))[0]
+    assert [tuple(r) for r in got] == sorted(want)
+
+
+def test_restoring_many_gives_the_same_in_turn_and_at_once(spark):
+    plain = {f"[[A_{i}]]": f"value {i}" for i in range(40)}
+    odd = plain | {"[[A_1]]": "[[A_2]]"}
+    text = "x [[A_1]] [[A_39]] [[A_77]] [[[A_11]] end"
+    got = values(spark, [(text, plain), (text, odd), (None, plain)], "text string, m map<string,string>", placeholders.restore(F.col("text"), F.col("m"), "*"))
+    assert got == ["x *value 1 *value 39 [[A_77]] [*value 11 end", "x **value 2 *value 39 [[A_77]] [*value 11 end", None]
