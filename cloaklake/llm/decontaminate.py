@@ -27,12 +27,16 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import fresh, once
 from .shared import written
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; an empty word may stand at either end."""
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """Lower-cased runs of letters and digits."""
+    first = lambda w: (F.get(w, F.lit(0)) == "").cast("int")
+    last = lambda w: (F.element_at(w, -1) == "").cast("int")
+    # what is split off at either end of a text is an empty word
+    return once(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.slice(w, first(w) + 1, F.greatest(F.lit(0), F.size(w) - first(w) - last(w))))
 
 
 def _hash(words: str, at: str, k: int) -> Column:
@@ -57,8 +61,7 @@ def _simhash(weighted: str) -> Column:
 
 def item_table(items: DataFrame, k: int) -> DataFrame:
     """item_id, digest, size, words, shingles of the items that have words; item_id and digest tell the rows apart."""
-    clean = F.filter(words_of(F.col("text")), lambda x: x != "")
-    df = items.filter("text is not null").select("item_id", clean.alias("words")).filter("size(words) > 0").distinct()
+    df = items.filter("text is not null").select("item_id", words_of(F.col("text")).alias("words")).filter("size(words) > 0").distinct()
     return df.select("item_id", F.unhex(F.md5(F.array_join("words", " "))).alias("digest"), F.size("words").alias("size"), "words", _shingles("words", k).alias("hs"))
 
 
@@ -147,5 +150,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
 def without_leaks(docs: DataFrame, items: DataFrame, broadcast_ids: int = 2_000_000, **options: object) -> DataFrame:
     """The documents that hold no item. Each row is judged by its own text, whatever other rows have its doc_id, or none."""
     digest = F.unhex(F.md5("text"))
-    bad = written(find_leaks(docs.select(digest.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(_bounded(bad, bad.count(), broadcast_ids), digest == F.col("leak"), "left_anti")
+    leak = fresh(docs, "leak")
+    bad = written(find_leaks(docs.select(digest.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(_bounded(bad, bad.count(), broadcast_ids), digest == F.col(leak), "left_anti")

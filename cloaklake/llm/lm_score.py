@@ -25,7 +25,7 @@ from math import exp, log
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import tidied, written
@@ -145,15 +145,28 @@ def marginals(words: DataFrame, path: str, counts: np.ndarray) -> DataFrame:
 
 
 def frequent(vocabulary: DataFrame, most: int) -> int:
-    """The least count such that at most `most` words have it: from the histogram of counts, whose rows are few."""
-    sizes = sorted(((r.n_all, r.words) for r in vocabulary.groupBy("n_all").agg(F.count("*").alias("words")).collect()), reverse=True)
-    total, least = 0, (sizes[0][0] + 1 if sizes else 1)
-    for n, words in sizes:
-        total += words
-        if total > most:
-            break
-        least = n
-    return least
+    """The least count such that at most `most` words have it: by powers of two, then by ever narrower steps,
+    so that the driver sees a few rows however large the corpus."""
+
+    def first_place(place: Column, low: int) -> int:
+        """The least place such that at most `most` words are there or above, among those of a count of `low` or more."""
+        words = {r.place: r.words for r in vocabulary.filter(F.col("n_all") >= low).groupBy(place.alias("place")).agg(F.count("*").alias("words")).collect()}
+        total = 0
+        for i in sorted(words, reverse=True):
+            total += words[i]
+            if total > most:
+                return i + 1
+        return 0
+
+    bits = first_place(F.length(F.bin("n_all")), 1)
+    if not bits:
+        return 1
+    low, high = 1 << (bits - 2), 1 << (bits - 1)  # too many words from low on, not from high on
+    while high - low > 1:
+        step = -(-(high - low) // 64)
+        place = first_place(F.least(F.floor((F.col("n_all") - low) / step), F.lit(64)), low)
+        low, high = low + (place - 1) * step, min(high, low + place * step)
+    return high
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str, modulus: int = 7, held: int = 2, broadcast_words: int = 1 << 19) -> DataFrame:

@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import fresh
 from .components import components
 from .shared import scratch, tidied, written
 from .wordkernel import U64, Words, mixed, shingles, slices, text_bytes
@@ -384,11 +385,12 @@ def without_copies(docs: DataFrame, broadcast_ids: int = 2_000_000, **options: o
     stay = found.filter("label is not null").groupBy("label").agg(first["own"].alias("own")).select("own")
     gone = written(found.filter("label is not null").select("own").distinct().join(stay, "own", "left_anti"), "gone")
     bounded = lambda df: F.broadcast(df) if df.count() <= broadcast_ids else df
-    out = docs.join(bounded(gone.withColumnRenamed("own", "_own")), own == F.col("_own"), "left_anti")
+    name = fresh(docs, "_own")
+    out = docs.join(bounded(gone.withColumnRenamed("own", name)), own == F.col(name), "left_anti")
     again = rows.filter("times > 1 and (label is not null or doc_id is not null)").select("own").join(gone, "own", "left_anti")
-    again = written(again.withColumnRenamed("own", "_own"), "again")
+    again = written(again.withColumnRenamed("own", name), "again")
     if not again.take(1):
         return out
     again = bounded(again)
-    one = out.join(again, own == F.col("_own"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return out.join(again, own == F.col("_own"), "left_anti").unionByName(one)
+    one = out.join(again, own == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
+    return out.join(again, own == F.col(name), "left_anti").unionByName(one)

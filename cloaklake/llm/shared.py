@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -21,9 +22,11 @@ table = read_table
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set (tests on one machine)."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set and the master is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -69,13 +72,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     with small_batches(df.sparkSession):
         df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _scratches:
-        _scratches[-1].append((out, path))
+    if _open():
+        _open()[-1].append((out, path))
     return out
 
 
-#: Tables written inside the scratch() blocks that are open, innermost last.
-_scratches: list[list[tuple[DataFrame, str]]] = []
+_thread = threading.local()
+
+
+def _open() -> list[list[tuple[DataFrame, str]]]:
+    """Tables written inside the scratch() blocks that this thread has open, innermost last."""
+    if not hasattr(_thread, "scratches"):
+        _thread.scratches = []
+    return _thread.scratches
 
 
 @contextmanager
@@ -83,17 +92,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
     """Tables written inside are removed at the end, but those given to what this yields: they are what is still read later."""
     own: list[tuple[DataFrame, str]] = []
     kept: list[DataFrame] = []
-    _scratches.append(own)
+    _open().append(own)
     try:
         yield lambda *tables: kept.extend(tables)
     finally:
-        _scratches.remove(own)
+        _open().pop()
         stay = [(t, p) for t, p in own if any(t is k for k in kept)]
         for t, p in own:
             if not any(t is k for k, _ in stay):
                 _remove(spark, p)
-        if _scratches:
-            _scratches[-1].extend(stay)
+        if _open():
+            _open()[-1].extend(stay)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

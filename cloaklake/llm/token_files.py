@@ -1,18 +1,21 @@
 """Token-ID files: Arrow streams of fixed-size-list batches, for zero-copy random access to equal-length sequences and masks.
 
-The ids of all documents, in ascending doc_id order, are one long stream. Each range of doc_ids is a shard of two files:
+The ids of all documents, in ascending doc_id order, are one long stream. Each range of it, of about `shard_bytes` bytes of text
+at the most (so more input has more shards, not larger ones), is a shard of two files:
 `tokens-<k>.arrow` holds the shard's ids cut into rows (input_ids fixed_size_list[seq_len], attention_mask
 fixed_size_list[seq_len], the last row padded), in record batches of equal numbers of rows, so that row r of a memory-mapped
 file is batch r // rows, row r % rows, without a copy; `index-<k>.arrow` holds doc_id, start in the shard and n_tokens.
 
-Documents move once, by range of doc_id; a shard is encoded as a stream, so a task holds one batch of rows of text at a time.
+Documents move once, by range of doc_id and a hash of the text; a shard is encoded as a stream, so a task holds one batch of rows
+of text at a time, and read again as a stream, by record batch.
 Files get their final name by a rename, and a repeated task writes the same bytes, so a lost executor does no harm.
 
 The library encodes every distinct piece of text once for each worker: a text falls into pieces at places (see cuts) where the
 byte-level pre-tokenizer always splits as well; tests compare with whole texts.
 
-Defined results: a null or empty text has just the end id; equal doc_ids stand side by side, ordered by their text; null
-doc_ids come first; an empty table has no files and an empty result; other columns are ignored.
+Defined results: a null or empty text has just the end id; equal doc_ids stand side by side, ordered by a hash of their text;
+null doc_ids come first; rows equal in both are in one shard; an empty table has no files and an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -172,11 +175,12 @@ def sequence_schema(seq_len: int, dtype: type) -> pa.Schema:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = 2048, rows: int = 512, end_id: int = 0, shards: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """Encode and write all documents; returns a table (shard, docs, tokens) of the files written. order: default doc_id, text."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = 2048, rows: int = 512, end_id: int = 0, shards: int | None = None, order: list[str] | None = None, shard_bytes: int = 1 << 28) -> DataFrame:
+    """Encode and write all documents; returns a table (shard, docs, tokens) of the files written. order: columns of docs, by default doc_id and a hash of the text."""
     spark = docs.sparkSession
-    shards = shards or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = order or ["doc_id", "text"]
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
 
     @tidied
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,8 +223,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, seq_len: int = 20
             index.close()
             yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [docs_seen], "tokens": [base]})
 
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in order if c not in ("doc_id", "text")])
-    placed = df.repartitionByRange(shards, *[c for c in order if c != "text"]).sortWithinPartitions(*order)
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"_{i}") for i, c in enumerate(order or [])])
+    keys = [f"_{i}" for i, _ in enumerate(order)] if order else ["doc_id", F.xxhash64("text")]
+    placed = df.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, *([] if order else ["text"]))
     return written(placed.select("doc_id", "text").mapInArrow(shard, "shard long, docs long, tokens long"), "token-shards")
 
 
@@ -231,13 +236,17 @@ def read_sequences(path: str) -> pa.Table:
     return pa.ipc.open_stream(source).read_all()
 
 
-def flat_ids(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
-    """For each record batch, the position of its first id and its ids, without a copy."""
-    at = 0
-    for chunk in table.column("input_ids").chunks:
-        ids = chunk.flatten().to_numpy(zero_copy_only=True)
-        yield at, ids
-        at += len(ids)
+def batches_of(path: str) -> Iterator[pa.RecordBatch]:
+    """A file's record batches, one after the other: memory-mapped where the path is local, else read one at a time."""
+    fs, p = opened(path)
+    with pa.memory_map(p) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_stream(p) as source:
+        yield from pa.ipc.open_stream(source)
+
+
+def flat_ids(path: str) -> Iterator[np.ndarray]:
+    """The ids of a shard's record batches, without a copy."""
+    for batch in batches_of(path):
+        yield batch.column(0).flatten().to_numpy(zero_copy_only=True)
 
 
 def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
@@ -252,17 +261,16 @@ def read_tokens(shards: DataFrame, folder: str) -> DataFrame:
         head = folder[: len(folder) - len(root)]
         for batch in batches:
             for k, base in zip(batch.column("shard").to_pylist(), batch.column("base").to_pylist(), strict=True):
-                parts = list(flat_ids(read_sequences(f"{head}{root}/tokens-{k:06d}.arrow")))
-                size = len(parts[0][1])
-                for index in read_sequences(f"{head}{root}/index-{k:06d}.arrow").to_batches(max_chunksize=8192):
+                ids, more = np.zeros(0, np.uint16), flat_ids(f"{head}{root}/tokens-{k:06d}.arrow")
+                for index in batches_of(f"{head}{root}/index-{k:06d}.arrow"):
                     crc = []
                     start, n = index.column("start").to_numpy(), index.column("n_tokens").to_numpy()
-                    for s, m in zip(start.tolist(), n.tolist(), strict=True):
+                    for m in n.tolist():  # documents follow one another
                         c = 0
                         while m:
-                            at, ids = parts[s // size]
-                            got = ids[s - at : s - at + m]
-                            c, s, m = zlib.crc32(got.astype("<u4").data, c), s + len(got), m - len(got)
+                            ids = ids if len(ids) else next(more)
+                            got, ids = ids[:m], ids[m:]
+                            c, m = zlib.crc32(got.astype("<u4").data, c), m - len(got)
                         crc.append(c)
                     yield pa.RecordBatch.from_arrays([index.column("doc_id"), pa.array(start + base), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import fresh
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The rules of the registered query: (verdict, host, path).
@@ -62,9 +64,10 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES, url: st
     keyed = table.withColumn("short", F.substring("digest", 1, 8)).withColumnRenamed("digest", "whole")
     keyed = F.broadcast(keyed) if len(rules) <= broadcast_rules else keyed
     found = tried.join(keyed, (tried.short == keyed.short) & (tried.digest == keyed.whole), "left")
+    name = fresh(df, "best")
     best = found.groupBy("host", "path").agg(
-        F.max(F.when(F.col("rule").isNotNull(), F.struct((F.col("host_len") + F.col("path_len")).alias("n"), "host_len", "rule", keyed.verdict.alias("verdict")))).alias("best")
+        F.max(F.when(F.col("rule").isNotNull(), F.struct((F.col("host_len") + F.col("path_len")).alias("n"), "host_len", "rule", keyed.verdict.alias("verdict")))).alias(name)
     )
     out = parsed.join(best, ["host", "path"], "left")
-    kept = [parsed[c] for c in parsed.columns]
-    return out.select(*kept, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    kept = [parsed[f"`{c}`"] for c in parsed.columns]
+    return out.select(*kept, F.col(f"{name}.rule").alias("rule"), F.coalesce(f"{name}.verdict", F.lit(default)).alias("verdict"))

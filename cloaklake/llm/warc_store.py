@@ -6,9 +6,9 @@ record that stands before the payload: the WARC header and the HTTP header. A re
 revisit record header + CRLF CRLF. Reading verifies each stored payload against its address before use.
 
 Who is response: among records with equal payloads of at least `min_bytes`, the one with the largest page_id; the others
-revisit it; smaller ones are all responses (their bytes still are stored once). Only narrow rows (digest, page_id) are
-grouped, with map-side maxima, so a payload that a third of the pages share costs no more than others; the payload bytes
-move once, keyed by (sha256, page_id), and only for the page that stores them.
+revisit it; smaller ones are all responses (their bytes still are stored once). Digests are worked out once and written without
+the bytes. Only these narrow rows are grouped, with map-side maxima; the rows of a payload that very many pages share are
+joined by a broadcast. The payload bytes move once, keyed by (sha256, page_id), for the page that stores them.
 
 Defined results: a null html is an empty payload; a null page_id counts as smaller than all others; rows that repeat a
 page_id with the same payload are alike (all response if that id is the largest); a null url has no WARC-Target-URI; line
@@ -22,7 +22,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import scratch, written
+
 CRLF = "\r\n"
+#: Hot payloads that are joined by a broadcast at the most (a row of about 100 bytes each); beyond, all go through a shuffle.
+HOT_KEYS = 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -61,24 +65,37 @@ def _header(date: str) -> Column:
     ).cast("binary")
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z") -> str:
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", hot_rows: int = 100_000) -> str:
     """Write the archive of all rows to `path`; returns the path."""
     records = _records(pages, page_id, url, html)
-    stores = records.groupBy("sha256").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    shared = stores.filter("n > 1").select("sha256", "keeper")
-    narrow = records.withColumn("digest", base32_of_hex(F.sha1("payload"))).drop("payload")
-    again = F.col("keeper").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    heads = narrow.join(shared, "sha256", "left").withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-    heads = heads.withColumn("refers_to", F.when(again, F.col("keeper")))
-    heads.select("page_id", "sha256", _header(date).alias("header")).write.parquet(f"{path}/headers")
-    at = stores.select(F.col("sha256").alias("address"), "keeper")
-    payloads = records.join(at, (F.col("sha256") == F.col("address")) & F.col("page_id").eqNullSafe(F.col("keeper")), "left_semi")
-    if stores_twice(records):
-        payloads = payloads.dropDuplicates(["sha256"])
-    payloads.select("sha256", "payload").write.parquet(f"{path}/payloads")
+    with scratch(pages.sparkSession):
+        # digests once, without the bytes; all but the payloads comes from these rows
+        narrow = written(records.withColumn("digest", base32_of_hex(F.sha1("payload"))).drop("payload"), "warc-digests")
+        stores = narrow.groupBy("sha256").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+        heads = hot_join(narrow, stores.filter("n > 1").select("sha256", "keeper"), "sha256", hot_rows)
+        again = F.col("keeper").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+        heads = heads.withColumn("record_type", F.when(again, "revisit").otherwise("response"))
+        heads = heads.withColumn("refers_to", F.when(again, F.col("keeper")))
+        heads.select("page_id", "sha256", _header(date).alias("header")).write.parquet(f"{path}/headers")
+        at = stores.select(F.col("sha256").alias("address"), "keeper")
+        payloads = records.join(at, (F.col("sha256") == F.col("address")) & F.col("page_id").eqNullSafe(F.col("keeper")), "left_semi")
+        if stores_twice(narrow):
+            payloads = payloads.dropDuplicates(["sha256"])
+        payloads.select("sha256", "payload").write.parquet(f"{path}/payloads")
     return path
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """left.join(right, key, "left") where right has a key once. Keys with more than hot_rows rows on the left, of which there are
+    one for every hot_rows rows at the most, are joined by a broadcast, so that their rows stay where they are."""
+    hot = left.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
+    keys = [r[0] for r in hot.limit(HOT_KEYS + 1).collect()]
+    if not keys or len(keys) > HOT_KEYS:
+        return left.join(right, key, "left")
+    own = F.col(key).isin(keys)
+    return left.filter(own).join(F.broadcast(right.filter(own)), key, "left").unionByName(left.filter(~F.coalesce(own, F.lit(False))).join(right, key, "left"))
+
+
 def stores_twice(records: DataFrame) -> bool:
     """Whether a (page_id, payload) pair repeats, so that one payload would be stored more than once."""
     return bool(records.groupBy("page_id", "sha256").count().filter("count > 1").take(1))
@@ -99,11 +116,11 @@ def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({"intact": F.sha2("payload", 256) == F.col("sha256"), "payload_bytes": F.octet_length("payload").cast("long"), "sha1": base32_of_hex(F.sha1("payload"))})
 
 
-def page_records(spark: SparkSession, path: str) -> DataFrame:
+def page_records(spark: SparkSession, path: str, hot_rows: int = 100_000) -> DataFrame:
     """For each record, what reading it back gives; a record whose payload is missing or damaged has no bytes and no digest."""
     heads = headers(spark, path).drop("header")
     stored = verified_payloads(spark, path).filter("intact").select("sha256", "payload_bytes", F.col("sha1").alias("found"))
-    out = heads.join(stored, "sha256", "left")
+    out = hot_join(heads, stored, "sha256", hot_rows)
     good = F.col("found") == F.col("payload_digest")
     return out.select("page_id", F.when(good, F.col("payload_bytes")).alias("payload_bytes"), F.when(good, F.col("found")).alias("payload_digest"), "record_type", "refers_to")
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -44,6 +45,33 @@ def test_edges(spark):
     assert (r.vec_id, r.score) == (0, -5.0)
 
 
+def test_rows_that_repeat_a_vec_id(spark):
+    rnd = random.Random(3)
+    vectors = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(100)]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(0, vectors[0])] * 2 + [(20, vectors[50]), (40, vectors[0])] + [(7, vectors[60])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for a, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            near = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(rows) if b != a)[:20]
+            want += [(i, n + 1, j, pytest.approx(-s)) for n, (s, j) in enumerate(near)]
+    got = [tuple(r) for r in ann_search.nearest(df).collect()]
+    assert len(got) == len(want) and sorted(r[:3] for r in got) == sorted(r[:3] for r in want)
+
+
+def test_clustered_vectors_need_few_parts(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(0, 1, (40, 32)) * 3
+    x = centre[rng.integers(0, 40, 6000)] + rng.normal(0, 0.3, (6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    router = ann_search.learn(x[:4000], 20, 20, 0.95)
+    assert router.probes <= 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute([(i, v) for i, v in enumerate(x.tolist())])
+    got = found(ann_search.nearest(df, parts=20))
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) / sum(map(len, want.values())) >= 0.9
+
+
 def test_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert found(ann_search.nearest(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [3.0])], schema))) == {0: [20, 1], 20: [1, 0]}

@@ -1,8 +1,10 @@
+import itertools
 import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cloaklake.llm import decontaminate, pfair_mix
 
@@ -163,10 +165,11 @@ def test_mix(spark, range_rows):
         sizes = sorted(max(0, r.n_chars or 0) for r in own)
         assert starts[0] == 0 and max(r.block * 300 + r["at"] + max(0, r.n_chars or 0) for r in own) == sum(sizes)
         for r in own:
-            assert r.block * 300 + r["at"] <= sum(sizes) and r.release <= r.slot < r.deadline
+            assert r.block * 300 + r["at"] <= sum(sizes)
+            assert (r.slot, r.release, r.deadline) == (None,) * 3 if s == "c" else r.release <= r.slot < r.deadline  # c has no weight
             total += max(0, r.n_chars or 0)
     slots = {}
-    for r in got:
+    for r in (r for r in got if r.source != "c"):
         assert slots.setdefault(r.slot, r.source) == r.source
     assert mixed(spark, []) == []
 
@@ -186,6 +189,31 @@ def test_mix_keeps_to_the_target_weights(spark):
     assert abs(sum(s == 0 for slot, s, *_ in got if slot < 900) - 300) < 1 + 1e-6
 
 
+def test_weights_over_many_periods_zero_weight_and_bounded_blocks(spark):
+    for weights in ([1 / 3] * 3, [0.0001, 0.9999]):
+        quota = pfair_mix.quotas(weights, 1 << 53)
+        given = [0] * len(weights)
+        for slot, s, *_ in itertools.islice(pfair_mix.schedule(quota, [10**6] * len(weights)), 30_000):
+            given[s] += 1
+            assert all(abs(g - (slot + 1) * w) < 1 + 1e-6 for g, w in zip(given, weights, strict=True))
+    rows = [(i, "abc"[i % 3], 10) for i in range(300)]
+    got = mixed(spark, rows, block_size=20, weights={"a": 0.5, "b": 0.5, "c": 0.0})
+    assert {r.slot for r in got if r.source == "c"} == {None} and len(got) == 300
+    assert max(r.slot for r in got if r.source != "c") <= 2 * 51
+    got = mixed(spark, rows, block_size=20, max_blocks=10)
+    assert len(got) == 300 and len({(r.source, r.block) for r in got}) <= 10 + 3
+    with pytest.raises(ValueError, match="sources"):
+        mixed(spark, rows, max_sources=2)
+    nulls = spark.createDataFrame([(None, "a", 5, str(i)) for i in range(200)], "doc_id long, source string, n_chars long, text string")
+    got = pfair_mix.mix(nulls, block_size=50, range_rows=20).collect()
+    assert len(got) == 200 and len({(r.block, r["at"]) for r in got}) == 200
+
+
+def test_words_begin_with_the_first_word(spark):
+    got = spark.createDataFrame([(t,) for t in ('"alpha beta"', "alpha, beta", "", "...", "x")], "t string").select(decontaminate.words_of(F.col("t"))).collect()
+    assert [r[0] for r in got] == [["alpha", "beta"], ["alpha", "beta"], [], [], ["x"]]
+
+
 def test_mixed_order(spark):
     df = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     out = pfair_mix.in_mixed_order(df, block_size=4096)
