@@ -8,7 +8,7 @@ parts, as many as reach `target` recall on the sample. There, inner products in
 Parts grow in number with the square root of the table's rows. A part is searched in blocks, each with all of its queries in
 blocks as well, so no task holds more than a block of both; nothing is left out. Of equal vectors only the 21 with the
 smallest ids can be among the 20 nearest of any query, so only those are indexed (the rest is an exact reduction: a hot vector
-costs no more than others), and equal queries are searched once.
+costs no more than others), and equal queries are searched once (two vectors of one 64-bit hash would be taken for equal there).
 
 The sample is of distinct vectors, in the order of their hashes, so the parts don't depend on how the table lies in files. What
 learning holds on the driver is the sample (`sample_bytes` at the most) and blocks of a few hundred rows by parts.
@@ -200,8 +200,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, max_sample: int =
     columns = "vec_id long, v array<double>, parts array<int>"
     index = written(kept.mapInArrow(routed(1), columns).select("vec_id", "v", F.col("parts")[0].alias("part")), "ann-index")
     queries = rows.filter(F.col("vec_id") % every == 0)
-    leader = queries.groupBy("h", "v").agg(F.min("vec_id").alias("leader"))
-    asked = written(leader.select(F.col("leader").alias("vec_id"), "v").mapInArrow(routed(router.probes), columns).select("vec_id", "v", F.explode("parts").alias("part")), "ann-queries")
+    # a vector is asked for once, under its hash
+    distinct = queries.groupBy("h").agg(F.min("v").alias("v")).select(F.col("h").alias("vec_id"), "v")
+    asked = written(distinct.mapInArrow(routed(router.probes), columns).select("vec_id", "v", F.explode("parts").alias("part")), "ann-queries")
     blocks = index.groupBy("part").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     q_blocks = asked.groupBy("part").agg(F.ceil(F.count("*") / block_rows).alias("q_blocks"))
     plan = F.broadcast(blocks.join(q_blocks, "part"))  # a row for each part
@@ -220,8 +221,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, max_sample: int =
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(search, "q long, vec_id long, score double, same boolean")
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "vec_id", "score", "same"))), 1, k + 1)
     lists = found.groupBy("q").agg(ranked.alias("found"))
-    of_row = queries.join(leader, ["h", "v"]).select(F.col("vec_id").alias("query_id"), "leader")
-    out = of_row.join(lists, of_row.leader == lists.q)
+    out = queries.select(F.col("vec_id").alias("query_id"), "h").join(lists, F.col("h") == F.col("q"))
     # one of the rows with the query's vec_id and vector is its own; where more than k have the vector, it may be none of these
     out = out.withColumn("own", F.array_position(F.transform("found", lambda x: x.same & (x.vec_id == F.col("query_id"))), True))
     own = F.slice(F.filter("found", lambda _, i: i + 1 != F.col("own")), 1, k)
