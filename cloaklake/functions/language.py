@@ -1,10 +1,13 @@
-"""A rule-based language detector: function words counted, with fallback to a default language."""
+"""A rule-based language detector: function words and scripts counted, with fallback to a default language."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import once
+
+#: Frequent words of each language that its neighbours hardly have; Chinese, Japanese and Korean go by their script instead.
 WORDS: dict[str, list[str]] = {
     "en": ["the", "and", "of", "to", "is", "that", "with", "for", "this", "are"],
     "de": ["der", "die", "und", "das", "ist", "nicht", "ein", "mit", "für", "auf"],
@@ -15,21 +18,42 @@ WORDS: dict[str, list[str]] = {
     "pt": ["os", "uma", "não", "com", "para", "dos", "mais", "como", "são", "em"],
     "pl": ["nie", "jest", "się", "na", "że", "jak", "ale", "czy", "dla", "oraz"],
     "sv": ["och", "att", "det", "som", "inte", "är", "för", "på", "med", "ett"],
-    "no": ["og", "ikke", "det", "som", "på", "til", "er", "med", "av", "jeg"],
+    "no": ["og", "ikke", "det", "som", "på", "til", "er", "med", "av", "jeg", "hva", "mye", "ble", "etter"],
+    "da": ["og", "ikke", "det", "som", "på", "til", "er", "med", "af", "jeg", "hvad", "meget", "blev", "efter"],
+    "fi": ["että", "oli", "mutta", "kun", "niin", "hän", "myös", "ovat", "tämä", "kuin"],
+    "ca": ["els", "amb", "és", "això", "dels", "perquè", "aquesta", "aquest", "molt", "però"],
+    "ro": ["și", "este", "către", "pentru", "din", "sunt", "fost", "sau", "această", "după"],
+    "hr": ["što", "koji", "koja", "nije", "kao", "ili", "biti", "također", "ovaj", "samo"],
+    "sl": ["kaj", "kot", "tudi", "lahko", "vendar", "kako", "bil", "bila", "sem", "ker"],
+    "lt": ["ir", "yra", "kad", "bet", "kaip", "už", "iš", "jis", "buvo", "arba"],
+    "ru": ["и", "в", "не", "на", "что", "как", "это", "по", "но", "из"],
+    "uk": ["і", "в", "не", "на", "що", "як", "це", "та", "до", "але"],
+    "mk": ["и", "на", "во", "се", "да", "не", "од", "што", "со", "кој"],
+    "el": ["και", "το", "να", "του", "η", "της", "με", "για", "που", "δεν"],
 }
+KANA, HAN, HANGUL = "[\u3040-\u30ff]", "[\u4e00-\u9fff]", "[\uac00-\ud7a3]"
 # Fixed value: the detector's code for Norwegian against the registry's.
 OVERRIDES = {"no": "nb"}
 
 
-LETTERS = "a-zà-öø-ÿąćęłńóśźż"
+def raw_language(text: Column) -> Column:
+    """The language with most function words, of equal ones the first by code; null without any. Words are runs of letters.
+
+    Two characters of a script count as a word: Hangul for Korean, Han for Chinese, or, in a text that has kana, both for Japanese.
+    """
+    known = sorted({w for words in WORDS.values() for w in words})
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(known))
+    wide = F.octet_length(text) > F.length(text)
+    count = lambda p: F.when(wide, F.regexp_count(text, F.lit(p))).otherwise(0)
+    found = F.struct(words.alias("words"), count(KANA).alias("kana"), count(HAN).alias("han"), count(HANGUL).alias("hangul"))
+    halved = lambda n: F.floor((n + 1) / 2).cast("int")
 
+    def best(x: Column) -> Column:
+        counts = {code: F.size(F.filter(x.words, lambda w: w.isin(own))) for code, own in WORDS.items()}
+        counts |= {"zh": F.when(x.kana == 0, halved(x.han)).otherwise(0), "ja": F.when(x.kana > 0, halved(x.kana + x.han)).otherwise(0), "ko": halved(x.hangul)}
+        return F.array_min(F.array(*[F.struct((-n).alias("s"), F.lit(code).alias("lang")) for code, n in sorted(counts.items())]))
 
-def raw_language(text: Column) -> Column:
-    """The language with most function words, of equal ones the first by code; null without any. Words end at other than LETTERS."""
-    low = F.lower(text)
-    count = lambda words: F.regexp_count(low, F.lit(rf"(?<![{LETTERS}])(?:{'|'.join(words)})(?![{LETTERS}])"))
-    best = F.array_min(F.array(*[F.struct((-count(words)).alias("s"), F.lit(code).alias("lang")) for code, words in sorted(WORDS.items())]))
-    return F.get(F.transform(F.array(best), lambda b: F.when(b.s < 0, b.lang)), F.lit(0))
+    return once(once(found, best), lambda b: F.when(b.s < 0, b.lang))
 
 
 def detect_language(text: Column, languages: list[str], fallback: str = "en") -> Column:
@@ -41,8 +65,7 @@ def detect_language(text: Column, languages: list[str], fallback: str = "en") ->
         own = F.coalesce(found.isin(languages), F.lit(False))
         return _answer(F.when(own, found).otherwise(fallback), ~own, found)
 
-    # through an array of one, so that the counts are made once, however often the answer refers to them
-    judged = F.get(F.transform(F.array(raw_language(text)), answer), F.lit(0))
+    judged = once(raw_language(text), answer)
     return F.when(F.coalesce(text, F.lit("")) == "", _answer(F.lit(fallback), F.lit(True), F.lit(None).cast("string"))).otherwise(judged)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from .patterns import no_hits
 OPEN, CLOSE = "[[", "]]"
 ENTRY = "struct<placeholder:string,value:string,entity_type:string,n:int>"
 CONTEXT = f"array<{ENTRY}>"
+Marker = str | Callable[[Column], Column] | None
 
 
 def placeholder(entity_type: Column, n: Column) -> Column:
@@ -151,16 +154,17 @@ def entities(context: Column, before: Column | None = None) -> Column:
 MARK = r"\[\[[A-Za-z0-9_]+\]\]"
 
 
-def restore(text: Column, values: Column, marker: str | None = None) -> Column:
-    """text with each placeholder of the map replaced by its value, longest placeholders first, literally; marker goes before values.
+def restore(text: Column, values: Column, marker: Marker = None) -> Column:
+    """text with each placeholder of the map replaced by its value, longest placeholders first, literally; marker goes before
+    values, or, as a function of a Column, makes of each what is put in.
 
     Few placeholders are replaced one after the other. Many are looked up in one pass, which gives the same where all have the
     usual form and no value has brackets, so that nothing restored can be, or become part of, a placeholder.
     """
     ordered = F.sort_array(F.transform(F.map_entries(values), lambda e: F.struct((-F.length(e.key)).alias("l"), e.key.alias("k"), e.value.alias("v"))))
-    value = lambda v: F.concat(F.lit(marker), v) if marker else v
+    value = lambda v: marker(v) if callable(marker) else F.concat(F.lit(marker), v) if marker else v
     in_turn = F.aggregate(ordered, text, lambda t, e: F.replace(t, e.k, value(e.v)))
-    if marker and ("[" in marker or "]" in marker):
+    if callable(marker) or (marker and ("[" in marker or "]" in marker)):
         return in_turn
 
     def at_once(marks: Column) -> Column:
@@ -172,7 +176,7 @@ def restore(text: Column, values: Column, marker: str | None = None) -> Column:
     return F.when((F.size(values) > 16) & usual, once(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), at_once)).otherwise(in_turn)
 
 
-def restore_both(text: Column, pii: Column, secrets: Column, marker: str | None = None) -> Column:
+def restore_both(text: Column, pii: Column, secrets: Column, marker: Marker = None) -> Column:
     """Masked secrets first, then personal data: restored in the reverse order. Secrets have no marker."""
     return restore(restore(text, pii, marker), secrets)
 

@@ -65,10 +65,10 @@ def languages_of(spans: DataFrame, config: Pii) -> DataFrame:
 
 
 def analyze(spans: DataFrame, config: Pii, whitelist: tuple | list = ()) -> DataFrame:
-    """spans with pii (resolved hits), language, language_fallback, detected_language."""
-    out = spans.join(languages_of(spans, config), "request_id")
+    """spans with pii (hits, not yet resolved), language, language_fallback, detected_language; if disabled, no hits, and English."""
     if not config.enabled:
-        return out.withColumns({"pii": patterns.no_hits(), "language": F.lit("en")})
+        return spans.withColumns({"language": F.lit("en"), "language_fallback": F.lit(False), "detected_language": F.lit(None).cast("string"), "pii": patterns.no_hits()})
+    out = spans.join(languages_of(spans, config), "request_id")
     raw = F.when(role_scanned(config.scan_roles) & (F.col("text") != ""), pii_hits(F.col("text"), config, F.col("language"), whitelist)).otherwise(patterns.no_hits())
     return out.withColumn("pii", raw)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import language
 from ..functions.patterns import PII, SECRETS
 
 
@@ -86,3 +87,16 @@ def spliced(name: str, labelled: str, texts: str) -> str:
 {name}_g AS (SELECT l.k, l.s, l.e, substr(x.text, coalesce(lag(l.e) OVER (PARTITION BY l.k ORDER BY l.s), 0) + 1, l.s - coalesce(lag(l.e) OVER (PARTITION BY l.k ORDER BY l.s), 0)) || l.placeholder AS piece FROM {labelled} l JOIN {texts} x ON l.k = x.k),
 {name}_j AS (SELECT k, string_agg(piece, '' ORDER BY s) AS head, max(e) AS last, count(*) AS n FROM {name}_g GROUP BY k),
 {name} AS (SELECT x.k, coalesce(j.head, '') || substr(x.text, coalesce(j.last, 0) + 1) AS masked, CAST(coalesce(j.n, 0) AS INTEGER) AS n FROM {texts} x LEFT JOIN {name}_j j ON x.k = j.k)"""
+
+
+def raw_language(text: str) -> str:
+    """The detector's answer as SQL, from a text expression (not null)."""
+    words = f"string_split_regex(lower({text}), '[^\\p{{L}}]+')"
+    n = lambda p: f"len(regexp_extract_all({text}, '{p}'))"
+    scores = {code: f"len(list_filter({words}, lambda x: x IN ({', '.join(map(quoted, own))})))" for code, own in language.WORDS.items()}
+    scores["zh"] = f"CASE WHEN {n(language.KANA)} = 0 THEN ({n(language.HAN)} + 1) // 2 ELSE 0 END"
+    scores["ja"] = f"CASE WHEN {n(language.KANA)} > 0 THEN ({n(language.KANA)} + {n(language.HAN)} + 1) // 2 ELSE 0 END"
+    scores["ko"] = f"({n(language.HANGUL)} + 1) // 2"
+    rows = ", ".join(f"{{'s': -({e}), 'l': '{code}'}}" for code, e in sorted(scores.items()))
+    best = f"list_sort([{rows}])[1]"
+    return f"CASE WHEN ({best}).s < 0 THEN CASE WHEN ({best}).l = 'no' THEN 'nb' ELSE ({best}).l END END"

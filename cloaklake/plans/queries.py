@@ -72,13 +72,8 @@ def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("h.entity_type").alias("entity_type"), patterns.value_of(F.col("text"), F.col("h")).alias("value"))
 
 
-_WORDS = {k: v for k, v in language.WORDS.items()}
-_SCORES = ", ".join(f"{{'s': -len(list_filter(w, lambda x: x IN ({', '.join(map(O.quoted, v))}))), 'l': '{k}'}}" for k, v in sorted(_WORDS.items()))
-
-
 @query(
-    f"""WITH t AS (SELECT doc_id, text, string_split_regex(lower(text), '[^a-zà-öø-ÿąćęłńóśźż]+') AS w FROM documents),
-s AS (SELECT doc_id, text, list_sort([{_SCORES}])[1] AS b FROM t), r AS (SELECT doc_id, text, CASE WHEN b.s < 0 THEN CASE WHEN b.l = 'no' THEN 'nb' ELSE b.l END END AS d FROM s)
+    f"""WITH r AS (SELECT doc_id, text, {O.raw_language("coalesce(text, '')")} AS d FROM documents)
 SELECT doc_id, CASE WHEN d IN ('en', 'de', 'fr', 'es') AND text <> '' THEN d ELSE 'en' END AS language, coalesce(NOT (d IN ('en', 'de', 'fr', 'es') AND text <> ''), true) AS used_fallback,
   CASE WHEN text <> '' THEN d END AS detected FROM r"""
 )
@@ -323,19 +318,24 @@ def chat_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats_a(spark, sf_dir).select("request_id", F.exists("errors", lambda e: e.path == "messages.role").alias("bad_role"), F.size("errors").alias("errors"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS stream_id, text FROM conversations WHERE text <> ''")
-def stream_unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's masked text as a stream of events of 40 characters, restored event by event, and joined: the turn's text."""
+def masked_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stream_id, pii, secrets, seq, piece: each turn's masked text in pieces of 40 characters, with the map that restores it."""
     turns = table(spark, sf_dir, "conversations").filter("text <> ''").select(F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("stream_id"), "text")
     masked = mask.mask_documents(turns, "text", PII)
     pieces = F.expr("transform(sequence(0, (length(out) - 1) div 40), i -> substring(out, i * 40 + 1, 40))")
     events = masked.select("stream_id", F.create_map().cast("map<string,string>").alias("secrets"), placeholders.mapping(F.col("masked.context")).alias("pii"), mask.first_text("masked").alias("out"))
-    events = events.select("stream_id", "pii", "secrets", F.posexplode(pieces).alias("seq", "piece"))
+    return events.select("stream_id", "pii", "secrets", F.posexplode(pieces).alias("seq", "piece")).withColumn("seq", F.col("seq").cast("long"))
+
+
+def events_a(pieces: DataFrame) -> DataFrame:
     line = F.concat(F.lit('data: {"choices":[{"index":0,"delta":'), F.to_json(F.struct(F.col("piece").alias("content"))), F.lit("}]}"))
-    out = unmask.unmask_batch(events.select("stream_id", F.col("seq").cast("long").alias("seq"), line.alias("line"), "pii", "secrets"), "A")
-    text = F.get_json_object(F.substring("line", 7, 1 << 30), "$.choices[0].delta.content")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", text.alias("x")))), lambda e: e.x), "")
-    return out.groupBy("stream_id").agg(joined.alias("text"))
+    return pieces.select("stream_id", "seq", line.alias("line"), "pii", "secrets")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS stream_id, text FROM conversations WHERE text <> ''")
+def stream_unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's masked text as a finished stream of events, restored as a whole: the turn's text."""
+    return unmask.restored_streams(events_a(masked_turns(spark, sf_dir)), "A").select("stream_id", "text")
 
 
 # Audit log, from events -----------------------------------------------------------------------------------------------

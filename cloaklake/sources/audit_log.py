@@ -99,10 +99,23 @@ def cleanup(log: DataFrame, retention_days: int, as_of: Column) -> tuple[DataFra
     return log.filter(~gone), log.agg(F.count_if(gone).alias("removed"))
 
 
+def repair(spark: SparkSession, path: str) -> None:
+    """Put back a day that drop_expired() had set aside when it was stopped; what it has replaced already is removed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_old-*")) or []:
+        day = jvm.org.apache.hadoop.fs.Path(f"{path}/log_date={found.getPath().getName().removeprefix('_old-')}")
+        fs.delete(found.getPath(), True) if fs.exists(day) else fs.rename(found.getPath(), day)
+    for rest in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/_rest-*")) or []:
+        fs.delete(rest.getPath(), True)
+
+
 def drop_expired(spark: SparkSession, path: str, retention_days: int, as_of: str) -> int:
     """Remove expired rows from a log folder, day by day: whole days as folders, the day of the limit by rewriting it. Returns their number."""
     if retention_days <= 0:
         return 0
+    repair(spark, path)
     log = spark.read.option("mergeSchema", "true").parquet(path)
     limit = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(retention_days))
     old = log.filter((F.col("timestamp") < limit) & (F.col("log_date") <= F.to_date(limit)))
@@ -114,10 +127,12 @@ def drop_expired(spark: SparkSession, path: str, retention_days: int, as_of: str
         fs = folder.getFileSystem(conf)
         if day == edge:
             stay = log.filter((F.col("log_date") == F.lit(day)) & (F.col("timestamp") >= limit)).drop("log_date")
-            aside = f"{path}/_rest-{day}"
+            aside, old_day = f"{path}/_rest-{day}", f"{path}/_old-{day}"
             stay.write.mode("overwrite").parquet(aside)
-            fs.delete(folder, True)
+            # the old day stays, under another name, until the new one is in place; repair() finishes what a crash leaves
+            fs.rename(folder, jvm.org.apache.hadoop.fs.Path(old_day))
             fs.rename(jvm.org.apache.hadoop.fs.Path(aside), folder)
+            fs.delete(jvm.org.apache.hadoop.fs.Path(old_day), True)
         else:
             fs.delete(folder, True)
     spark.catalog.refreshByPath(path)

@@ -1,14 +1,49 @@
-"""Server-sent event lines: taken apart into columns, and put together again. One row is one whole line (stream_id, seq, line)."""
+"""Server-sent event lines: taken apart into columns, and put together again. One row is one whole line (stream_id, seq, line);
+bodies are taken apart into lines, and lines put together to bodies."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 PREFIX = "data: "
 DONE = "[DONE]"
 
 
+def read_bodies(spark: SparkSession, path: str, streaming: bool = True) -> DataFrame:
+    """stream_id, seq, line of raw event streams: each file of a folder is one stream's body, its name the stream's id."""
+    source = (spark.readStream if streaming else spark.read).format("text").option("wholetext", True)
+    if streaming:
+        source = source.schema("value string")
+    return lines_of(source.load(path).select(F.col("_metadata.file_name").alias("stream_id"), F.col("value").alias("body")))
+
+
+def lines_of(bodies: DataFrame) -> DataFrame:
+    """stream_id, seq, line of bodies (stream_id, body). Lines end with a line break; empty ones, which only separate events, are left out."""
+    rows = bodies.select("stream_id", F.posexplode(F.split("body", "\r?\n")).alias("seq", "line"))
+    return rows.filter("line <> ''").withColumn("seq", F.col("seq").cast("long"))
+
+
+def joined_chunks(chunks: DataFrame) -> DataFrame:
+    """stream_id, body of chunks (stream_id, n, chunk) as they came over the wire: a line may be split over chunks anywhere."""
+    own = F.array_sort(F.collect_list(F.struct("n", "chunk")))
+    return chunks.groupBy("stream_id").agg(F.array_join(F.transform(own, lambda x: x.chunk), "").alias("body"))
+
+
+def bodies_of(lines: DataFrame, dialect: str) -> DataFrame:
+    """stream_id, body: each stream's lines in order, as they go over the wire. lines: stream_id, seq, line, and part where an event gave several."""
+    order = ["seq", *(["part"] if "part" in lines.columns else []), "line"]
+    own = F.array_sort(F.collect_list(F.struct(*order)))
+    return lines.groupBy("stream_id").agg(F.array_join(F.transform(own, lambda x: framed(x.line, dialect)), "").alias("body"))
+
+
+def write_lines(lines: DataFrame, path: str, dialect: str, checkpoint: str) -> StreamingQuery:
+    """A streaming sink: a folder for each stream, to which each micro-batch adds its lines as they go over the wire."""
+    value = F.regexp_replace(framed(F.col("line"), dialect), "\n$", "")  # the text sink ends each value with a line break
+    return lines.select("stream_id", value.alias("value")).writeStream.format("text").partitionBy("stream_id").option("checkpointLocation", checkpoint).outputMode("append").start(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A stream of JSON rows stream_id, seq, line from the files of a folder."""
     return spark.readStream.schema("stream_id string, seq long, line string").json(path)

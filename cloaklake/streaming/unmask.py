@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.sse import DONE, PREFIX
+from ..functions import placeholders
+from ..sources.sse import DONE, PREFIX, delta_text, parsed
 
 OUT = "stream_id string, seq long, part int, line string"
 
@@ -133,16 +134,44 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def unmask_batch(lines: DataFrame, dialect: str, marker: str = "") -> DataFrame:
-    """A finished set of streams: lines with pii and secrets to (stream_id, seq, part, line); what is held at the end goes out last."""
-
-    def work(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        u = Unmasker(dialect, *_maps(frame), marker)
-        rows = list(_run(u, key[0], frame))
-        last = int(frame["seq"].max())
-        rows += [(key[0], last, 1000 + i, x) for i, x in enumerate(u.flush())]
-        return _frame(rows)
-
-    return lines.groupBy("stream_id").applyInPandas(work, OUT)
+    """A finished set of streams: lines with pii and secrets to (stream_id, seq, part, line); what is held at the end goes out last.
+
+    Streams lie whole and in order in partitions, through which the state machine goes line by line: a task holds a batch of lines.
+    """
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        u, key, last = None, None, -1
+        for frame in frames:
+            rows = []
+            for stream_id, seq, line, pii, secrets in zip(frame["stream_id"], frame["seq"], frame["line"], frame["pii"], frame["secrets"], strict=True):
+                if u is None or stream_id != key:
+                    rows += [(key, last, 1000 + i, x) for i, x in enumerate(u.flush())] if u else []
+                    u, key = Unmasker(dialect, dict(pii if pii is not None else {}), dict(secrets if secrets is not None else {}), marker), stream_id
+                rows += [(key, seq, part, x) for part, x in enumerate(u.feed(line))]
+                last = seq
+            yield _frame(rows)
+        if u:
+            yield _frame([(key, last, 1000 + i, x) for i, x in enumerate(u.flush())])
+
+    placed = lines.select("stream_id", "seq", "line", "pii", "secrets").repartition("stream_id").sortWithinPartitions("stream_id", "seq", "line")
+    return placed.mapInPandas(work, OUT)
+
+
+def restored_streams(lines: DataFrame, dialect: str, marker: str | None = None) -> DataFrame:
+    """stream_id, part, text: what finished streams say, restored. lines: stream_id, seq, line, pii, secrets. DataFrame functions
+    only: a placeholder that events split is whole again in the joined text. Events without text add none."""
+    event = parsed(lines).filter(F.col("event").isNotNull())
+    if dialect == "A":
+        choice = F.posexplode(F.try_variant_get("event", "$.choices", "array<variant>")).alias("i", "c")
+        rows = event.select("stream_id", "seq", "pii", "secrets", choice)
+        rows = rows.select("*", F.coalesce(F.try_variant_get("c", "$.index", "int"), F.col("i")).alias("part"), F.try_variant_get("c", "$.delta.content", "string").alias("text"))
+    else:
+        rows = event.select("stream_id", "seq", "pii", "secrets", F.lit(0).alias("i"), F.coalesce(F.try_variant_get("event", "$.index", "int"), F.lit(0)).alias("part"), delta_text("event", dialect).alias("text"))
+    rows = rows.filter(F.col("text").isNotNull())
+    parts = F.array_sort(F.collect_list(F.struct("seq", "i", "text")))
+    out = rows.groupBy("stream_id", "part").agg(F.array_join(F.transform(parts, lambda x: x.text), "").alias("text"), F.any_value("pii", True).alias("pii"), F.any_value("secrets", True).alias("secrets"))
+    empty = F.create_map().cast("map<string,string>")
+    return out.select("stream_id", "part", placeholders.restore_both(F.col("text"), F.coalesce("pii", empty), F.coalesce("secrets", empty), marker).alias("text"))
 
 
 def unmask_stream(lines: DataFrame, dialect: str, marker: str = "", silence: str | None = None) -> DataFrame:
