@@ -60,19 +60,19 @@ def detect_language(text: Column, languages: list[str], fallback: str = "en") ->
     """struct(language, used_fallback, detected): the detected language if it is configured, else the fallback."""
     norm = F.create_map(*[F.lit(x) for kv in OVERRIDES.items() for x in kv])
 
-    def answer(raw: Column) -> Column:
+    def judge(raw: Column) -> Column:
         found = F.coalesce(F.element_at(norm, raw), raw)
         own = F.coalesce(found.isin(languages), F.lit(False))
-        return _answer(F.when(own, found).otherwise(fallback), ~own, found)
+        return answer(F.when(own, found).otherwise(fallback), ~own, found)
 
-    judged = once(raw_language(text), answer)
-    return F.when(F.coalesce(text, F.lit("")) == "", _answer(F.lit(fallback), F.lit(True), F.lit(None).cast("string"))).otherwise(judged)
+    judged = once(raw_language(text), judge)
+    return F.when(F.coalesce(text, F.lit("")) == "", answer(F.lit(fallback), F.lit(True), F.lit(None).cast("string"))).otherwise(judged)
 
 
 def request_language(given: Column, text: Column, languages: list[str], fallback: str = "en") -> Column:
     """The language that a request names, where it is configured; else as detected."""
-    return F.when(given.isin(languages), _answer(given, F.lit(False), F.lit(None).cast("string"))).otherwise(detect_language(text, languages, fallback))
+    return F.when(given.isin(languages), answer(given, F.lit(False), F.lit(None).cast("string"))).otherwise(detect_language(text, languages, fallback))
 
 
-def _answer(language: Column, used_fallback: Column, detected: Column) -> Column:
+def answer(language: Column, used_fallback: Column, detected: Column) -> Column:
     return F.struct(language.alias("language"), used_fallback.alias("used_fallback"), detected.alias("detected"))

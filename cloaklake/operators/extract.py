@@ -113,8 +113,8 @@ def content_text_b(content: Column) -> Column:
     return F.when(kind_of(content) == "STRING", F.try_variant_get(content, "$", "string")).when(kind_of(content) == "ARRAY", F.array_join(texts, "\n")).otherwise("")
 
 
-def log_text(requests: DataFrame, dialect: str) -> DataFrame:
-    """request_id, log_text: a line `[role] text` for each message, `[role multimodal]` for part lists in A; in B `[system]` first."""
+def log_text(requests: DataFrame, dialect: str, *also: str) -> DataFrame:
+    """request_id, the columns `also`, log_text: a line `[role] text` for each message, `[role multimodal]` for part lists in A; in B `[system]` first."""
     role = lambda m: F.try_variant_get(m, "$.role", "string")
     content = lambda m: F.try_variant_get(m, "$.content", "variant")
     if dialect == "A":
@@ -124,7 +124,7 @@ def log_text(requests: DataFrame, dialect: str) -> DataFrame:
         own = F.transform("messages", lambda m: F.concat(F.lit("["), role(m), F.lit("] "), content_text_b(content(m))))
         system = content_text_b(get("request", "$.system"))
         lines = F.when(system != "", F.concat(F.array(F.concat(F.lit("[system] "), system)), own)).otherwise(own)
-    return requests.select("request_id", F.array_join(lines, "\n").alias("log_text"))
+    return requests.select("request_id", *also, F.array_join(lines, "\n").alias("log_text"))
 
 
 def _put(body: dict, dialect: str, span: dict) -> None:
@@ -147,17 +147,23 @@ def with_texts(requests: DataFrame, spans: DataFrame, dialect: str, body: str =
     JSON trees of open shape have no built-in update, so bodies are rebuilt in Arrow batches.
     """
     lists = spans.groupBy("request_id").agg(F.collect_list(F.struct(*KEYS, "text")).alias("_spans"))
+    return rebuilt(requests.select("request_id", F.col(body).alias("body")).join(lists, "request_id", "left"), dialect)
+
+
+def rebuilt(df: DataFrame, dialect: str, also: str | None = None) -> DataFrame:
+    """request_id, body and the string column `also` of df, which has the spans to put in as _spans (array, or null for none)."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for b, s in zip(f[body], f["_spans"], strict=True):
+            for b, s in zip(f["body"], f["_spans"], strict=True):
                 if s is not None and len(s):
                     tree = json.loads(b)
                     for x in s:
                         _put(tree, dialect, x)
                     b = json.dumps(tree, ensure_ascii=False, separators=(",", ":"))
                 out.append(b)
-            yield pd.DataFrame({"request_id": f["request_id"], "body": out})
+            yield f.drop(columns="_spans").assign(body=out)
 
-    return requests.select("request_id", body).join(lists, "request_id", "left").mapInPandas(work, "request_id string, body string")
+    kept = ["request_id", "body", *([also] if also else [])]
+    return df.select(*kept, "_spans").mapInPandas(work, ", ".join(f"{c} string" for c in kept))

@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__
 from cloaklake.operators import mask
-from cloaklake.plans import queries
+from cloaklake.plans import details, queries  # noqa: F401
 from cloaklake.sources.tables import read_table
 
 from .sqltwin import assert_same
