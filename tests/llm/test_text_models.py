@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -54,10 +55,103 @@ LICENCES = [
     ("MIT license, MIT LICENSE", {"mit"}),
     ("This is licensed under CC BY 4.0.", {"cc-by-4.0"}),
     ("licensed under by the way 4 0 cc", set()),
+    ("Mozilla Public License Version 2.0", {"mpl", "mpl-2.0"}),
+    ("Licensed under the GNU Lesser General Public License v2.1", {"gpl", "lgpl", "lgpl-2.1"}),
+    ("# SPDX-License-Identifier: Apache-2.0", {"apache-2.0"}),
+    ("// SPDX-License-Identifier: MIT\nint x;", {"mit"}),
+    ("This work is licensed under the GNU General Public License, version 3.", {"gpl", "gpl-3.0"}),
+    ("CC BY-NC-SA 4.0 and, " + "more words " * 500 + " distributed under the Mozilla Public License, v. 2.0", {"cc-by-nc-sa-4.0", "mpl", "mpl-2.0"}),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: neither the name nor x may be used to endorse or promote products derived from this software without specific prior written permission", {"bsd", "bsd-3-clause"}),
+    ("the terms of the license of the public of mozilla", set()),
     ("", set()), (None, set()), ("license " * 20000, set()), ("İ MIT license", {"mit"}),
 ]
 
 
+def standing(words, template, slack, anchored):
+    """Whether all key phrases stand within slack words of where they should: of the place of one of them, or of any place."""
+    where = [(p, {i for i, x in enumerate(words) if x == w[0] and words[i : i + len(w)] == w}) for p, w in template]
+    if not all(at for _, at in where):
+        return False
+    free = 0 if anchored else slack
+    places = {i - p + d for p, at in where for i in at for d in range(-free, free + 1)}
+    return any(all(any(o + p + d in at for d in range(-slack, slack + 1)) for p, at in where) for o in places)
+
+
+def test_licence_labels_against_brute_force(spark):
+    rnd = random.Random(6)
+    made = licence_scan.licence_texts.templates()
+    phrases = [(x[0], [(p, [w.decode() for w in words]) for p, _, words in licence_scan.Template(*x).phrases]) for x in made]
+    rows = [(i, r.text) for i, r in enumerate(documents(spark).collect())]
+    for n in range(300):
+        words = licence_scan.plain_words(rnd.choice(made)[1])
+        for _ in range(rnd.randrange(3)):
+            at = rnd.randrange(len(words) + 1)
+            words[at : at + rnd.randrange(2)] = [rnd.choice(["the", "license", "xyz", "public"])] * rnd.randrange(3)
+        rows.append((1000 + n, " ".join(["so"] * rnd.randrange(5) + words + ["software", "sublicense"])))
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licence_scan.scan_licences(frame(spark, [(i, t, None) for i, t in rows])).collect()}
+    found = 0
+    for i, t in rows:
+        words = licence_scan.plain_words(t or "")
+        base = set(filter(None, base_scan(t)[4].split(",")))
+        most = base | {x for x, own in phrases if standing(words, own, 2, False)}
+        # a key phrase that is the template's only one is its own place
+        least = base | {x for x, own in phrases if len(own) == 1 and standing(words, own, 2, True)}
+        assert least <= got[i] <= most, (t, got[i], least, most)
+        found += len(got[i])
+    assert found > 250
+
+
+def counted(sample, longest=5):
+    """Counts of words (0) and of framed n-grams, by language."""
+    tables = {}
+    for text, lang in sample:
+        for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(text)):
+            if not re.search(r"[a-z\x80-\U0010ffff]", w):
+                continue
+            framed = f"^{w}$"
+            for n, keys in [(0, [w]), *((n, [framed[i : i + n] for i in range(len(framed) - n + 1)]) for n in range(1, longest + 1))]:
+                for k in keys:
+                    tables.setdefault(n, Counter())[k, lang] += 1
+    return tables
+
+
+def test_language_scores_against_brute_force(spark):
+    rows = documents(spark).collect()
+    train = [(r.text, r.lang) for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 5]
+    sizes = Counter(lang for _, lang in train)
+    langs = sorted(sizes, key=lambda x: (-sizes[x], x))
+    tables = counted(train)
+    keys = {n: {k for k, _ in t} for n, t in tables.items()}
+    total = {n: {x: sum(c for (_, lang), c in t.items() if lang == x) for x in langs} for n, t in tables.items()}
+    score = lambda n, k, x: math.log((tables[n][k, x] + 0.5) / (total[n][x] + 0.5 * (len(keys[n]) + 1)))
+
+    def predicted(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        sums = {x: math.log(sizes[x] / sum(sizes.values())) for x in langs}
+        for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(text)):
+            if not re.search(r"[a-z\x80-\U0010ffff]", w):
+                continue
+            framed = f"^{w}$"
+            for n in (0, 5, 4, 3, 2, 1):
+                known = [k for k in ([w] if n == 0 else [framed[i : i + n] for i in range(len(framed) - n + 1)]) if k in keys[n]]
+                if known:
+                    for x in langs:
+                        sums[x] += sum(score(n, k, x) for k in known)
+                    break
+        top = max(sums.values())
+        best = next(x for x in langs if sums[x] == top)
+        return best, 1 / sum(math.exp(v - top) for v in sums.values())
+
+    extra = [(9001, "Zwölfkämpfer xqzv über", None), (9002, "12 34", None), (9003, None, "en"), (9004, "a", None)]
+    df = documents(spark).select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    model = language_id.learn(documents(spark), sample_docs=10**6)  # all rows that aren't held out
+    got = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for i, t, _ in [(r.doc_id, r.text, r.lang) for r in rows] + extra:
+        want, share = predicted(t)
+        assert got[i].lang_pred == want and got[i].score == pytest.approx(share, abs=1e-6), (i, t)
+
+
 def test_licence_labels(spark):
     df = frame(spark, [(i, t, None) for i, (t, _) in enumerate(LICENCES)])
     for r in licence_scan.scan_licences(df).collect():
