@@ -152,7 +152,9 @@ def best(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: in
             row, col = np.nonzero(s >= (least - slack)[:, None])
         else:
             row, col = (x.ravel() for x in np.indices(s.shape))
-        exact = (part[row] * c[col]).sum(1)  # one order of summation for all, so that equal vectors tie
+        exact = np.zeros(len(row))  # one order of summation for all, the plain one, so that equal vectors tie
+        for d in range(c.shape[1]):
+            exact += part[row, d] * c[col, d]
         order = np.lexsort((c_id[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         first = np.searchsorted(row, row)

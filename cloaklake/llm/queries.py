@@ -102,5 +102,15 @@ e AS (SELECT a, b FROM n JOIN s sa ON a = sa.doc_id JOIN s sb ON b = sb.doc_id W
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.b FROM reach r JOIN both_ways b ON r.other = b.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.other) AS component_id FROM s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(s.s)
+""",
+    # one part holds all of the small tables, where the search is exact; vec_ids are unique there
+    "op10_ann_search": r"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+n AS (SELECT len(v) AS n FROM u GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1),
+w AS (SELECT u.* FROM u JOIN n ON len(u.v) = n.n),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """,
 }
