@@ -168,15 +168,27 @@ def pii_hits(text: Column, entity_types: list[str], language: Column | None = No
     return with_cutter(text, found, lambda c, hs: once(words, lambda ws: F.transform(F.filter(hs, lambda h: kept(c, h)), lambda h: scored(c, h, ws))))
 
 
+def apart_only(text: Column, hits: Column) -> Column:
+    """The hits that neither a letter nor a digit touches."""
+    return with_cutter(text, hits, lambda c, hs: F.filter(hs, lambda h: apart(c, h)))
+
+
 def gazetteer_hits(text: Column, names: list[str], entity_type: str, score: float = 0.85) -> Column:
     """Hits of listed names (for PERSON or LOCATION, where no model is plugged in), longest names first."""
     quoted = "|".join(rf"\Q{n}\E" for n in sorted(names, key=lambda n: (-len(n), n)))
-    return with_cutter(text, find_all(text, quoted, entity_type, score), lambda c, hs: F.filter(hs, lambda h: apart(c, h))) if names else no_hits()
+    return apart_only(text, find_all(text, quoted, entity_type, score)) if names else no_hits()
+
 
+#: Words for nationalities, religions and political groups.
+NRP = [
+    "American", "Arab", "Australian", "Austrian", "Belgian", "Brazilian", "British", "Buddhist", "Canadian", "Catholic", "Chinese", "Christian", "Danish", "Dutch", "Finnish", "French", "German", "Greek",
+    "Hindu", "Indian", "Irish", "Italian", "Japanese", "Jewish", "Korean", "Mexican", "Muslim", "Norwegian", "Polish", "Portuguese", "Protestant", "Russian", "Spanish", "Swedish", "Swiss", "Turkish", "Ukrainian",
+]
 
 #: Detectors by type: text to hits. Further detectors may be registered; those that come with the engine are searched for together.
 REGISTRY: dict[str, Callable[[Column], Column]] = {t: (lambda text, t=t: secret_hits(text, [t])) for t in SECRETS} | {t: (lambda text, t=t: pii_hits(text, [t])) for t in (*PII, *EXTRA)}
 _OWN = dict(REGISTRY)
+REGISTRY["NRP"] = lambda text: gazetteer_hits(text, NRP, "NRP")
 
 
 def register(entity_type: str, build: Callable[[Column], Column]) -> None:

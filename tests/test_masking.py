@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cloaklake.functions import intervals, patterns, placeholders
-from cloaklake.operators import detect, extract, mask
+from cloaklake.functions import intervals, names, patterns, placeholders
+from cloaklake.operators import detect, dialects, extract, flow, mask
 from cloaklake.sources import requests
 from cloaklake.sources.config import Config, Local, Pii, Secrets
 
@@ -243,3 +243,36 @@ def test_restoring_many_gives_the_same_in_turn_and_at_once(spark):
     text = "x [[A_1]] [[A_39]] [[A_77]] [[[A_11]] end"
     got = values(spark, [(text, plain), (text, odd), (None, plain)], "text string, m map<string,string>", placeholders.restore(F.col("text"), F.col("m"), "*"))
     assert got == ["x *value 1 *value 39 [[A_77]] [*value 11 end", "x **value 2 *value 39 [[A_77]] [*value 11 end", None]
+
+
+def test_names_by_rule(spark):
+    kept = dict(patterns.REGISTRY)
+    try:
+        names.register()
+        config = Pii(entities=("PERSON", "LOCATION", "NRP"))
+        texts = ["My name is John Smith, of New York.", "Dr. Ada Lovelace met Herr Müller in Berlin", "The weather is nice today", "a French, Parisian Newyork"]
+        rows = values(spark, [(t,) for t in texts], "text string", detect.resolved_pii(detect.pii_hits(F.col("text"), config)))
+        got = [[(h.entity_type, t[h.start : h.end]) for h in hits] for t, hits in zip(texts, rows, strict=True)]
+    finally:
+        patterns.REGISTRY.clear()
+        patterns.REGISTRY.update(kept)
+    assert got == [[("PERSON", "John Smith"), ("LOCATION", "New York")], [("PERSON", "Dr. Ada Lovelace"), ("PERSON", "Herr Müller"), ("LOCATION", "Berlin")], [], [("NRP", "French")]]
+
+
+def test_dialects_have_all_they_need(spark):
+    for name, body in (("A", BODY_A), ("B", BODY_B)):
+        d = dialects.DIALECTS[name]
+        df = chat(spark, name, body)
+        spans = d.extract(df).withColumn("hits", detect.resolved_pii(detect.pii_hits(F.col("text"), PII)))
+        assert "[[EMAIL_ADDRESS_1]]" in d.apply(df, mask.mask_requests(spans, "hits")).first().body and "a@b.co" in d.log(df).first().log_text
+
+
+def test_flow_with_requests_of_every_kind(spark):
+    config = Config(mode="mask", pii_detection=PII, secrets_detection=ALL)
+    bodies = [BODY_A, {"messages": [{"role": "user", "content": None}]}, "nope", {"messages": [{"role": "user", "content": "AKIA" + "A" * 16 + " a@b.co"}]}]
+    rows = {r.request_id: r for r in flow.guard(chat(spark, "A", *bodies), config, "A").collect()}
+    assert [rows[str(i)].status for i in range(4)] == [200, 200, 400, 200] and rows["2"].body is None and rows["2"].target is None
+    assert json.loads(rows["0"].body)["messages"][0]["content"] == "mail [[EMAIL_ADDRESS_1]]" and rows["0"].pii["[[EMAIL_ADDRESS_1]]"] == "a@b.co"
+    assert json.loads(rows["3"].body)["messages"][0]["content"] == "[[API_KEY_AWS_1]] [[EMAIL_ADDRESS_1]]" and rows["3"].secrets == {"[[API_KEY_AWS_1]]": "AKIA" + "A" * 16}
+    blocked = flow.guard(chat(spark, "A", bodies[3]), Config(pii_detection=PII, local=Local(model="m"), secrets_detection=Secrets(action="block", entities=("API_KEY_AWS",))), "A").first()
+    assert (blocked.status, blocked.blocked_types, blocked.body, blocked.has_pii) == (400, "API_KEY_AWS", None, False)

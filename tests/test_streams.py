@@ -97,3 +97,31 @@ def test_lines_as_columns(spark):
     got = df.orderBy("seq").select(sse.delta_text("event", "A").alias("t"), "is_done", sse.framed(df.line, "A").alias("f")).collect()
     assert [r.t for r in got] == ["x", None, None] and [r.is_done for r in got] == [False, True, False]
     assert got[1].f == "data: [DONE]\n\n" and got[2].f == "event: y\n"
+
+
+def test_raw_bodies_to_lines_and_back(spark, tmp_path):
+    body = 'event: ping\ndata: {"choices":[{"index":0,"delta":{"content":"a"}}]}\n\ndata: {"choices":[{"index":0,"delta":{"content":"b [[PERSON_1]]"}}]}\n\ndata: [DONE]\n\n'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one").write_text(body)
+    read = [r.line for r in sse.read_bodies(spark, str(tmp_path / "in"), streaming=False).orderBy("seq").collect()]
+    assert read == [x for x in body.split("\n") if x]
+    chunks = spark.createDataFrame([("one", i, body[a : a + 7]) for i, a in enumerate(range(0, len(body), 7))], "stream_id string, n int, chunk string")
+    lines = sse.lines_of(sse.joined_chunks(chunks))
+    assert [r.line for r in lines.orderBy("seq").collect()] == read
+    assert sse.bodies_of(lines, "A").first().body == body
+    maps = spark.createDataFrame([("one", {"[[PERSON_1]]": "Ada"}, None)], "stream_id string, pii map<string,string>, secrets map<string,string>")
+    assert unmask.restored_streams(lines.join(maps, "stream_id"), "A", "*").first().text == "ab *Ada"
+    stream = sse.read_bodies(spark, str(tmp_path / "in"))
+    q = sse.write_lines(stream, str(tmp_path / "out"), "A", str(tmp_path / "state"))
+    q.processAllAvailable()
+    q.stop()
+    written = "".join(p.read_text() for p in sorted((tmp_path / "out" / "stream_id=one").glob("part-*")))
+    assert written == body
+
+
+def test_several_choices_are_restored_apart(spark):
+    both = {"choices": [{"index": 0, "delta": {"content": "x [[PER"}}, {"index": 1, "delta": {"content": "y"}}]}
+    more = {"choices": [{"index": 1, "delta": {"content": " [[PERSON_1]]"}}, {"index": 0, "delta": {"content": "SON_1]]"}}, {"delta": {"role": "assistant"}}]}
+    rows = [("s", i, "data: " + json.dumps(x), PII, None) for i, x in enumerate((both, more))]
+    got = unmask.restored_streams(spark.createDataFrame(rows, "stream_id string, seq long, line string, pii map<string,string>, secrets map<string,string>"), "A")
+    assert [(r.part, r.text) for r in got.orderBy("part").collect()] == [(0, "x Ada"), (1, "y Ada")]
