@@ -134,3 +134,26 @@ def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     path = warc_store.write_archive(df, fresh_path(spark, "warc-test"))
     assert warc_store.page_records(spark, path).count() == 0
+
+
+def test_hot_payloads_are_joined_by_broadcast(spark):
+    rows = [(i, f"http://a/{i}", "hot" if i % 3 else f"cold {i % 7}") for i in range(90)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for hot_rows in (10, 100_000):
+        path = warc_store.write_archive(df, fresh_path(spark, "hot"), hot_rows=hot_rows)
+        found.append(sorted(tuple(r) for r in warc_store.page_records(spark, path, hot_rows).collect()))
+    assert found[0] == found[1] and len(found[0]) == 90
+    assert sum(r[3] == "response" for r in found[0]) == 8
+
+
+def test_shards_grow_with_the_text_and_split_equal_ids(spark):
+    rows = [(None if i % 2 else 5, f"text {i} " * 20) for i in range(400)] + [(7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    folder = fresh_path(spark, "small-shards")
+    shards = token_files.write_tokens(df, folder, tokenizer, shard_bytes=4000)
+    assert shards.count() >= 10 and max(r.docs for r in shards.collect()) < 100
+    got = token_files.read_tokens(shards, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 200 + [5] * 200 + [7, 8]
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
