@@ -342,7 +342,7 @@ def _values(rows: list[tuple], names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
 
 
-@query(_values([(k, n, ",".join(w)) for k, (n, w) in languages.REGISTRY.items()], "language, name, phone_context"))
+@query(_values([(k, n, f"{k}_core_{'web' if k in ('en', 'zh') else 'news'}_lg", ",".join(w)) for k, (n, w) in languages.REGISTRY.items()], "language, name, model, phone_context"))
 def language_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.registry_table(spark).withColumn("phone_context", F.array_join("phone_context", ","))
 
@@ -357,3 +357,14 @@ def health_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def info_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = status.info(spark, CONFIG)
     return row.select("mode", F.array_join("languages", ",").alias("languages"), F.array_join("missing_languages", ",").alias("missing_languages"), "fallback_language", F.col("score_threshold").cast("decimal(2,1)").alias("score_threshold"), "secrets_action", "local_model")
+
+
+@query(_values([("openai", "upstream", None, None), ("anthropic", "upstream", None, None), ("local", "local", "openai", "local-model")], "provider, role, type, model"))
+def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.providers(spark, CONFIG).select("provider", "role", "type", "model")
+
+
+@query(_values([("available", "de"), ("available", "en"), ("missing", "xx")], "kind, language"))
+def language_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured languages that there are, and those that are missing."""
+    return spark.createDataFrame([(k, x) for k, xs in languages.supported(["en", "xx", "de"]).items() for x in xs], "kind string, language string")

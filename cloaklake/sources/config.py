@@ -24,6 +24,7 @@ class ConfigError(ValueError):
     pass
 
 
+# The defaults of all classes below, on which configurations rely.
 @dataclass(frozen=True)
 class Masking:
     show_markers: bool = False

@@ -40,6 +40,9 @@ LABELS = {
 }
 LOW_SCORE = {"ORG": 0.4}
 
+# Labels that a model setup leaves out, and how much a label of LOW_SCORE counts.
+IGNORED = ["O", "CARDINAL", "EVENT", "LANGUAGE", "LAW", "MONEY", "ORDINAL", "PERCENT", "PRODUCT", "QUANTITY", "WORK_OF_ART"]
+
 RECOGNIZERS = ["NER", "Email", "Phone", "CreditCard", "Iban", "Ip"]
 
 
@@ -53,6 +56,25 @@ def supported(configured: list[str], available: list[str] | None = None) -> dict
     return {"available": [x for x in configured if x in known], "missing": [x for x in configured if x not in known]}
 
 
+def model_name(language: str) -> str:
+    """The language model's name: those of English and Chinese are trained on the web, the others on news."""
+    return f"{language}_core_{'web' if language in ('en', 'zh') else 'news'}_lg"
+
+
+def model_setup(languages: list[str]) -> dict:
+    """The language models of a detector setup, and what their labels stand for."""
+    if unknown := [x for x in languages if x not in REGISTRY]:
+        raise ValueError(f"unknown languages: {', '.join(unknown)}")
+    return {
+        "models": [{"lang_code": x, "model_name": model_name(x)} for x in languages],
+        "labels": LABELS, "low_score_labels": list(LOW_SCORE), "low_score_multiplier": LOW_SCORE["ORG"], "labels_to_ignore": IGNORED,
+    }
+
+
+def analyzer_setup(languages: list[str]) -> dict:
+    return {"supported_languages": list(languages), "default_score_threshold": 0}
+
+
 def recognizer_setup(languages: list[str]) -> list[dict]:
     """One entry for each recogniser, with its languages; the phone recogniser's with their context words."""
     if unknown := [x for x in languages if x not in REGISTRY]:
@@ -62,4 +84,4 @@ def recognizer_setup(languages: list[str]) -> list[dict]:
 
 
 def registry_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in REGISTRY.items()], "language string, name string, phone_context array<string>")
+    return spark.createDataFrame([(k, n, model_name(k), w) for k, (n, w) in REGISTRY.items()], "language string, name string, model string, phone_context array<string>")

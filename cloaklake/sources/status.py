@@ -19,3 +19,12 @@ def info(spark: SparkSession, config: Config) -> DataFrame:
     sets = supported(list(config.pii_detection.languages))
     rows = [(config.mode, sets["available"], sets["missing"], config.pii_detection.fallback_language, float(config.pii_detection.score_threshold), list(config.pii_detection.entities), config.secrets_detection.action, list(config.secrets_detection.entities), config.local.model if config.local else None)]
     return spark.createDataFrame(rows, "mode string, languages array<string>, missing_languages array<string>, fallback_language string, score_threshold double, entities array<string>, secrets_action string, secret_types array<string>, local_model string")
+
+
+def providers(spark: SparkSession, config: Config, healthy: bool | None = None) -> DataFrame:
+    """provider, role, type, base_url, model, healthy: where requests can go. healthy is what a probe of the local provider said
+    (null: not asked); upstream providers aren't probed."""
+    rows = [(p, "upstream", None, None, None, None) for p in ("openai", "anthropic")]
+    if config.local:
+        rows.append(("local", "local", config.local.type, config.local.base_url, config.local.model, healthy))
+    return spark.createDataFrame(rows, "provider string, role string, type string, base_url string, model string, healthy boolean")
