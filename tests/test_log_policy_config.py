@@ -60,6 +60,18 @@ def test_retention(spark, tmp_path):
     assert audit_log.drop_expired(spark, path, 0, NOW) == 0
 
 
+def test_a_stopped_cleanup_is_repaired(spark, tmp_path):
+    path, day = tmp_path / "log", "log_date=2024-01-31"
+    audit_log.append_log(log(spark, ROWS), str(path))
+    (path / day).rename(path / "_old-2024-01-31")  # stopped after the day was set aside
+    (path / "_rest-2024-01-31").mkdir()
+    audit_log.repair(spark, str(path))
+    assert audit_log.read_log(spark, str(path)).count() == 5 and not list(path.glob("_old-*")) and not list(path.glob("_rest-*"))
+    (path / "_old-2024-01-31").mkdir()  # stopped before what was replaced was removed
+    audit_log.repair(spark, str(path))
+    assert audit_log.read_log(spark, str(path)).count() == 5 and not list(path.glob("_old-*"))
+
+
 CONFIG = config.from_tree({"local": {"model": "l"}, "pii_detection": {"fallback_language": "de", "languages": "de, en"}})
 
 
@@ -103,6 +115,10 @@ def test_registry_health_and_info(spark):
     with pytest.raises(ValueError):
         languages.recognizer_setup(["xx"])
     assert languages.registry_table(spark).count() == 24
+    models = languages.model_setup(["en", "nb"])
+    assert [m["model_name"] for m in models["models"]] == ["en_core_web_lg", "nb_core_news_lg"] and models["low_score_labels"] == ["ORG"]
+    assert languages.analyzer_setup(["en"]) == {"supported_languages": ["en"], "default_score_threshold": 0}
+    assert [(r.provider, r.healthy) for r in status.providers(spark, CONFIG, True).collect()] == [("openai", None), ("anthropic", None), ("local", True)]
     assert status.health(spark, CONFIG, False).first().status == "degraded" and status.health(spark, CONFIG, True).first().status == "healthy"
     assert status.info(spark, CONFIG).first().languages == ["de", "en"]
 
