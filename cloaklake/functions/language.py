@@ -19,7 +19,7 @@ WORDS: dict[str, list[str]] = {
     "pl": ["nie", "jest", "się", "na", "że", "jak", "ale", "czy", "dla", "oraz"],
     "sv": ["och", "att", "det", "som", "inte", "är", "för", "på", "med", "ett"],
     "no": ["og", "ikke", "det", "som", "på", "til", "er", "med", "av", "jeg", "hva", "mye", "ble", "etter"],
-    "da": ["og", "ikke", "det", "som", "på", "til", "er", "med", "af", "jeg", "hvad", "meget", "blev", "efter"],
+    "da": ["og", "ikke", "det", "som", "til", "er", "med", "af", "jeg", "hvad", "meget", "noget", "blev", "efter"],
     "fi": ["että", "oli", "mutta", "kun", "niin", "hän", "myös", "ovat", "tämä", "kuin"],
     "ca": ["els", "amb", "és", "això", "dels", "perquè", "aquesta", "aquest", "molt", "però"],
     "ro": ["și", "este", "către", "pentru", "din", "sunt", "fost", "sau", "această", "după"],
