@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, token_files, url_filter, warc_store
+from . import ann_search, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, source_audit, token_files, url_filter, warc_store
 from .shared import fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_language_id": op2_language_id,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_files": op9_token_files,
     "op10_ann_search": op10_ann_search,
+    "op13_source_audit": op13_source_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,5 +117,23 @@ w AS (SELECT u.* FROM u JOIN n ON len(u.v) = n.n),
 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM w q JOIN w c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+""",
+    "op13_source_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+x AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM x GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+c AS (SELECT x.lang, x.source, x.term, count(*) AS n FROM x JOIN k ON x.lang = k.lang AND x.term = k.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total,
+  (SELECT count(*) FROM k WHERE k.lang = g.lang) AS v, coalesce((SELECT sum(n) FROM k WHERE k.lang = g.lang), 0) AS l_total FROM g),
+s AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (gn.total + 5 * gn.v) AS p,
+  1 + (1000000000 * (k.n + 5)) // (gn.l_total + 5 * gn.v) AS q
+  FROM gn JOIN k ON gn.lang = k.lang LEFT JOIN c ON c.lang = k.lang AND c.term = k.term AND c.source = gn.source),
+f AS (SELECT a.lang, a.source, b.source AS other, sum(abs(a.p - b.p)) AS v FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.v, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
 """,
 }
