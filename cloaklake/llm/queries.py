@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, source_audit, token_files, url_filter, warc_store
+from . import ann_search, conversation_repair, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, source_audit, token_files, url_filter, warc_store
 from .shared import fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -72,9 +76,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_files": op9_token_files,
     "op10_ann_search": op10_ann_search,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_source_audit": op13_source_audit,
 }
 
+
+
+def _repair_sql() -> str:
+    """Repair by recursion over messages: each state's cheapest edits with their letters and what they leave."""
+    put = lambda x, cost, letter, said: f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'e': {x}.e || '{letter}', 'r': {said}}} END"
+    insert = lambda x, who: put(x, 3, "I", f"list_append({x}.r, '{who}:')")
+    delete = lambda x: put(x, 4, "D", f"{x}.r")
+    keep = lambda x, initial: f"CASE WHEN fault IN ('', 'T') AND role[1] = '{initial}' THEN {put(x, 'extra', 'K', f"list_append({x}.r, role || ':' || text)")} END"
+    rerole = lambda x, who: f"CASE WHEN fault IN ('', 'T') THEN {put(x, '3 + extra', 'R', f"list_append({x}.r, '{who}:' || text)")} END"
+    least = lambda *xs: f"list_min(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))"
+    inserts = lambda table: f"""SELECT * REPLACE ({least("u", insert("a", "user"))} AS u) FROM (SELECT * REPLACE ({least("a", insert("u", "assistant"))} AS a)
+      FROM (SELECT * REPLACE ({least("u", insert("z", "user"), insert("s", "user"), insert("a", "user"))} AS u) FROM {table}))"""
+    state = "STRUCT(c BIGINT, e VARCHAR, r VARCHAR[])"
+    return f"""
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n::BIGINT)) AS tab),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS seen FROM d),
+m AS (SELECT conv_id, turn, role, text, i, CASE WHEN seen = '' THEN 'B' WHEN nth > 1 THEN 'D' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'T' ELSE '' END AS fault,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM n),
+f AS (SELECT *, CASE WHEN fault = 'T' THEN 3 ELSE 0 END AS extra FROM m),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp(conv_id, i, z, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0, 'e': '', 'r': []}}::{state}, NULL::{state}, NULL::{state}, NULL::{state} FROM ids
+  UNION ALL
+  SELECT conv_id, i, {delete("z")}, {least(delete("s"), keep("z", "s"))},
+    {least(delete("u"), *[f(x, w) for x in "zsa" for f, w in ((keep, "u"), (rerole, "user"))])},
+    {least(delete("a"), keep("u", "a"), rerole("u", "assistant"))}
+  FROM ({inserts("(SELECT dp.conv_id, f.i, z, s, u, a, role, text, fault, extra FROM dp JOIN f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = dp.i + 1)")})),
+ended AS (SELECT conv_id, {least("z", "a")} AS best FROM ({inserts("(SELECT * FROM dp QUALIFY i = max(i) OVER (PARTITION BY conv_id))")})),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'B') AS blank, count_if(fault = 'D') AS duplicate, count_if(fault = 'T') AS truncated,
+  count_if(i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.e AS audit, sha256(array_to_string(best.r, chr(10))) AS repaired_sha256
+FROM ended e LEFT JOIN g ON e.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": r"""
 WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
@@ -118,6 +165,7 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """,
+    "op11_conversation_repair": _repair_sql(),
     "op13_source_audit": r"""
 WITH d AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
 x AS (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
