@@ -266,9 +266,9 @@ def _segments(rows: DataFrame, segment_rows: int, segment_bytes: int) -> DataFra
     digest = F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text"), 256)
     rows = written(rows.filter("NOT gone").select("conv_id", "turn", "role", "text", digest.alias("digest"), F.monotonically_increasing_id().alias("uid")), "long_messages")
     place = F.struct(F.col("turn").isNotNull().alias("has"), "turn", "uid")
-    first = rows.groupBy("conv_id", "digest").agg(F.min(place).alias("first"))
-    same = rows["conv_id"].eqNullSafe(first["conv_id"]) & (rows["digest"] == first["digest"])
-    told = rows.join(first, same, "left").select(rows["conv_id"], rows["turn"], rows["role"], rows["text"], rows["uid"], (F.col("first.uid") != rows["uid"]).alias("earlier"))
+    first = rows.groupBy(F.col("conv_id").alias("of"), F.col("digest").alias("like")).agg(F.min(place).alias("first"))
+    told = rows.join(first, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("like")), "left")
+    told = told.select("conv_id", "turn", "role", "text", "uid", (F.col("first.uid") != F.col("uid")).alias("earlier"))
     keys = ["conv_id", "turn", "role", "text", "uid"]
 
     @tidied
