@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_search, conversation_repair, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, source_audit, token_files, url_filter, warc_store
+from . import ann_search, conversation_repair, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, source_audit, token_files, toxicity, url_filter, warc_store
 from .shared import fresh_path, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +61,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_ann_search": op10_ann_search,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_toxicity": op12_toxicity,
     "op13_source_audit": op13_source_audit,
 }
 
