@@ -3,8 +3,8 @@
 Each source's documents are cut into blocks of `block_size` units (characters, by default). With weight w, block j of a source is
 released at slot floor(j / w) and due by slot ceil((j + 1) / w); each slot takes, of the blocks released, the one due first. As
 the weights sum to 1, every block meets its deadline, and after any number of slots each source has been given its share to
-within less than one block. Weights are taken as multiples of 1 / period, which at 2^53 is as exact as doubles are. The
-schedule is worked out on the driver for the blocks that there are, and no slot more. There are at most `max_blocks` and one for
+within less than one block. Weights are taken as multiples of 1 / period, and a weight below that as one: at 2^53, as exact as
+doubles are, or less, so that slots, at most blocks * period, stay below 2^62 (2^42 at 2^20 blocks). The schedule is worked out on the driver for the blocks that there are, and no slot more. There are at most `max_blocks` and one for
 each source: where the input has more, blocks are larger than `block_size`, all alike. More than `max_sources` sources are an error.
 
 Documents stand in their source in the order of a hash of doc_id. The running sum of their sizes, which gives the block, is made
@@ -96,8 +96,9 @@ def mix(
     units_of = {r.source: r.units for r in totals}
     block_size = max(block_size, -(-sum(units_of.values()) // max_blocks))
     names = sorted((s for s in units_of if weights.get(s, 0.0) > 0), key=lambda s: (s is not None, s))
-    quota = quotas([weights[s] for s in names], max(period, 4 * len(names))) if names else []
     blocks = [units_of[s] // block_size + 1 for s in names]  # documents of size 0 may start where the source ends
+    period = max(min(period, (1 << 62) // max(1, sum(blocks))), 4 * len(names))
+    quota = quotas([weights[s] for s in names], period) if names else []
     src, rng, h, n, sum_, before, in_, key, no, slot, release, due = (fresh(docs, f"_{c}") for c in ("src", "range", "h", "units", "sum", "before", "in", "key", "no", "slot", "release", "deadline"))
     plan = spark.createDataFrame(_turns(["null" if s is None else f"={s}" for s in names], quota, blocks, [key, no, slot, release, due]))
     bits = max(0, min(20, (max(r.rows for r in totals) // range_rows).bit_length()))
