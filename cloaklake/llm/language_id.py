@@ -1,8 +1,9 @@
 """Language ID: known words by log frequency in each language, unseen words by ever shorter character n-grams.
 
-Learning uses a sample of labelled rows of at most about `sample_docs` for each language (a documented bound, so that the
-model is small however large the corpus): a fixed share of the rows by a hash, of each language separately. The model is a
-table of words and, for n = `longest` down to 1, of character n-grams, with a log frequency for each language; it is broadcast.
+Learning uses a sample of labelled rows (documented bounds, so that the model is small however large the corpus, its texts and the
+number of its languages): of each of the `max_languages` commonest languages the `sample_docs` rows of smallest hash, all where there
+are fewer; of a sampled text longer than sample_bytes / sampled rows, a piece of that length at a place given by its hash. The model is a table of words and, for n = `longest` down to 1, of character n-grams, with a log frequency for each language;
+it is broadcast.
 
 A document's score for a language is the sum over its words: of a word seen in learning, its smoothed log frequency; of an
 unseen word, the log frequencies of its n-grams of the greatest n of which any is known. The language of the largest sum
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import tidied
@@ -122,15 +123,26 @@ class Model:
         return total
 
 
-def learn(docs: DataFrame, sample_docs: int = 500, longest: int = 5, modulus: int = 5) -> Model:
-    """A model from about sample_docs rows of each language, among rows that aren't held out and have a language."""
+def sampled(rows: DataFrame, sample_docs: int, piece: int) -> DataFrame:
+    """lang and text, or a piece of it, of the sample_docs rows of each language whose hashes are the smallest. rows: lang, doc_id, text."""
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    first = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample_docs)
+    # what a language's last sampled hash is, is found without texts; rows alike beyond it are cut by rank
+    last = first(rows.select("lang", "h")).groupBy(F.col("lang").alias("own")).agg(F.max("h").alias("last"))
+    few = first(rows.join(F.broadcast(last), (F.col("lang") == F.col("own")) & (F.col("h") <= F.col("last"))).select("lang", "text", "h"))
+    size = F.length("text")
+    return few.select("lang", F.when(size > piece, F.substring("text", F.pmod("h", size - piece + 1).cast("int") + 1, F.lit(piece))).otherwise(F.col("text")).alias("text"))
+
+
+def learn(docs: DataFrame, sample_docs: int = 500, longest: int = 5, modulus: int = 5, max_languages: int = 250, sample_bytes: int = 1 << 25) -> Model:
+    """A model from sample_docs rows of each language, among rows that aren't held out and have a language."""
     rows = docs.filter(F.col("lang").isNotNull() & (fold(modulus) != 0))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    commonest = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = {r.lang: r.n for r in commonest}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     if not languages:
         return Model([], [], {}, longest)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_docs / sizes[k]))])
-    sample = rows.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
+    sample = sampled(rows.filter(F.col("lang").isin(languages)), sample_docs, max(64, sample_bytes // sum(min(n, sample_docs) for n in sizes.values())))
     place = {k: i for i, k in enumerate(languages)}
 
     @tidied
