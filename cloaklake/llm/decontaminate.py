@@ -6,7 +6,7 @@ counts less; one that no item has weighs as one that a single item has.
 
 1. Seeds. A window without any shingle of the benchmark has similarity 0 to every item, so windows are laid only where a
    document has one: the shingles of all documents meet those of the benchmark in a broadcast hash join (beyond
-   `broadcast_rows` shingles, in a shuffle join). Each meeting lays a window as long as the item, aligned with it.
+   `broadcast_bytes`, in a shuffle join). Each meeting lays a window as long as the item, aligned with it.
 2. Fingerprints. Each distinct window and each item gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index. Fingerprints fall into `blocks` blocks. Two that differ in `radius` bits at most differ in at most
    radius // blocks bits in some block; items are entered in every block under all values that near, so one equi-join
@@ -65,9 +65,9 @@ def item_table(items: DataFrame, k: int) -> DataFrame:
     return df.select("item_id", F.unhex(F.md5(F.array_join("words", " "))).alias("digest"), F.size("words").alias("size"), "words", _shingles("words", k).alias("hs"))
 
 
-def _bounded(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """df, for a broadcast if its number of rows, which was counted, allows that."""
-    return F.broadcast(df) if rows <= most else df
+def _bounded(df: DataFrame, size: int, most: int) -> DataFrame:
+    """df, for a broadcast if its size in bytes, worked out from what was counted, allows that."""
+    return F.broadcast(df) if size <= most else df
 
 
 def block_values(fingerprint: str, blocks: int, radius: int) -> tuple[Column, Column]:
@@ -78,6 +78,8 @@ def block_values(fingerprint: str, blocks: int, radius: int) -> tuple[Column, Co
     return F.lit(near).cast("array<bigint>"), F.flatten(F.array(*parts))
 
 
+#: Bytes of a broadcast row: a shingle's place or weight, an index entry, and of each shingle in an item's array.
+PLACE, ENTRY, SHINGLE = 64, 120, 40
 HEAVIEST_FIRST = "array_sort(transform(x, e -> struct(-e.w as v, e.h as h)))"
 
 
@@ -88,7 +90,7 @@ def _leading(threshold: float) -> Column:
     return F.expr(f"transform(slice(o, 1, {count}), e -> struct(-1 as block, e.h as value))")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15, blocks: int = 4, threshold: float = 0.75, broadcast_rows: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15, blocks: int = 4, threshold: float = 0.75, broadcast_bytes: int = 1 << 27) -> DataFrame:
     """doc_id, item_id, similarity, first_word (where the window starts) of each document and item that it holds."""
     if 64 % blocks:
         raise ValueError("blocks must divide 64")
@@ -101,18 +103,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     places = table.withColumn("k", F.least("size", F.lit(k))).select("size", "k", at.alias("x")).select("k", F.col("x.h").alias("h"), "size", F.col("x.i").alias("at")).distinct()
     seeds = places.count()
     sizes = [r.k for r in places.select("k").distinct().collect()]
-    cut = docs.filter("text is not null").select("doc_id", words_of(F.col("text")).alias("words"))
+    # the mark tells rows of one doc_id, or without one, apart
+    cut = docs.filter("text is not null").select("doc_id", F.unhex(F.md5("text")).alias("mark"), words_of(F.col("text")).alias("words"))
     windows = None
     for n in sorted(sizes):
-        spread = cut.filter(F.size("words") >= n).select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("i"))
-        spread = spread.select("doc_id", "words", F.size("words").alias("length"), "i", _hash("words", "i", n).alias("h"))
+        spread = cut.filter(F.size("words") >= n).select("doc_id", "mark", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("i"))
+        spread = spread.select("doc_id", "mark", "words", F.size("words").alias("length"), "i", _hash("words", "i", n).alias("h"))
         start = F.greatest(F.lit(0), F.least(F.col("i") - F.col("at"), F.col("length") - F.col("size"))).alias("start")
         of_size = places.filter(F.col("k") == n)
-        if seeds <= broadcast_rows:  # the words stay in the row that is being looked up
+        if seeds * PLACE <= broadcast_bytes:  # the words stay in the row that is being looked up
             laid = spread.join(F.broadcast(of_size), "h").select("doc_id", "words", "size", start)
         else:  # only (document, place, shingle) is exchanged
-            found = spread.drop("words").join(of_size, "h").select(F.col("doc_id").alias("of"), "size", start).distinct()
-            laid = found.join(cut, F.col("of").eqNullSafe(F.col("doc_id"))).select("doc_id", "words", "size", "start")
+            found = spread.drop("words").join(of_size, "h").select(F.col("doc_id").alias("of"), F.col("mark").alias("marked"), "size", start).distinct()
+            whole = cut.dropDuplicates(["doc_id", "mark"])
+            laid = found.join(whole, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("marked") == F.col("mark"))).select("doc_id", "words", "size", "start")
         laid = laid.select("doc_id", "start", F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ").alias("window"))
         windows = laid if windows is None else windows.unionByName(laid)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, first_word long"
@@ -123,7 +127,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "window", "doc_id")  # in another order than grouped by: else taken for the same exchange
     shingled = windows.withColumn("ws", F.filter(F.split("window", " "), lambda x: x != "")).select("doc_id", "window", "start", F.explode(_shingles("ws", k)).alias("h"))
     default = F.lit(1.0) + F.log(F.lit(float(max(1, number))))
-    small_weights = _bounded(weight, seeds, broadcast_rows)
+    small_weights = _bounded(weight, seeds * PLACE, broadcast_bytes)
     weigh = lambda df, *keys: df.join(small_weights, "h", "left").withColumn("w", F.coalesce("w", default)).groupBy(*keys).agg(F.collect_list(F.struct("h", "w")).alias("x"))
     seen = weigh(shingled, "doc_id", "window", "start").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
     known = weigh(posts.select("item_id", "digest", "h"), "item_id", "digest").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
@@ -136,8 +140,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     asked = asked.select("doc_id", "start", "x", "f", F.explode(F.concat(own, "leading")).alias("e")).select("doc_id", "start", "x", "f", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
     within = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius
     # the further block is for what the others leave
-    close = asked.join(_bounded(fingers, entries, broadcast_rows), (asked.block == fingers.block) & (asked.value == fingers.value) & ((asked.block >= 0) == within))
-    pairs = close.join(_bounded(known.select(F.col("item_id").alias("own_id"), F.col("digest").alias("own"), F.col("x").alias("y")), number, broadcast_rows), F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own")))
+    close = asked.join(_bounded(fingers, entries * ENTRY, broadcast_bytes), (asked.block == fingers.block) & (asked.value == fingers.value) & ((asked.block >= 0) == within))
+    pairs = close.join(_bounded(known.select(F.col("item_id").alias("own_id"), F.col("digest").alias("own"), F.col("x").alias("y")), number * ENTRY + words * SHINGLE, broadcast_bytes), F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.w)
     both = total(F.filter("x", lambda e: F.array_contains(F.transform("y", lambda o: o.h), e.h)))
     similarity = both / (total("x") + total("y") - both)
