@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ann_search, conversation_repair, decontaminate, language_id, licence_scan, lm_score, ngram_join, pfair_mix, source_audit, token_files, toxicity, url_filter, warc_store
 from .shared import fresh_path, table
@@ -57,6 +58,15 @@ def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over eight learned parts, however small the table, held against the search of all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    exact = ann_search.nearest(vectors, parts=1).select("query_id", "vec_id")
+    found = ann_search.nearest(vectors, parts=8).select("query_id", "vec_id").withColumn("hit", F.lit(1))
+    share = F.count("hit") >= 0.9 * F.count("*")
+    return exact.join(found, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("nearest"), share.alias("recall_is_90_percent"))
+
+
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -80,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_token_files": op9_token_files,
     "op10_ann_search": op10_ann_search,
+    "op10_recall": op10_recall,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_toxicity": op12_toxicity,
     "op13_source_audit": op13_source_audit,
@@ -128,6 +139,13 @@ FROM ended e LEFT JOIN g ON e.conv_id IS NOT DISTINCT FROM g.conv_id
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_recall": """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+u AS (SELECT * FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+w AS (SELECT u.* FROM u JOIN (SELECT len(v) AS n FROM u GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1) m ON len(u.v) = m.n),
+q AS (SELECT vec_id, (SELECT least(20, count(*) - 1) FROM w) AS own FROM w WHERE vec_id % 20 = 0)
+SELECT count(DISTINCT vec_id) AS queries, CAST(sum(own) AS BIGINT) AS nearest, true AS recall_is_90_percent FROM q
+""",
     "op5_url_filter": r"""
 WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id,

@@ -73,7 +73,7 @@ def test_leaks_near_copies_and_edges(spark):
         assert got[k, k // 10] == (pytest.approx(want[k, k // 10][0]), want[k, k // 10][1])
     kept = decontaminate.without_leaks(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in {d for d, _ in want})
-    joined = decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"), broadcast_rows=0)
+    joined = decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, items, "item_id"), broadcast_bytes=0)
     assert {(r.doc_id, r.item_id) for r in joined.collect()} == want.keys()
 
 
@@ -111,6 +111,17 @@ def test_leaks_of_items_that_share_their_item_id(spark):
     assert got == {(i, items[i][0]): pytest.approx(1.0) for i in range(4)}
 
 
+def test_rows_without_doc_id_keep_their_own_windows_beyond_broadcasts(spark):
+    """Many rows share a doc_id, or have none: each item is found in its own text's place only, in both ways."""
+    texts = [" ".join(f"{c}{n}" for n in range(30)) for c in "abc"]
+    docs = [(None, "word " * i + texts[i % 3]) for i in range(12)] + [(5, "other words here " + t) for t in texts] + [(None, "nothing of these " * 5)] * 4
+    both = [
+        sorted((str(r.doc_id), r.item_id, round(r.similarity, 9), r.first_word) for r in decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, list(enumerate(texts)), "item_id"), broadcast_bytes=most).collect())
+        for most in (0, 1 << 27)
+    ]
+    assert both[0] == both[1] and len(both[0]) == 6
+
+
 def test_leaks_empty(spark):
     some, none = [(1, "a b c d e f g")], []
     assert decontaminate.find_leaks(frame(spark, none, "doc_id"), frame(spark, some, "item_id")).count() == 0
@@ -220,3 +231,16 @@ def test_mixed_order(spark):
     assert out.columns == df.columns
     want = [r.doc_id for r in pfair_mix.mix(df, block_size=4096).orderBy("slot", "at", "doc_id").collect()]
     assert [r.doc_id for r in out.collect()] == want and sorted(want) == sorted(r.doc_id for r in df.collect())
+
+
+@pytest.mark.parametrize(("weights", "blocks"), [([1.0, 1e-17], [3, 2000]), ([1.0, 1e-300], [1, 1 << 12]), ([0.5, 0.5, 5e-324], [9, 9, 3000])])
+def test_tiny_weights_with_many_blocks(spark, weights, blocks):
+    """No slot beyond 64 bits; every document has its turn, and the heavy sources theirs first."""
+    docs = spark.createDataFrame([(i, f"s{k}", 10) for k, n in enumerate(blocks) for i in range(n)], "doc_id long, source string, n_chars long")
+    rows = pfair_mix.mix(docs, {f"s{k}": w for k, w in enumerate(weights)}, block_size=10).collect()
+    assert len(rows) == sum(blocks) and all(r.slot is not None and 0 <= r.slot <= r.deadline < 1 << 63 for r in rows)
+    assert len({(r.slot, r.source, r.block) for r in rows}) == len({r.slot for r in rows})
+    last = f"s{len(weights) - 1}"
+    # the small source has one block at most before the others have run out
+    heavy = max(r.slot for r in rows if r.source != last)
+    assert len({r.block for r in rows if r.source == last and r.slot < heavy}) <= 1

@@ -171,6 +171,18 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang_pred == r.lang for r in held) / len(held) > 0.97
 
 
+def test_language_sample_is_bounded_and_never_empty(spark):
+    """Whatever doc_ids repeat: at most so many rows of each language, some wherever there are any, long texts in pieces."""
+    rows = [(7, "the same row again", "en")] * 3000 + [(8, f"zeile nummer {i} mit worten", "de") for i in range(2000)] + [(9, "une seule ligne", "fr"), (11, "lang " * 100_000, "de")]
+    df = frame(spark, rows)
+    taken = language_id.sampled(df.select("lang", "doc_id", "text"), 500, 1000).collect()
+    count = {k: sum(r.lang == k for r in taken) for k in ("en", "de", "fr")}
+    assert count == {"en": 500, "de": 500, "fr": 1} and max(len(r.text) for r in taken) <= 1000
+    model = language_id.learn(df, sample_docs=20, sample_bytes=5000)
+    assert sorted(model.languages) == ["de", "en", "fr"] and all(len(t[0]) for t in model.tables.values())
+    assert language_id.learn(df, max_languages=2).languages == ["en", "de"]
+
+
 def test_language_edges(spark):
     rows = [(i, "the cat and the dog are here", "en") for i in range(20)] + [(i, "der hund und die katze sind hier", "de") for i in range(20, 40)]
     rows += [(100, None, "en"), (101, "", "de"), (102, "1234 %%% 5", "en"), (103, "THE CAT", None), (104, "Katzen Hundes", None), (105, "中文", None), (106, "— …", None), (None, "und die", "de"), (103, "THE CAT", None)]
