@@ -305,8 +305,8 @@ def stream_lines_unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = masked_turns(spark, sf_dir)
     maps = pieces.groupBy("stream_id").agg(F.any_value("pii").alias("pii"), F.any_value("secrets").alias("secrets"))
     bodies = sse.bodies_of(events_a(pieces).select("stream_id", "seq", "line"), "A")
-    chunk = F.expr("posexplode(transform(sequence(0, (length(body) - 1) div 97), i -> substring(body, i * 97 + 1, 97)))")
-    lines = sse.lines_of(sse.joined_chunks(bodies.select("stream_id", chunk.alias("n", "chunk"))))
+    chunk = F.expr("posexplode(transform(sequence(0, (octet_length(body) - 1) div 97), i -> substring(cast(body as binary), i * 97 + 1, 97)))")
+    lines = sse.lines_of_chunks(bodies.select("stream_id", chunk.alias("n", "chunk")))
     out = unmask.unmask_batch(lines.join(maps, "stream_id"), "A")
     return _said(out, "A")
 

@@ -1,8 +1,11 @@
 """Server-sent event lines: taken apart into columns, and put together again. One row is one whole line (stream_id, seq, line);
-bodies are taken apart into lines, and lines put together to bodies."""
+bodies, or chunks of them, are taken apart into lines, and lines put together to bodies."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,15 +23,53 @@ def read_bodies(spark: SparkSession, path: str, streaming: bool = True) -> DataF
 
 
 def lines_of(bodies: DataFrame) -> DataFrame:
-    """stream_id, seq, line of bodies (stream_id, body). Lines end with a line break; empty ones, which only separate events, are left out."""
-    rows = bodies.select("stream_id", F.posexplode(F.split("body", "\r?\n")).alias("seq", "line"))
-    return rows.filter("line <> ''").withColumn("seq", F.col("seq").cast("long"))
-
-
-def joined_chunks(chunks: DataFrame) -> DataFrame:
-    """stream_id, body of chunks (stream_id, n, chunk) as they came over the wire: a line may be split over chunks anywhere."""
-    own = F.array_sort(F.collect_list(F.struct("n", "chunk")))
-    return chunks.groupBy("stream_id").agg(F.array_join(F.transform(own, lambda x: x.chunk), "").alias("body"))
+    """stream_id, seq, line of bodies (stream_id, body). Lines end with a line break; empty ones, which only separate events, are left
+    out. seq counts those that stay, from 0."""
+    rows = bodies.select("stream_id", F.posexplode(F.filter(F.split("body", "\r?\n"), lambda x: x != "")).alias("seq", "line"))
+    return rows.withColumn("seq", F.col("seq").cast("long"))
+
+
+class Framer:
+    """Lines out of chunks of bytes: carry is the unfinished one. Empty lines are left out; bytes that aren't UTF-8 become U+FFFD."""
+
+    def __init__(self, carry: bytes = b""):
+        self.carry = carry
+
+    def feed(self, chunk: bytes) -> list[str]:
+        """The lines that the chunk finishes."""
+        *whole, self.carry = (self.carry + chunk).split(b"\n") if b"\n" in chunk else (self.carry + chunk,)
+        return [x.decode("utf-8", "replace") for w in whole if (x := w.removesuffix(b"\r"))]
+
+    def end(self) -> list[str]:
+        """The unfinished line, if it isn't empty."""
+        rest, self.carry = self.carry, b""
+        return [rest.decode("utf-8", "replace")] if rest else []
+
+
+def lines_of_chunks(chunks: DataFrame) -> DataFrame:
+    """stream_id, seq, line of finished streams' chunks (stream_id, n, chunk: binary or string) as they came over the wire: a line,
+    and a character, may be split over chunks anywhere. Streams lie whole and in order in partitions; a task holds a batch of chunks
+    and one line. Of chunks with one n the first by its bytes counts; a null chunk is an empty one."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        framer, key, last, seq = Framer(), None, None, 0
+        for frame in frames:
+            rows = []
+            for stream_id, n, chunk in zip(frame["stream_id"], frame["n"], frame["chunk"], strict=True):
+                if (stream_id, n) == (key, last):
+                    continue
+                if stream_id != key:
+                    rows += [(key, seq + i, x) for i, x in enumerate(framer.end())]
+                    framer, key, seq = Framer(), stream_id, 0
+                for x in framer.feed(b"" if chunk is None else bytes(chunk)):
+                    rows.append((key, seq, x))
+                    seq += 1
+                last = n
+            yield pd.DataFrame(rows, columns=["stream_id", "seq", "line"])
+        yield pd.DataFrame([(key, seq, x) for x in framer.end()], columns=["stream_id", "seq", "line"])
+
+    own = chunks.filter("stream_id IS NOT NULL AND n IS NOT NULL").select(F.col("stream_id").cast("string").alias("stream_id"), F.col("n").cast("long").alias("n"), F.col("chunk").cast("binary").alias("chunk"))
+    return own.repartition("stream_id").sortWithinPartitions("stream_id", "n", "chunk").mapInPandas(work, "stream_id string, seq long, line string")
 
 
 def bodies_of(lines: DataFrame, dialect: str) -> DataFrame:
