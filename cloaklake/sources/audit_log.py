@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,18 +77,96 @@ def log_rows(outcomes: DataFrame, config: Config) -> DataFrame:
     return conform(out)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
+#: Names the attempt that wrote a row; null for rows appended directly. Of the attempts of a batch at most one is committed.
+ATTEMPT = "attempt"
+
+
+def commits_of(path: str) -> str:
+    """The folder of commit records, beside the log's."""
+    return path.rstrip("/") + "-commits"
+
+
+def append_log(rows: DataFrame, path: str, attempt: str | None = None) -> None:
     """Append rows, in folders by day, so that retention and recent statistics touch few of them."""
-    conform(rows).withColumn("log_date", F.to_date("timestamp")).write.mode("append").partitionBy("log_date").parquet(path)
+    out = conform(rows).withColumns({ATTEMPT: F.lit(attempt).cast("string"), "log_date": F.to_date("timestamp")})
+    out.write.mode("append").partitionBy("log_date").parquet(path)
+
+
+def append_batch(path: str, query: str = "log"):
+    """For foreachBatch: appends a micro-batch once, however often it is given.
 
+    The rows carry a name of this attempt, and a record of (query, batch id) that names the attempt commits them: made in one step,
+    after the rows, and never
+    replaced. Readers leave out what isn't committed, so neither a batch that is given again (after a
+    restart from the query's checkpoint) nor one that was stopped midway is seen twice or in part. Queries that write to one log
+    need names of their own.
+    """
 
-def append_batch(path: str):
-    """For foreachBatch: appends a micro-batch."""
-    return lambda batch, _: append_log(batch, path)
+    def append(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        jvm, record = spark.sparkContext._jvm, f"{commits_of(path)}/{query}/{batch_id}"
+        at = jvm.org.apache.hadoop.fs.Path(record)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            return
+        attempt = uuid.uuid4().hex
+        append_log(batch, path, attempt)
+        draft = jvm.org.apache.hadoop.fs.Path(f"{commits_of(path)}/.{query}-{batch_id}-{attempt}")
+        stream = fs.create(draft)
+        stream.write(bytearray(attempt.encode()))
+        stream.close()
+        fs.mkdirs(at.getParent())
+        fs.rename(draft, at)  # whole or not at all
+        spark.catalog.refreshByPath(path)
+
+    return append
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the log with log_date, but those of attempts that weren't committed."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    if ATTEMPT not in rows.columns:
+        return rows
+    records = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(commits_of(path))
+    if not records.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(records):
+        return rows.filter(F.col(ATTEMPT).isNull())
+    commits = spark.read.option("recursiveFileLookup", "true").schema("value string").text(commits_of(path)).select(F.col("value").alias("committed"))
+    known = rows.filter(F.col(ATTEMPT).isNotNull()).join(commits, F.col(ATTEMPT) == F.col("committed"), "left_semi")
+    return rows.filter(F.col(ATTEMPT).isNull()).unionByName(known)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return conform(spark.read.option("mergeSchema", "true").parquet(path))
+    return conform(_raw(spark, path))
+
+
+def days_of(spark: SparkSession, path: str) -> list[str]:
+    """The days that a log has folders for, latest first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/log_date=*")
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder) or []
+    return sorted((f.getPath().getName().removeprefix("log_date=") for f in found), reverse=True)
+
+
+def page_after(spark: SparkSession, path: str, limit: int = 100, cursor: tuple | None = None) -> tuple[DataFrame, tuple | None]:
+    """The page of `limit` rows that follow the cursor (timestamp, id), latest first, and the next cursor; None at the log's end.
+
+    Rows stand by timestamp, then id, both descending; a row without either can't be a cursor and isn't paged. The
+    walk begins at the cursor's day, and reads no further back than it has to: one day's folder, then twice as many as before, until the page is full. A page costs what its
+    days hold, wherever it lies, while an offset costs all rows before it.
+    """
+    known = [d for d in days_of(spark, path) if d != "__HIVE_DEFAULT_PARTITION__"]
+    if cursor is not None:
+        first = spark.range(1).select(F.to_date(F.lit(cursor[0]).cast("timestamp")).cast("string").alias("d")).first().d
+        known = [d for d in known if d <= first]
+    before = F.lit(True) if cursor is None else F.struct("timestamp", "id") < F.struct(F.lit(cursor[0]).cast("timestamp").alias("timestamp"), F.lit(cursor[1]).cast("long").alias("id"))
+    taken = 0
+    while True:
+        taken = min(len(known), max(1, 2 * taken))
+        rows = _raw(spark, path).filter(F.col("log_date").isin([datetime.date.fromisoformat(d) for d in known[:taken]])).filter(before & F.col("timestamp").isNotNull() & F.col("id").isNotNull())
+        page = conform(rows).orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+        found = page.select("timestamp", "id").collect()  # at most `limit` rows of two values
+        if len(found) == limit or taken == len(known):
+            break
+    return page, (found[-1].timestamp, found[-1].id) if len(found) == limit and limit else None
 
 
 def expired(log: DataFrame, retention_days: int, as_of: Column) -> Column:
@@ -116,7 +197,7 @@ def drop_expired(spark: SparkSession, path: str, retention_days: int, as_of: str
     if retention_days <= 0:
         return 0
     repair(spark, path)
-    log = spark.read.option("mergeSchema", "true").parquet(path)
+    log = _raw(spark, path)
     limit = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(retention_days))
     old = log.filter((F.col("timestamp") < limit) & (F.col("log_date") <= F.to_date(limit)))
     days = [(r.log_date, r.n) for r in old.groupBy("log_date").agg(F.count("*").alias("n")).collect()]

@@ -60,6 +60,61 @@ def test_retention(spark, tmp_path):
     assert audit_log.drop_expired(spark, path, 0, NOW) == 0
 
 
+def test_a_batch_given_again_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    df = log(spark, ROWS)
+    append = audit_log.append_batch(path, "q")
+    append(df.limit(2), 7)
+    before = sorted(map(tuple, audit_log.read_log(spark, path).collect()), key=repr)
+    append(df.limit(2), 7)
+    assert sorted(map(tuple, audit_log.read_log(spark, path).collect()), key=repr) == before and len(before) == 2
+    audit_log.append_log(df.limit(1), path, "stopped before its commit")
+    assert audit_log.read_log(spark, path).count() == 2
+    audit_log.append_log(df.limit(1), path)  # appended directly
+    audit_log.append_batch(path, "other")(df.limit(2), 7)  # another query's batch of the same number
+    assert audit_log.read_log(spark, path).count() == 5
+    audit_log.drop_expired(spark, path, 1, "2024-02-01 11:15:00")
+    left = audit_log.read_log(spark, path).count()
+    append(df.limit(2), 7)
+    assert audit_log.read_log(spark, path).count() == left
+
+
+def test_a_stream_started_again_leaves_the_log_as_it_is(spark, tmp_path):
+    """The query's checkpoint loses its last commit, as when it stops between the sink and that; the batch comes again."""
+    path, state, source = str(tmp_path / "log"), tmp_path / "state", tmp_path / "in"
+    source.mkdir()
+    (source / "0.json").write_text('{"id":1,"timestamp":"2024-02-01 10:00:00"}\n{"id":2,"timestamp":"2024-02-01 11:00:00"}\n')
+
+    def run():
+        rows = spark.readStream.schema("id long, timestamp timestamp").json(str(source))
+        q = rows.writeStream.foreachBatch(audit_log.append_batch(path, "q")).option("checkpointLocation", str(state)).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    run()
+    (state / "commits" / "0").unlink()
+    for crc in (state / "commits").glob(".*crc"):
+        crc.unlink()
+    run()
+    assert sorted(r.id for r in audit_log.read_log(spark, path).collect()) == [1, 2]
+
+
+def test_pages_by_cursor_equal_pages_by_offset(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(i, f"2024-01-{1 + (i * 7) % 20:02d} 0{i % 3}:00:00") for i in range(90)] + [(None, "2024-01-05 00:00:00"), (500, None)]
+    audit_log.append_log(spark.createDataFrame(rows, "id long, timestamp string").withColumn("timestamp", F.col("timestamp").cast("timestamp")), path)
+    whole = audit_log.read_log(spark, path).filter("id is not null and timestamp is not null")
+    cursor, seen = None, 0
+    while True:
+        page, cursor = audit_log.page_after(spark, path, 7, cursor)
+        assert [r.id for r in page.collect()] == [r.id for r in audit.page(whole, 7, seen).collect()]
+        seen += page.count()
+        if cursor is None:
+            break
+    assert seen == 90
+    page, _ = audit_log.page_after(spark, path, 3, (ts("2024-01-10 02:00:00"), 10_000))
+    assert len(page.inputFiles()) and all("log_date=2024-01-10" in f for f in page.inputFiles())
+
+
 def test_a_stopped_cleanup_is_repaired(spark, tmp_path):
     path, day = tmp_path / "log", "log_date=2024-01-31"
     audit_log.append_log(log(spark, ROWS), str(path))
