@@ -152,14 +152,18 @@ def entities(context: Column, before: Column | None = None) -> Column:
 
 
 MARK = r"\[\[[A-Za-z0-9_]+\]\]"
+#: A bracket before or after a mark, with at most word characters between: what is put in there may make another mark of it.
+CROWDED = rf"\[[A-Za-z0-9_]*{MARK}|{MARK}[A-Za-z0-9_]*\]"
+#: Placeholders up to this number are replaced one after the other, which is then the quicker way.
+FEW = 16
 
 
 def restore(text: Column, values: Column, marker: Marker = None) -> Column:
-    """text with each placeholder of the map replaced by its value, longest placeholders first, literally; marker goes before
-    values, or, as a function of a Column, makes of each what is put in.
+    """text with each placeholder of the map replaced by its value, one after the other, longest placeholders first (equal lengths by
+    code points), literally; marker goes before values, or, as a function of a Column, makes of each what is put in.
 
-    Few placeholders are replaced one after the other. Many are looked up in one pass, which gives the same where all have the
-    usual form and no value has brackets, so that nothing restored can be, or become part of, a placeholder.
+    Beyond FEW placeholders they are looked up in one pass, where that gives the same: all have the usual form, no value has a
+    bracket, and in the text no bracket stands near a mark, so that nothing put in can be, or become part of, a placeholder.
     """
     ordered = F.sort_array(F.transform(F.map_entries(values), lambda e: F.struct((-F.length(e.key)).alias("l"), e.key.alias("k"), e.value.alias("v"))))
     value = lambda v: marker(v) if callable(marker) else F.concat(F.lit(marker), v) if marker else v
@@ -173,7 +177,8 @@ def restore(text: Column, values: Column, marker: Marker = None) -> Column:
         return F.array_join(once(own, filled), "")
 
     usual = F.forall(F.map_entries(values), lambda e: F.rlike(e.key, F.lit(f"^{MARK}$")) & ~F.rlike(e.value, F.lit(r"[\[\]]")))
-    return F.when((F.size(values) > 16) & usual, once(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), at_once)).otherwise(in_turn)
+    apart = (F.size(values) > FEW) & usual & ~F.rlike(text, F.lit(CROWDED))
+    return F.when(apart, once(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), at_once)).otherwise(in_turn)
 
 
 def restore_both(text: Column, pii: Column, secrets: Column, marker: Marker = None) -> Column:

@@ -49,10 +49,17 @@ def validated(df: DataFrame, dialect: str, body: str = "body") -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*checks)))
 
 
-def read_requests(spark: SparkSession, path: str, dialect: str) -> DataFrame:
-    """One JSON request a line: request_id (a hash of file and line order is not stable, so of the body), body, request, messages, errors."""
-    lines = spark.read.text(path).withColumnRenamed("value", "body")
-    return validated(lines.withColumn("request_id", F.sha2("body", 256)), dialect)
+def read_requests(spark: SparkSession, path: str, dialect: str, id_path: str | None = None) -> DataFrame:
+    """One JSON request a line: request_id, client_id, body, request, messages, errors.
+
+    Each line is a request of its own, also where bodies are alike, as retries and common prompts are: request_id is the line's
+    file and a number that no other line has in one reading (write the rows to keep it). client_id is what the request itself
+    gives as its id, at id_path (such as '$.metadata.request_id'); a client may repeat it, so nothing is grouped by it.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"))
+    named = lines.select(F.concat("file", F.lit(":"), F.col("n").cast("string")).alias("request_id"), "body")
+    out = validated(named, dialect)
+    return out.withColumn("client_id", get("request", id_path, "string") if id_path else F.lit(None).cast("string"))
 
 
 def read_texts(df: DataFrame, body: str = "body") -> DataFrame:

@@ -8,6 +8,7 @@ from cloaklake.functions import intervals, names, patterns, placeholders
 from cloaklake.operators import detect, dialects, extract, flow, mask
 from cloaklake.sources import requests
 from cloaklake.sources.config import Config, Local, Pii, Secrets
+from cloaklake.streaming import unmask
 
 ALL = Secrets(entities=tuple(patterns.SECRETS))
 PII = Pii(entities=("EMAIL_ADDRESS", "CREDIT_CARD", "IP_ADDRESS", "IBAN_CODE", "PHONE_NUMBER"), languages=("en", "de"))
@@ -245,6 +246,37 @@ def test_restoring_many_gives_the_same_in_turn_and_at_once(spark):
     assert got == ["x *value 1 *value 39 [[A_77]] [*value 11 end", "x **value 2 *value 39 [[A_77]] [*value 11 end", None]
 
 
+@pytest.mark.parametrize("n", [1, 16, 17, 40, 60])
+def test_restoring_has_one_meaning_at_every_size(spark, n):
+    """Texts full of brackets and of marks that touch: the expression gives what replacing one after the other gives, as streams do."""
+    rnd = random.Random(n)
+    texts, rows = [], []
+    for k in range(120):
+        own = {f"[[{t}_{i}]]": rnd.choice(["B_1", "A_2", "", "bob", "x y", "]", "[[A_3]]"] if k % 5 == 0 else ["B_1", "A_2", "", "bob", "x y"]) for i, t in enumerate(rnd.choices("AB", k=n), 1)}
+        marks = list(own)
+        text = "".join(rnd.choice(["[", "[[", "]", "]]", " ", "w", "_1", "A", rnd.choice(marks), rnd.choice(marks), "[[A_1]]", "[[[[A_1]]]]"]) for _ in range(rnd.randint(0, 12)))
+        texts.append(text)
+        rows.append((text, own))
+    for marker in (None, "(p)"):
+        got = values(spark, rows, "text string, m map<string,string>", placeholders.restore(F.col("text"), F.col("m"), marker))
+        assert got == [unmask.restore(t, m, marker or "") for t, m in rows]
+
+
+def test_the_same_request_twice_is_two_requests(spark, tmp_path):
+    """Identical lines, as from retries: each has its own id, spans, numbering and counts."""
+    body = json.dumps({"messages": [{"role": "user", "content": "mail a@b.co"}], "id": "client-1"})
+    (tmp_path / "r.jsonl").write_text(f"{body}\n{body}\nnot json\n{body}\n")
+    df = requests.read_requests(spark, str(tmp_path), "A", "$.id")
+    rows = df.collect()
+    assert len({r.request_id for r in rows}) == 4 and sorted(r.client_id or "" for r in rows) == ["", "client-1", "client-1", "client-1"]
+    good = df.filter("size(errors) = 0")
+    spans = extract.spans_a(good).withColumn("hits", detect.resolved_pii(detect.pii_hits(F.col("text"), PII)))
+    masked = mask.mask_requests(spans, "hits")
+    assert sorted(r.masked_text for r in masked.collect()) == ["mail [[EMAIL_ADDRESS_1]]"] * 3 and masked.select("request_id").distinct().count() == 3
+    rolled = detect.roll_up(detect.analyze(extract.spans_a(good), PII)).collect()
+    assert [r.n_entities for r in rolled] == [1, 1, 1]
+
+
 def test_names_by_rule(spark):
     kept = dict(patterns.REGISTRY)
     try:
