@@ -1,11 +1,24 @@
-"""A rule-based language detector: function words and scripts counted, with fallback to a default language."""
+"""A language detector: function words and scripts counted, and, where those don't decide, as in short texts, character n-grams
+weighed by how frequent they are in each language; with fallback to a default language.
+
+Profiles are n-grams (one letter beyond ASCII, two, three; words framed by _) with a weight in each language that has them. They are
+counted from a few sentences of each language and its function words (PROFILES), or from labelled rows (learned()). A plan holds
+them as sorted arrays, in which an n-gram is found by halving.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import once
+from .language_texts import TEXTS
 
 #: Frequent words of each language that its neighbours hardly have; Chinese, Japanese and Korean go by their script instead.
 WORDS: dict[str, list[str]] = {
@@ -36,27 +49,136 @@ KANA, HAN, HANGUL = "[\u3040-\u30ff]", "[\u4e00-\u9fff]", "[\uac00-\ud7a3]"
 OVERRIDES = {"no": "nb"}
 
 
-def raw_language(text: Column) -> Column:
-    """The language with most function words, of equal ones the first by code; null without any. Words are runs of letters.
+class Profiles:
+    """grams, sorted by code points, and for each the weights of the languages that have it."""
+
+    def __init__(self, counts: dict[str, dict[str, int]], top: int = 400):
+        """counts: of each language its n-grams' numbers; the `top` most frequent (of equally frequent ones the first) count."""
+        weights: dict[str, dict[str, int]] = {}
+        for code, own in sorted(counts.items()):
+            total = sum(own.values())
+            for gram, n in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:top]:
+                # against a gram that is seen once in 2,000
+                weights.setdefault(gram, {})[code] = round(8 * math.log(1 + 2000 * n / total))
+        self.weights = dict(sorted(weights.items(), key=lambda x: x[0].encode()))
+        self.languages = sorted(counts)
+
+    @cached_property
+    def steps(self) -> list[int]:
+        return [1 << k for k in reversed(range(max(1, len(self.weights).bit_length())))]
+
+    def columns(self) -> Column:
+        """struct(grams: array of strings, found: for each an array of language number * 1000 + weight), as constants of the plan."""
+        if not self.weights:
+            return F.struct(F.array().cast("array<string>").alias("grams"), F.array().cast("array<array<int>>").alias("found"))
+        place = {code: i for i, code in enumerate(self.languages)}
+        packed = ";".join(",".join(str(place[c] * 1000 + w) for c, w in sorted(own.items())) for own in self.weights.values())
+        found = F.transform(F.split(F.lit(packed), ";"), lambda x: F.split(x, ",").cast("array<int>"))
+        return F.struct(F.split(F.lit(" ".join(self.weights)), " ").alias("grams"), found.alias("found"))
+
+
+def grams_of(words: list[str]) -> Iterator[str]:
+    """The n-grams of words: letters beyond ASCII, then two and three characters of the framed word."""
+    for w in words:
+        yield from (c for c in w if ord(c) > 127)
+        for n in (2, 3):
+            yield from (f"_{w}_"[i : i + n] for i in range(len(w) + 3 - n))
+
+
+def _built_in() -> Profiles:
+    counts = {}
+    for code, text in TEXTS.items():
+        counts[code] = Counter(grams_of([w for w in re.split(r"[^\w]+|[\d_]+", text) if w]))
+        counts[code].update(grams_of(WORDS[code]))
+    return Profiles(counts)
+
+
+PROFILES = _built_in()
+
+
+def grams(words: Column) -> Column:
+    """grams_of() as an expression; words in lower case."""
+    cut = lambda f, n: F.transform(F.sequence(F.lit(1), F.length(f) - (n - 1)), lambda i: F.substring(f, i, F.lit(n)))
+    beyond = lambda w: F.when(F.octet_length(w) > F.length(w), F.filter(F.split(w, ""), lambda c: F.octet_length(c) > 1)).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(words, lambda w: once(F.concat(F.lit("_"), w, F.lit("_")), lambda f: F.concat(beyond(w), cut(f, 2), cut(f, 3)))))
 
-    Two characters of a script count as a word: Hangul for Korean, Han for Chinese, or, in a text that has kana, both for Japanese.
+
+def by_grams(words: Column, profiles: Profiles) -> Column:
+    """The language of the greatest sum of weights, of equal ones the first by code; null where no n-gram is known."""
+
+    def found(gs: Column, p: Column) -> Column:
+        # how many grams of the profiles come before: their number is halved at each step
+        before = lambda g: F.aggregate(F.array(*map(F.lit, profiles.steps)), F.lit(0), lambda at, k: F.when(F.get(p.grams, at + k - 1) < g, at + k).otherwise(at))
+        own = lambda g: once(before(g), lambda at: F.when(F.get(p.grams, at) == g, F.get(p.found, at)))
+        return F.flatten(F.filter(F.transform(gs, own), lambda x: x.isNotNull()))
+
+    def best(weights: Column) -> Column:
+        total = lambda k: F.aggregate(weights, F.lit(0).cast("long"), lambda s, x: s + F.when(F.floor(x / 1000) == k, x % 1000).otherwise(0))
+        sums = F.transform(F.array(*map(F.lit, range(len(profiles.languages)))), lambda k: F.struct((-total(k)).alias("s"), k.alias("k")))
+        return once(F.array_min(sums), lambda b: F.when(b.s < 0, F.get(F.array(*map(F.lit, profiles.languages)), b.k)))
+
+    if not profiles.languages:
+        return F.lit(None).cast("string")
+
+    given = F.struct(grams(words).alias("gs"), profiles.columns().alias("p"))
+    return once(once(given, lambda x: found(x.gs, x.p)), best)
+
+
+#: Function words decide if there are so many of one language, and at most half as many of any other.
+ENOUGH = 3
+#: Letters that a text has to have for its n-grams to say anything.
+LETTERS = 3
+
+
+def raw_language(text: Column, profiles: Profiles = PROFILES) -> Column:
+    """The language of a text, null if nothing tells. Words are runs of letters.
+
+    The language with most function words, if it has ENOUGH and twice as many as any other; else the one whose n-grams weigh most. Two
+    characters of a script count as a word: Hangul for Korean, Han for Chinese, or, in a text that has kana, both for Japanese.
     """
     known = sorted({w for words in WORDS.values() for w in words})
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(known))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
     wide = F.octet_length(text) > F.length(text)
     count = lambda p: F.when(wide, F.regexp_count(text, F.lit(p))).otherwise(0)
-    found = F.struct(words.alias("words"), count(KANA).alias("kana"), count(HAN).alias("han"), count(HANGUL).alias("hangul"))
+    found = F.struct(words.alias("words"), F.filter(words, lambda w: w.isin(known)).alias("known"), count(KANA).alias("kana"), count(HAN).alias("han"), count(HANGUL).alias("hangul"))
     halved = lambda n: F.floor((n + 1) / 2).cast("int")
 
-    def best(x: Column) -> Column:
-        counts = {code: F.size(F.filter(x.words, lambda w: w.isin(own))) for code, own in WORDS.items()}
+    def ranked(x: Column) -> Column:
+        counts = {code: F.size(F.filter(x.known, lambda w: w.isin(own))) for code, own in WORDS.items()}
         counts |= {"zh": F.when(x.kana == 0, halved(x.han)).otherwise(0), "ja": F.when(x.kana > 0, halved(x.kana + x.han)).otherwise(0), "ko": halved(x.hangul)}
-        return F.array_min(F.array(*[F.struct((-n).alias("s"), F.lit(code).alias("lang")) for code, n in sorted(counts.items())]))
-
-    return once(once(found, best), lambda b: F.when(b.s < 0, b.lang))
-
-
-def detect_language(text: Column, languages: list[str], fallback: str = "en") -> Column:
+        order = F.array_sort(F.array(*[F.struct((-n).alias("s"), F.lit(code).alias("lang")) for code, n in sorted(counts.items())]))
+        return F.struct(x.words.alias("words"), F.get(order, 0).alias("first"), F.get(order, 1).alias("second"))
+
+    def judged(x: Column) -> Column:
+        plain = x.first.lang.isin("zh", "ja", "ko") & (x.first.s < 0)  # no other language is written so
+        clear = (x.first.s <= -ENOUGH) & (x.first.s <= 2 * x.second.s)
+        letters = F.aggregate(x.words, F.lit(0), lambda s, w: s + F.length(w))
+        return F.when(plain | clear, x.first.lang).when(letters >= LETTERS, by_grams(x.words, profiles))
+
+    return once(once(found, ranked), judged)
+
+
+def learned(rows: DataFrame, sample: int = 1000, top: int = 400) -> Profiles:
+    """Profiles from labelled rows (lang, text): of each language the `sample` rows of smallest hash. What reaches the driver is each
+    language's `top` n-grams and the sum of all; languages are expected to be few hundred at most."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    few = rows.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample)
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    counted = few.select("lang", F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    counted = counted.select("lang", "n", F.explode(grams(F.array("w"))).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "g")
+    kept = counted.withColumns({"r": F.row_number().over(first), "all": F.sum("n").over(Window.partitionBy("lang"))}).filter(F.col("r") <= top).collect()
+    counts: dict[str, dict[str, int]] = {}
+    for r in kept:
+        counts.setdefault(r.lang, {})[r.g] = r.n
+    for code, own in counts.items():
+        rest = next(r["all"] for r in kept if r.lang == code) - sum(own.values())
+        if rest:
+            own[""] = rest  # what isn't kept counts in shares, but is never looked up
+    return Profiles(counts, top + 1)
+
+
+def detect_language(text: Column, languages: list[str], fallback: str = "en", profiles: Profiles = PROFILES) -> Column:
     """struct(language, used_fallback, detected): the detected language if it is configured, else the fallback."""
     norm = F.create_map(*[F.lit(x) for kv in OVERRIDES.items() for x in kv])
 
@@ -65,7 +187,7 @@ def detect_language(text: Column, languages: list[str], fallback: str = "en") ->
         own = F.coalesce(found.isin(languages), F.lit(False))
         return answer(F.when(own, found).otherwise(fallback), ~own, found)
 
-    judged = once(raw_language(text), judge)
+    judged = once(raw_language(text, profiles), judge)
     return F.when(F.coalesce(text, F.lit("")) == "", answer(F.lit(fallback), F.lit(True), F.lit(None).cast("string"))).otherwise(judged)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import language, patterns, placeholders
-from ..operators import detect, extract, flow, mask
-from ..sources import audit_log, languages, requests, sse, status
+from ..operators import detect, extract, flow, mask, tagger
+from ..sources import audit_log, languages, requests, sse
 from ..sources.config import Logging, Pii, Secrets
 from ..streaming import unmask
 from . import oracle as O
@@ -99,6 +99,28 @@ def model_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", "h.*")
 
 
+_NAMED = ["Hello, I am {p} from {l}.", "My colleague {p} works in {l} now.", "Wir treffen Frau {p} in {l}.", "Monsieur {p} travaille à {l}.", "Soy {p}, vivo en {l}.", "Sono {p} e vengo da {l}."]
+
+
+@query("SELECT t.type, count(*) AS expected, true AS recall_is_70_percent, true AS precision_is_80_percent FROM customer JOIN nation ON c_nationkey = n_nationkey, (VALUES ('PERSON'), ('LOCATION')) AS t(type) GROUP BY t.type")
+def tagged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the trained tagger finds of names that are made of customers' keys and their nations' names, in sentences that it hasn't learned."""
+    joined = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    word = lambda n: F.initcap(F.translate(F.lpad((F.col("c_custkey") * n % 9973).cast("string"), 4, "0"), "0123456789", "aeioubdlmr"))
+    person, place = F.concat(word(7919), F.lit(" V"), F.lower(word(104729))), F.initcap(F.translate(F.lower("n_name"), "_0123456789", "raeioubdlmn"))
+    text = F.element_at(F.lit(_NAMED), (F.col("c_custkey") % len(_NAMED) + 1).cast("int"))
+    df = joined.select("c_custkey", person.alias("p"), place.alias("l"), F.replace(F.replace(text, F.lit("{p}"), person), F.lit("{l}"), place).alias("text"))
+    found = detect.with_model_hits(df, tagger.taught()).select("c_custkey", "p", "l", "text", F.explode_outer("model_hits").alias("h"))
+    said = found.select("c_custkey", "p", "l", F.col("h.entity_type").alias("kind"), F.substring("text", F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("value"))
+    each = said.groupBy("c_custkey").agg(*[
+        f(kind, name).alias(f"{kind}_{what}")
+        for kind, name in (("PERSON", "p"), ("LOCATION", "l"))
+        for what, f in (("right", lambda k, n: F.count_if((F.col("kind") == k) & (F.col("value") == F.col(n)))), ("found", lambda k, n: F.count_if(F.col("kind") == k)))
+    ])
+    rows = each.select(F.explode(F.array(*[F.struct(F.lit(k).alias("type"), F.col(f"{k}_right").alias("right"), F.col(f"{k}_found").alias("found")) for k in ("PERSON", "LOCATION")])).alias("x")).select("x.*")
+    return rows.groupBy("type").agg(F.count("*").alias("expected"), (F.sum("right") >= 0.7 * F.count("*")).alias("recall_is_70_percent"), (F.sum("right") >= 0.8 * F.sum("found")).alias("precision_is_80_percent"))
+
+
 # Languages ------------------------------------------------------------------------------------------------------------
 
 SAMPLES = {
@@ -116,12 +138,29 @@ def _sample(string: str) -> str:
 
 @query(f"WITH t AS (SELECT o_orderkey, {_sample('varchar')} AS text FROM orders), d AS (SELECT o_orderkey, {O.raw_language('text')} AS detected FROM t) SELECT o_orderkey, detected, ([{', '.join(map(O.quoted, SAMPLES))}])[CAST(o_orderkey % 24 + 1 AS INTEGER)] = detected AS right_one FROM d")
 def language_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every registered language is detected."""
+    """A sentence of every registered language."""
     df = orders(spark, sf_dir, _sample("{s}")).select("o_orderkey", language.detect_language(F.col("text"), list(languages.REGISTRY)).alias("l"))
     want = F.element_at(F.lit(list(SAMPLES)), (key() % 24 + 1).cast("int"))
     return df.select("o_orderkey", F.col("l.detected").alias("detected"), (want == F.col("l.detected")).alias("right_one"))
 
 
+_SHORT = r"array_to_string(list_filter(string_split_regex(text, '[^\p{L}]+'), lambda x: x <> '')[1:5], ' ')"
+
+
+@query(
+    f"""WITH t AS (SELECT lang, 'whole' AS part, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT lang, 'five words', {_SHORT} FROM documents WHERE text IS NOT NULL),
+d AS (SELECT lang, part, {O.raw_language('text')} AS found FROM t)
+SELECT lang, part, count(*) AS documents, count_if(coalesce(found = lang, false)) AS right_ones FROM d GROUP BY lang, part"""
+)
+def language_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents are given their language: by their whole text, and by its first five words. No profile was counted from them."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("lang", "text")
+    words = F.slice(F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != ""), 1, 5)
+    both = docs.withColumn("part", F.lit("whole")).unionByName(docs.select("lang", F.array_join(words, " ").alias("text"), F.lit("five words").alias("part")))
+    found = both.select("lang", "part", language.raw_language(F.col("text")).alias("found"))
+    return found.groupBy("lang", "part").agg(F.count("*").alias("documents"), F.count_if(F.coalesce(F.col("found") == F.col("lang"), F.lit(False))).alias("right_ones"))
+
+
 @query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'en' END AS language, o_orderkey % 4 IN (1, 3) AS used_fallback, CASE o_orderkey % 4 WHEN 1 THEN 'es' WHEN 2 THEN 'fr' END AS detected FROM orders")
 def request_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A named language counts if configured; else the text's, if that is; else the fallback."""
@@ -335,7 +374,7 @@ def stream_blocks_unmasked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("stream_id").agg(joined.alias("text"))
 
 
-# Set-up tables --------------------------------------------------------------------------------------------------------
+# Set-up tables, met with what is in the given ones -----------------------------------------------------------------------
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -343,29 +382,19 @@ def _values(rows: list[tuple], names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS t({names})"
 
 
-@query(_values([(k, n, f"{k}_core_{'web' if k in ('en', 'zh') else 'news'}_lg", ",".join(w)) for k, (n, w) in languages.REGISTRY.items()], "language, name, model, phone_context"))
-def language_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.registry_table(spark).withColumn("phone_context", F.array_join("phone_context", ","))
-
-
-@query(_values([("healthy", True, True), ("degraded", True, False), ("healthy", False, False)], "status, pii_enabled, detector_ready"))
-def health_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    off = replace(CONFIG, pii_detection=replace(PII, enabled=False))
-    return status.health(spark, CONFIG, True).unionByName(status.health(spark, CONFIG, False)).unionByName(status.health(spark, off, False))
-
+_REGISTRY = _values([(k, n, f"{k}_core_{'web' if k in ('en', 'zh') else 'news'}_lg", ",".join(w)) for k, (n, w) in languages.REGISTRY.items()], "language, name, model, phone_context")
 
-@query(_values([("route", "en,de,fr,es", "", "en", 0.7, "mask", "local-model")], "mode, languages, missing_languages, fallback_language, score_threshold, secrets_action, local_model"))
-def info_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = status.info(spark, CONFIG)
-    return row.select("mode", F.array_join("languages", ",").alias("languages"), F.array_join("missing_languages", ",").alias("missing_languages"), "fallback_language", F.col("score_threshold").cast("decimal(2,1)").alias("score_threshold"), "secrets_action", "local_model")
 
-
-@query(_values([("openai", "upstream", None, None), ("anthropic", "upstream", None, None), ("local", "local", "openai", "local-model")], "provider, role, type, model"))
-def provider_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return status.providers(spark, CONFIG).select("provider", "role", "type", "model")
+@query(f"WITH r AS ({_REGISTRY}) SELECT d.lang AS language, r.name, r.model, r.phone_context, count(*) AS documents FROM documents d LEFT JOIN r ON d.lang = r.language GROUP BY ALL")
+def language_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the registry has for the languages of the documents."""
+    found = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("documents"))
+    return found.join(languages.registry_table(spark), "language", "left").select("language", "name", "model", F.array_join("phone_context", ",").alias("phone_context"), "documents")
 
 
-@query(_values([("available", "de"), ("available", "en"), ("missing", "xx")], "kind, language"))
+@query("SELECT CASE WHEN lang IN ('en', 'de', 'xx') THEN 'configured' ELSE 'not configured' END AS kind, lang AS language, count(*) AS documents FROM documents GROUP BY ALL")
 def language_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configured languages that there are, and those that are missing."""
-    return spark.createDataFrame([(k, x) for k, xs in languages.supported(["en", "xx", "de"]).items() for x in xs], "kind string, language string")
+    """How many documents are in a configured language that there is."""
+    there = languages.supported(["en", "xx", "de"])["available"]
+    kind = F.when(F.col("lang").isin(there), "configured").otherwise("not configured")
+    return table(spark, sf_dir, "documents").groupBy(kind.alias("kind"), F.col("lang").alias("language")).agg(F.count("*").alias("documents"))

@@ -90,13 +90,21 @@ def spliced(name: str, labelled: str, texts: str) -> str:
 
 
 def raw_language(text: str) -> str:
-    """The detector's answer as SQL, from a text expression (not null)."""
-    words = f"string_split_regex(lower({text}), '[^\\p{{L}}]+')"
-    n = lambda p: f"len(regexp_extract_all({text}, '{p}'))"
-    scores = {code: f"len(list_filter({words}, lambda x: x IN ({', '.join(map(quoted, own))})))" for code, own in language.WORDS.items()}
+    """The detector's answer as SQL, from a text expression (not null): function words, else n-grams met with the profiles by a join."""
+    n = lambda p: f"len(regexp_extract_all(tx, '{p}'))"
+    scores = {code: f"len(list_filter(kn, lambda x: x IN ({', '.join(map(quoted, own))})))" for code, own in language.WORDS.items()}
     scores["zh"] = f"CASE WHEN {n(language.KANA)} = 0 THEN ({n(language.HAN)} + 1) // 2 ELSE 0 END"
     scores["ja"] = f"CASE WHEN {n(language.KANA)} > 0 THEN ({n(language.KANA)} + {n(language.HAN)} + 1) // 2 ELSE 0 END"
     scores["ko"] = f"({n(language.HANGUL)} + 1) // 2"
     rows = ", ".join(f"{{'s': -({e}), 'l': '{code}'}}" for code, e in sorted(scores.items()))
-    best = f"list_sort([{rows}])[1]"
-    return f"CASE WHEN ({best}).s < 0 THEN CASE WHEN ({best}).l = 'no' THEN 'nb' ELSE ({best}).l END END"
+    known = ", ".join(sorted({quoted(w) for own in language.WORDS.values() for w in own}))
+    profile = ", ".join(f"({quoted(g)}, '{code}', {w})" for g, own in language.PROFILES.weights.items() for code, w in sorted(own.items()))
+    grams = """flatten(list_transform(ws, lambda w: flatten([list_filter(string_split(w, ''), lambda c: ord(c) > 127),
+      list_transform(range(1, len(w) + 2), lambda i: substr('_' || w || '_', i, 2)), list_transform(range(1, len(w) + 1), lambda i: substr('_' || w || '_', i, 3))])))"""
+    clear = f"(o[1].s < 0 AND o[1].l IN ('zh', 'ja', 'ko') OR o[1].s <= -{language.ENOUGH} AND o[1].s <= 2 * o[2].s)"
+    words = f"SELECT tx, list_filter(string_split_regex(lower(tx), '[^\\p{{L}}]+'), lambda x: x <> '') AS ws FROM (SELECT {text} AS tx)"
+    ranked = f"SELECT ws, list_sort([{rows}]) AS o FROM (SELECT tx, ws, list_filter(ws, lambda x: x IN ({known})) AS kn FROM ({words}))"
+    # only what words leave open is taken apart
+    asked = f"SELECT CASE WHEN {clear} THEN o[1].l END AS sure, CASE WHEN NOT {clear} AND coalesce(list_sum(list_transform(ws, lambda w: len(w))), 0) >= {language.LETTERS} THEN {grams} END AS gs FROM ({ranked})"
+    by_grams = f"(SELECT p.l FROM (SELECT unnest(gs) AS g) JOIN (VALUES {profile}) AS p(g, l, w) USING (g) GROUP BY p.l ORDER BY sum(w) DESC, p.l LIMIT 1)"
+    return f"(SELECT CASE WHEN l = 'no' THEN 'nb' ELSE l END FROM (SELECT coalesce(sure, {by_grams}) AS l FROM ({asked})))"

@@ -38,11 +38,13 @@ LABELS = {
     "persName": "PERSON", "placeName": "LOCATION", "geogName": "LOCATION", "orgName": "ORGANIZATION",
     "PS": "PERSON", "LC": "LOCATION", "OG": "ORGANIZATION", "PRS": "PERSON", "GPE_LOC": "LOCATION",
 }
+# Fixed value: how much a label counts whose hits are unreliable.
 LOW_SCORE = {"ORG": 0.4}
 
-# Labels that a model setup leaves out, and how much a label of LOW_SCORE counts.
+# Labels that a model setup leaves out.
 IGNORED = ["O", "CARDINAL", "EVENT", "LANGUAGE", "LAW", "MONEY", "ORDINAL", "PERCENT", "PRODUCT", "QUANTITY", "WORK_OF_ART"]
 
+# The recognisers that are set up.
 RECOGNIZERS = ["NER", "Email", "Phone", "CreditCard", "Iban", "Ip"]
 
 
