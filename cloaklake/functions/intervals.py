@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ def _some(value: Column) -> Column:
     return F.filter(F.array(value), lambda x: x.isNotNull())
 
 
+def _unless_apart(hits: Column, ordered: Column, resolve: Callable[[], Column]) -> Column:
+    """Hits that don't overlap, as most don't, stay as they are, in order; else what resolve makes of them."""
+    apart = lambda o: F.forall(F.transform(o, lambda h, i: F.coalesce(F.get(o, i - 1).end <= h.start, F.lit(True))), lambda x: x)
+    return F.when(F.size(hits) <= 1, hits.cast(HIT)).otherwise(once(ordered, lambda o: F.when(apart(o), o).otherwise(resolve())))
+
+
 def merge_same_type(hits: Column) -> Column:
     """Overlapping hits of one type become one, over all of them, with the best score; transitively."""
     by_type = F.sort_array(F.transform(hits, lambda h: F.struct(h.entity_type, h.start, h.end, h.score)))
@@ -63,7 +71,7 @@ def _by_score(hits: Column) -> Column:
     begin = F.struct(F.lit(-1).alias("end"), F.array().cast(HIT).alias("hits"))
     islands = once(scan(ordered, begin, state_of, out_of, f"array<{HIT}>"), lambda s: F.array_append(s.out, s.state.hits))
     kept = F.sort_array(F.flatten(F.transform(islands, _best_of)))
-    return F.when(F.size(hits) <= 1, hits.cast(HIT)).otherwise(kept)
+    return _unless_apart(hits, F.sort_array(F.transform(hits, _own)).cast(HIT), lambda: kept)
 
 
 def resolve_by_start(hits: Column) -> Column:
@@ -76,4 +84,4 @@ def _by_start(hits: Column) -> Column:
 
     state_of = lambda last, x: F.when(x.start >= last, x.end).otherwise(last)
     out_of = lambda last, x: F.when(x.start >= last, F.array(_own(x))).otherwise(F.array().cast(HIT))
-    return F.when(F.size(hits) <= 1, hits.cast(HIT)).otherwise(scan(ranked, F.lit(-1), state_of, out_of, HIT).out)
+    return _unless_apart(hits, F.sort_array(F.transform(hits, _own)).cast(HIT), lambda: scan(ranked, F.lit(-1), state_of, out_of, HIT).out)

@@ -116,10 +116,13 @@ def masked(df: DataFrame, spans: Column, into: str, seeds: Column | None = None,
     seeds = seeds if seeds is not None else F.create_map().cast("map<string,int>")
     p, found, own, at, grown = (fresh(df, n) for n in ("_pieces", "_found", "_labels", "_starts", "_context"))
     out = df.withColumns({p: pieces(spans), grown: (context if context is not None else empty_context()).cast(CONTEXT)})
-    out = out.withColumns({found: all_found(F.col(p)), at: starts(F.col(p))})
-    out = out.withColumn(grown, F.when(F.size(found) > 0, extended(F.col(grown), F.col(found), seeds)).otherwise(F.col(grown)))
-    out = out.withColumn(own, labels(F.col(found), F.col(grown)))
-    return out.withColumn(into, F.struct(joined(F.col(p), F.col(own), F.col(at)).alias("texts"), F.col(grown).alias("context"))).drop(p, found, own, at, grown)
+    out = out.withColumn(found, all_found(F.col(p)))
+    some = lambda value, otherwise: F.when(F.size(found) > 0, value).otherwise(otherwise)
+    # most texts have no hits, and are done with here
+    out = out.withColumns({at: some(starts(F.col(p)), F.array().cast("array<int>")), grown: some(extended(F.col(grown), F.col(found), seeds), F.col(grown))})
+    out = out.withColumn(own, some(labels(F.col(found), F.col(grown)), F.array().cast("array<string>")))
+    texts = some(joined(F.col(p), F.col(own), F.col(at)), F.transform(p, lambda x: F.get(x.gaps, F.lit(0))))
+    return out.withColumn(into, F.struct(texts.alias("texts"), F.col(grown).alias("context"))).drop(p, found, own, at, grown)
 
 
 def mask_text(text: Column, hits: Column, seeds: Column | None = None, context: Column | None = None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import language, placeholders
@@ -35,6 +35,48 @@ def mask_requests(spans: DataFrame, hits: str, seeds: DataFrame | None = None) -
     return out.select(*keep, *(["start_from"] if seeds is not None else []))
 
 
+def mask_large(spans: DataFrame, hits: str, seeds: DataFrame | None = None, block: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """For requests too large for one row: (spans with `masked`, mapping), numbered as mask_requests() does, by joins and windows alone.
+
+    The first place of each value of a request is found by a grouping, with partial sums on the way. Values are numbered within
+    blocks of `block` spans, and blocks by running counts, so no task has more of a request than a block of spans, one row
+    for each of its blocks, or what a value's rows are split into. mapping: request_id, placeholder, value, entity_type, n.
+    seeds: request_id, start_from. A span without hits keeps its text; a null text is an empty one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    each = spans.filter(F.size(hits) > 0).select("request_id", "span_ord", text.alias("text"), F.explode(hits).alias("h"))
+    each = each.select("request_id", "span_ord", F.col("h.start").alias("start"), F.col("h.entity_type").alias("entity_type"), F.substring("text", F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("value"))
+    first = each.groupBy("request_id", "value").agg(F.min(F.struct("span_ord", "start", "entity_type")).alias("first")).select("request_id", "value", "first.*")
+    first = first.withColumn("block", F.floor(F.col("span_ord") / block))
+    kind = ["request_id", "entity_type"]
+    counts = first.groupBy(*kind, "block").agg(F.count("*").alias("new"))
+    before = counts.select(*kind, "block", F.coalesce(F.sum("new").over(Window.partitionBy(*kind).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*kind, "block").orderBy("span_ord", "start"))
+    numbered = first.withColumn("inside", inside).join(before, [*kind, "block"])
+    start = F.lit(0)
+    if seeds is not None:
+        numbered = numbered.join(seeds.select("request_id", "start_from"), "request_id", "left")
+        start = F.coalesce(F.element_at("start_from", F.col("entity_type")), F.lit(0))
+    n = (start + F.col("before") + F.col("inside")).cast("int")
+    mapping = numbered.select("request_id", placeholders.placeholder(F.col("entity_type"), n).alias("placeholder"), "value", "entity_type", n.alias("n"))
+    labels = each.join(mapping.select("request_id", "value", "placeholder"), ["request_id", "value"]).groupBy("request_id", "span_ord").agg(F.array_sort(F.collect_list(F.struct("start", "placeholder"))).alias("_labels"))
+    own = F.array(F.struct(text.alias("text"), F.col(hits).alias("hits")))
+    out = spans.join(labels, ["request_id", "span_ord"], "left")
+    put = F.get(placeholders.joined(placeholders.pieces(own), F.transform("_labels", lambda x: x.placeholder), F.array(F.lit(0))), F.lit(0))
+    return out.withColumn("masked", F.when(F.size(hits) > 0, put).otherwise(text)).drop("_labels"), mapping
+
+
+def mask_every(spans: DataFrame, hits: str, seeds: DataFrame | None = None, large: int = 10_000) -> DataFrame:
+    """request_id, span_ord, path, message_idx, part_idx, nested_idx, text (masked) of every span: requests of up to `large` spans in a row
+    each, larger ones by mask_large(); both ways number alike."""
+    sizes = spans.groupBy("request_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > large).select(F.col("request_id").alias("_large"))
+    same = spans["request_id"] == sizes["_large"]
+    names = ["request_id", "span_ord", "path", "message_idx", "part_idx", "nested_idx"]
+    apart, _ = mask_large(spans.join(sizes, same, "left_semi"), hits, seeds)
+    whole = masked_spans(mask_requests(spans.join(sizes, same, "left_anti"), hits, seeds), changed_only=False)
+    return whole.select(*names, "text").unionByName(apart.select(*names, F.col("masked").alias("text")))
+
+
 def masked_spans(masked: DataFrame, changed_only: bool = True) -> DataFrame:
     """One row for each span, with its places and its masked text as text; by default those that masking changed."""
     rows = masked.select("request_id", F.explode("spans").alias("x"))

@@ -277,6 +277,26 @@ def test_the_same_request_twice_is_two_requests(spark, tmp_path):
     assert [r.n_entities for r in rolled] == [1, 1, 1]
 
 
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_large_requests_are_numbered_alike(spark, block):
+    """By joins and windows, in blocks, as in one row: repeated values, types, seeds, spans without text or hits."""
+    rnd = random.Random(block)
+    texts = ["a@b.co and c@d.co", "ip 10.0.0.1, a@b.co", None, "", "nothing", "x@y.zz é𝄞 a@b.co", "8.8.8.8 8.8.8.8"]
+    rows = [(f"r{r}", i, rnd.choice(texts) if rnd.random() < 0.6 else f"m{rnd.randrange(9)}@b.co to 1.2.3.{rnd.randrange(5)}") for r in range(4) for i in range([1, 5, 30, 60][r])]
+    df = spark.createDataFrame(rows, "request_id string, span_ord int, text string").selectExpr("*", "concat('p', span_ord) AS path", "0 AS message_idx", "span_ord AS part_idx", "CAST(NULL AS INT) AS nested_idx")
+    spans = df.withColumn("hits", detect.resolved_pii(detect.pii_hits(F.col("text"), PII)))
+    seeds = spark.createDataFrame([("r1", {"EMAIL_ADDRESS": 7}), ("r2", None)], "request_id string, start_from map<string,int>")
+    for own in (None, seeds):
+        whole = mask.mask_requests(spans, "hits", own)
+        want = {(r.request_id, x.span_ord): x.masked for r in whole.collect() for x in r.spans}
+        out, mapping = mask.mask_large(spans, "hits", own, block)
+        assert {(r.request_id, r.span_ord): r.masked for r in out.collect()} == want and len(want) == 96
+        entries = {(r.request_id, e.placeholder, e.value, e.entity_type, e.n) for r in whole.collect() for e in r.context}
+        assert set(map(tuple, mapping.collect())) == entries and len(entries) > 20
+        assert {(r.request_id, r.span_ord): r.text for r in mask.mask_every(spans, "hits", own, large=20).collect()} == want
+    assert mask.mask_every(spans.limit(0), "hits").collect() == []
+
+
 def test_names_by_rule(spark):
     kept = dict(patterns.REGISTRY)
     try:
