@@ -334,6 +334,32 @@ def guarded_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").cast("string").alias("request_id"), "pii_detected", "entities", "secrets_detected", "secrets_types", "masked_content", "model", "mode", "language", "language_fallback")
 
 
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 3 AS r, 'u' || (o_orderkey * 7 % 1009) || '@x.io' AS v FROM orders),
+f AS (SELECT r, v, min(o_orderkey) AS first FROM t GROUP BY r, v), n AS (SELECT r, v, row_number() OVER (PARTITION BY r ORDER BY first) AS n FROM f)
+SELECT t.o_orderkey, 'to [[EMAIL_ADDRESS_' || n.n || ']] or [[IP_ADDRESS_1]]' AS text FROM t JOIN n ON t.r = n.r AND t.v = n.v""")
+def large_requests_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests that have all orders as their spans, a third each: numbered by joins and windows, in blocks of spans."""
+    value = F.concat(F.lit("to u"), (key() * 7 % 1009).cast("string"), F.lit("@x.io or 10.0.0.1"))
+    df = table(spark, sf_dir, "orders").select((key() % 3).cast("string").alias("request_id"), F.col("o_orderkey").alias("span_ord"), value.alias("text"))
+    spans = df.withColumn("hits", detect.resolved_pii(detect.pii_hits(F.col("text"), Pii(entities=("EMAIL_ADDRESS", "IP_ADDRESS")))))
+    out, _ = mask.mask_large(spans, "hits")
+    return out.select(F.col("span_ord").alias("o_orderkey"), F.col("masked").alias("text"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, 'mail a' || conv_id % 7 || '@b.co' AS body, conv_id % 4 AS k FROM conversations)
+SELECT body, count(*) AS requests, CAST(count(*) AS BIGINT) AS entities FROM t GROUP BY body""")
+def repeated_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests whose bodies are alike, as retries are: each is found, and counted, on its own."""
+    turns = table(spark, sf_dir, "conversations")
+    said = F.concat(F.lit("mail a"), (F.col("conv_id") % 7).cast("string"), F.lit("@b.co"))
+    body = F.to_json(F.struct(F.array(F.struct(F.lit("user").alias("role"), said.alias("content"))).alias("messages")))
+    named = requests.numbered(turns.select(body.alias("body")))
+    spans = extract.spans_a(requests.validated(named, "A"))
+    rolled = detect.roll_up(detect.analyze(spans, Pii(entities=("EMAIL_ADDRESS",), languages=("en",))))
+    text = spans.select("request_id", F.col("text").alias("body"))
+    return rolled.join(text, "request_id").groupBy("body").agg(F.count("*").alias("requests"), F.sum("n_entities").cast("long").alias("entities"))
+
+
 # Streams --------------------------------------------------------------------------------------------------------------
 
 

@@ -49,6 +49,13 @@ def validated(df: DataFrame, dialect: str, body: str = "body") -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*checks)))
 
 
+def numbered(bodies: DataFrame, source: Column | None = None) -> DataFrame:
+    """request_id and body of rows with a body: each row is a request of its own. The id is its source, if one is given, and a number that no
+    other row has in one reading."""
+    n = F.monotonically_increasing_id().cast("string")
+    return bodies.select((F.concat(source, F.lit(":"), n) if source is not None else n).alias("request_id"), "body")
+
+
 def read_requests(spark: SparkSession, path: str, dialect: str, id_path: str | None = None) -> DataFrame:
     """One JSON request a line: request_id, client_id, body, request, messages, errors.
 
@@ -56,9 +63,8 @@ def read_requests(spark: SparkSession, path: str, dialect: str, id_path: str | N
     file and a number that no other line has in one reading (write the rows to keep it). client_id is what the request itself
     gives as its id, at id_path (such as '$.metadata.request_id'); a client may repeat it, so nothing is grouped by it.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("n"))
-    named = lines.select(F.concat("file", F.lit(":"), F.col("n").cast("string")).alias("request_id"), "body")
-    out = validated(named, dialect)
+    lines = spark.read.text(path).select(F.col("value").alias("body"), F.col("_metadata.file_name").alias("file"))
+    out = validated(numbered(lines, F.col("file")), dialect)
     return out.withColumn("client_id", get("request", id_path, "string") if id_path else F.lit(None).cast("string"))
 
 
