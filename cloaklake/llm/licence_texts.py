@@ -37,6 +37,8 @@ FAMILIES = [
 ]
 SPDX = ["MIT", "ISC", "Zlib", "Unlicense", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0"]
 CREATIVE_COMMONS = ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"]
+LONG_NAMES = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+ALONE = [("isc", "ISC License"), ("unlicense", "The Unlicense"), ("zlib", "zlib License"), ("bsl-1.0", "Boost Software License"), ("wtfpl", "WTFPL"), ("mit", "license: MIT"), ("mit", "MIT licensed")]
 
 
 def templates() -> list[tuple[str, str, list[str]]]:
@@ -50,7 +52,23 @@ def templates() -> list[tuple[str, str, list[str]]]:
     out += [(family, name, [name]) for family, name, _ in FAMILIES if family in ("lgpl", "agpl", "mpl")]
     for x in SPDX:
         out.append((x.lower(), f"SPDX-License-Identifier: {x}", [f"SPDX-License-Identifier: {x}"]))
+    for x in (x for x in SPDX if any(c.isdigit() for c in x)):  # in expressions; names without a version are words of some language
+        for written in (f"OR {x}", f"AND {x}", f"{x} OR MIT", f"license: {x}"):
+            out.append((x.lower(), written, [written]))
+            if written.endswith("OR MIT"):
+                out.append(("mit", written, [written]))
     for kind in CREATIVE_COMMONS:
+        name = "-".join(LONG_NAMES[k] for k in kind.split("-"))
         for v in ("3.0", "4.0"):
             out.append((f"cc-{kind.lower()}-{v}", f"Licensed under CC {kind} {v}", [f"CC {kind} {v}"]))
+            out.append((f"cc-{kind.lower()}-{v}", f"Creative Commons {name} {v}", [f"Creative Commons {name} {v}"]))
+    for short, versions in (("GPL", ["2", "3"]), ("LGPL", ["2.1", "3"]), ("AGPL", ["3"])):
+        for v in versions:
+            label = f"{short.lower()}-{v if '.' in v else v + '.0'}"
+            for written in (f"{short}v{v}", f"{short} v{v}", f"{short} {v}", f"{short} version {v}"):
+                out.append((label, written, [written]))
+    for n in (2, 3):
+        for written in (f"BSD {n}-Clause", f"{n}-Clause BSD", f"BSD-{n} License"):
+            out.append((f"bsd-{n}-clause", written, [written]))
+    out += [(label, name, [name]) for label, name in ALONE]
     return out

@@ -161,6 +161,17 @@ def test_licence_labels(spark):
     assert licence_scan.scan_licences(df.limit(0)).count() == 0
 
 
+def test_licence_names_as_they_are_usually_written(spark):
+    cases = [
+        ("Licensed under the BSD 3-Clause License", {"bsd-3-clause"}), ("GPLv3", {"gpl-3.0"}), ("GNU GPL v3 or later", {"gpl-3.0"}), ("Creative Commons Attribution 4.0 International License", {"cc-by-4.0"}), ("license: MIT", {"mit"}),
+        ("ISC License", {"isc"}), ("The Unlicense", {"unlicense"}), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", {"mit", "apache-2.0"}), ("Creative Commons Attribution-ShareAlike 3.0", {"cc-by-sa-3.0"}), ("Apache-2.0 OR MIT", {"apache-2.0", "mit"}),
+        ("wir gehen mit dem Hund", set()), ("attribution of 4 authors", set()), ("the 3 clauses of the treaty", set()),
+    ]
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licence_scan.scan_licences(frame(spark, [(i, t, None) for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert want <= got[i] and (want or not got[i]), (text, got[i])
+
+
 def test_language_held_out_accuracy(spark):
     df = documents(spark, "sf0.01")
     rows = language_id.language_id(df).join(df.select("doc_id", "lang"), "doc_id").collect()
