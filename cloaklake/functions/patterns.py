@@ -40,11 +40,12 @@ CLUES: dict[str, tuple[str, bool]] = {
 }
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+HEXTET = "[0-9A-Fa-f]{1,4}"
 PII: dict[str, str] = {
     "EMAIL_ADDRESS": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "IBAN_CODE": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "CREDIT_CARD": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}",
-    "IP_ADDRESS": rf"(?:{OCTET}\.){{3}}{OCTET}",
+    "CREDIT_CARD": r"(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})",
+    "IP_ADDRESS": rf"(?:(?:{OCTET}\.){{3}}{OCTET}|(?:{HEXTET}:){{7}}{HEXTET}|(?:{HEXTET}:){{1,6}}(?::{HEXTET}){{1,6}})",
     "PHONE_NUMBER": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}",
 }
 

@@ -277,6 +277,15 @@ def test_the_same_request_twice_is_two_requests(spark, tmp_path):
     assert [r.n_entities for r in rolled] == [1, 1, 1]
 
 
+def test_cards_in_three_groups_and_long_addresses(spark):
+    texts = ["card 3782 822463 10005 ok", "3782-822463-10005", "378282246310005", "4111 1111 1111 1111", "4111111111111111", "3782 822463 10006", "from 2001:db8::1, to fe80::a:b", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "std::vector at 12:30:45, x::y", "10.0.0.1 and ::", "1:2:3:4:5:6:7"]
+    own = Pii(entities=("CREDIT_CARD", "IP_ADDRESS"))
+    got = values(spark, [(t,) for t in texts], "text string", detect.resolved_pii(detect.pii_hits(F.col("text"), own)))
+    assert [[t[h.start : h.end] for h in hits] for t, hits in zip(texts, got, strict=True)] == [
+        ["3782 822463 10005"], ["3782-822463-10005"], ["378282246310005"], ["4111 1111 1111 1111"], ["4111111111111111"], [], ["2001:db8::1", "fe80::a:b"], ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"], [], ["10.0.0.1"], [],
+    ]
+
+
 @pytest.mark.parametrize("block", [1, 3, 1024])
 def test_large_requests_are_numbered_alike(spark, block):
     """By joins and windows, in blocks, as in one row: repeated values, types, seeds, spans without text or hits."""
