@@ -6,70 +6,113 @@ A span is (request_id, span_ord, path, message_idx, part_idx, nested_idx, role,
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import once
 from ..sources.requests import get, kind_of
 
 SPAN = "request_id string, span_ord int, path string, message_idx int, part_idx int, nested_idx int, role string, text string"
 KEYS = ["message_idx", "part_idx", "nested_idx"]
+LIST = "array<struct<path:string,message_idx:int,part_idx:int,nested_idx:int,role:string,text:string>>"
 
 
-def _messages(df: DataFrame) -> DataFrame:
-    out = df.select("request_id", F.posexplode("messages").alias("message_idx", "m"))
-    return out.select("request_id", "message_idx", get("m", "$.role", "string").alias("role"), get("m", "$.content").alias("c"))
+def _read(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
 
 
-def _whole(df: DataFrame) -> DataFrame:
-    return df.filter(kind_of("c") == "STRING").select("request_id", "message_idx", F.lit(0).alias("part_idx"), F.lit(None).cast("int").alias("nested_idx"), "role", get("c", "$", "string").alias("text"), F.format_string("messages[%d].content", "message_idx").alias("path"))
+def _is_text(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
-def _parts(df: DataFrame) -> DataFrame:
-    return df.filter(kind_of("c") == "ARRAY").select("request_id", "message_idx", "role", F.posexplode(get("c", "$", "array<variant>")).alias("part_idx", "b"))
+def _span(path: Column, message: Column, part: Column, nested: Column, role: Column, text: Column) -> Column:
+    return F.struct(path.alias("path"), message.alias("message_idx"), part.alias("part_idx"), nested.alias("nested_idx"), role.alias("role"), text.alias("text"))
 
 
-def _ordered(df: DataFrame) -> DataFrame:
-    """Numbered within each request. One request is one key here: its spans are what has to be in one place."""
-    w = Window.partitionBy("request_id").orderBy("message_idx", "part_idx", F.coalesce("nested_idx", F.lit(-1)))
-    return df.select("request_id", (F.row_number().over(w) - 1).alias("span_ord"), "path", "message_idx", "part_idx", "nested_idx", "role", "text")
+def _own(v: Column, made: Callable[[Column], Column]) -> Column:
+    """An array of the span of a string; an empty one if v isn't one."""
+    return F.when(_is_text(v), F.array(made(_read(v, "$", "string")))).otherwise(F.array().cast(LIST))
 
 
-def spans_a(requests: DataFrame) -> DataFrame:
-    """Dialect A: whole contents (also empty ones), and text parts of part lists; other parts, nulls and absent contents have none."""
-    m = _messages(requests)
-    p = _parts(m).filter((get("b", "$.type", "string") == "text") & (kind_of(get("b", "$.text")) == "STRING"))
-    p = p.select("request_id", "message_idx", "part_idx", F.lit(None).cast("int").alias("nested_idx"), "role", get("b", "$.text", "string").alias("text"), F.format_string("messages[%d].content[%d].text", "message_idx", "part_idx").alias("path"))
-    return _ordered(_whole(m).unionByName(p))
+def _listed(content: Column, spans: Callable[[Column, Column], Column]) -> Column:
+    """The spans of a content's parts, in their order; null if it is no list."""
+    return F.flatten(F.transform(_read(content, "$", "array<variant>"), spans))
+
+
+def _spans_of(content: Column, at: Column, message: Column, role: Column, parts: Callable[[Column, Column], Column]) -> Column:
+    whole = _own(content, lambda t: _span(at, message, F.lit(0), F.lit(None).cast("int"), role, t))
+    return F.coalesce(_listed(content, parts), whole)
+
+
+def _in_messages(spans: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """The spans of all messages: spans(content, path, message_idx, role)."""
+    path = lambda i: F.concat(F.lit("messages["), i.cast("string"), F.lit("].content"))
+    return F.coalesce(F.flatten(F.transform("messages", lambda m, i: spans(_read(m, "$.content"), path(i), i, _read(m, "$.role", "string")))), F.array().cast(LIST))
+
 
+def _at(path: Column, i: Column, tail: str) -> Column:
+    return F.concat(path, F.lit("["), i.cast("string"), F.lit("]" + tail))
 
-def _blocks_b(parts: DataFrame, prefix: str) -> DataFrame:
+
+def _list_a() -> Column:
+    def part(path: Column, i: Column, role: Column, b: Column, j: Column) -> Column:
+        own = lambda v: _own(v, lambda t: _span(_at(path, j, ".text"), i, j, F.lit(None).cast("int"), role, t))
+        return F.when(_read(b, "$.type", "string") == "text", own(_read(b, "$.text"))).otherwise(F.array().cast(LIST))
+
+    return _in_messages(lambda c, path, i, role: _spans_of(c, path, i, role, lambda b, j: part(path, i, role, b, j)))
+
+
+def _blocks_b(path: Column, i: Column, role: Column) -> Callable[[Column, Column], Column]:
     """Texts of blocks: text, thinking, tool results (role tool) as a string or as text children, one level down."""
-    kind = get("b", "$.type", "string")
-    none = F.lit(None).cast("int").alias("nested_idx")
-    at = lambda tail, *cols: F.format_string(f"{prefix}[%d]{tail}", *[c for c in ("message_idx", "part_idx") if prefix.startswith("messages") or c == "part_idx"], *cols)
-    base = ["request_id", "message_idx", "part_idx"]
-    out = None
-    for name in ("text", "thinking"):
-        x = parts.filter((kind == name) & (kind_of(get("b", f"$.{name}")) == "STRING")).select(*base, none, "role", get("b", f"$.{name}", "string").alias("text"), at(f".{name}").alias("path"))
-        out = x if out is None else out.unionByName(x)
-    tool = parts.filter(kind == "tool_result").select(*base, F.lit("tool").alias("role"), get("b", "$.content").alias("c"))
-    flat = tool.filter(kind_of("c") == "STRING").select(*base, none, "role", get("c", "$", "string").alias("text"), at(".content").alias("path"))
-    deep = tool.filter(kind_of("c") == "ARRAY").select(*base, "role", F.posexplode(get("c", "$", "array<variant>")).alias("nested_idx", "x"))
-    deep = deep.filter((get("x", "$.type", "string") == "text") & (kind_of(get("x", "$.text")) == "STRING"))
-    deep = deep.select(*base, "nested_idx", "role", get("x", "$.text", "string").alias("text"), at(".content[%d].text", "nested_idx").alias("path"))
-    return out.unionByName(flat).unionByName(deep)
+    none, tool, nothing = F.lit(None).cast("int"), F.lit("tool"), F.array().cast(LIST)
+
+    def child(j: Column, x: Column, k: Column) -> Column:
+        own = lambda v: _own(v, lambda t: _span(F.concat(_at(path, j, ".content["), k.cast("string"), F.lit("].text")), i, j, k, tool, t))
+        return F.when(_read(x, "$.type", "string") == "text", own(_read(x, "$.text"))).otherwise(nothing)
+
+    def block(b: Column, j: Column) -> Column:
+        named = lambda name: _own(_read(b, f"$.{name}"), lambda t: _span(_at(path, j, f".{name}"), i, j, none, role, t))
+        flat = lambda c: _own(c, lambda t: _span(_at(path, j, ".content"), i, j, none, tool, t))
+        result = lambda c: F.coalesce(_listed(c, lambda x, k: child(j, x, k)), flat(c))
+        kind = lambda t: F.when(t == "text", named("text")).when(t == "thinking", named("thinking")).when(t == "tool_result", result(_read(b, "$.content"))).otherwise(nothing)
+        return once(_read(b, "$.type", "string"), kind)
+
+    return block
+
+
+def _list_b() -> Column:
+    of = lambda c, path, i, role: _spans_of(c, path, i, role, _blocks_b(path, i, role))
+    system = of(_read(F.col("request"), "$.system"), F.lit("system"), F.lit(-1), F.lit("system"))
+    return F.filter(F.concat(F.coalesce(system, F.array().cast(LIST)), _in_messages(of)), lambda x: x.text != "")
+
+
+def span_list(dialect: str) -> Column:
+    """Of a parsed request all spans as an array, in their order: struct(path, message_idx, part_idx, nested_idx, role, text). A request is one row,
+    and its spans are made in it, in one pass and without an exchange.
+
+    Dialect A: whole contents (also empty ones), and text parts of part lists; other parts, nulls and absent contents have none.
+    Dialect B: the system text first (message_idx -1), then messages; empty texts have no span.
+    """
+    return {"A": _list_a, "B": _list_b}[dialect]()
+
+
+def _spans(requests: DataFrame, dialect: str) -> DataFrame:
+    # the list is no column of its own: of one, Spark would make a filter that it pushes before the table is dealt out, and make the list twice
+    out = requests.select("request_id", F.posexplode(span_list(dialect)).alias("span_ord", "x"))
+    return out.select("request_id", "span_ord", "x.path", "x.message_idx", "x.part_idx", "x.nested_idx", "x.role", "x.text")
+
+
+def spans_a(requests: DataFrame) -> DataFrame:
+    """The spans of dialect A, a row each."""
+    return _spans(requests, "A")
 
 
 def spans_b(requests: DataFrame) -> DataFrame:
-    """Dialect B: the system text first (message_idx -1), then messages; empty texts have no span."""
-    m = _messages(requests)
-    s = requests.select("request_id", F.lit(-1).alias("message_idx"), F.lit("system").alias("role"), get("request", "$.system").alias("c"))
-    whole = s.filter(kind_of("c") == "STRING").select("request_id", "message_idx", F.lit(0).alias("part_idx"), F.lit(None).cast("int").alias("nested_idx"), "role", get("c", "$", "string").alias("text"), F.lit("system").alias("path"))
-    out = _whole(m).unionByName(whole).unionByName(_blocks_b(_parts(m), "messages[%d].content")).unionByName(_blocks_b(_parts(s), "system"))
-    return _ordered(out.filter(F.col("text") != ""))
+    """The spans of dialect B, a row each."""
+    return _spans(requests, "B")
 
 
 def spans_text(df: DataFrame, key: str, text: str = "text") -> DataFrame:

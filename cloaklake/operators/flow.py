@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import language, placeholders
-from ..functions.arrays import once
+from ..functions import placeholders
 from ..functions.patterns import HIT, no_hits
 from ..sources import requests as source
 from ..sources.config import Config
 from . import policy
-from .detect import detect_secrets, pii_hits, resolved_pii, resolved_secrets, role_scanned
-from .extract import EXTRACTORS, KEYS, log_text, rebuilt
+from .detect import hits_in, language_in, resolved_pii, resolved_secrets, role_scanned, secret_hits
+from .extract import KEYS, log_text, rebuilt, span_list
 
 RESULT = (
     "status int, target string, blocked_types string, has_pii boolean, entity_types array<string>, language string, language_fallback boolean, detected_language string,"
@@ -33,12 +32,12 @@ def guard(requests: DataFrame, config: Config, dialect: str) -> DataFrame:
     Secrets come first: a request is blocked, masked, or kept local, as the action says. Personal data is looked for in what is
     left, and masked in mask mode. A blocked or invalid request has status 400, and neither target nor body.
 
-    A request's spans come together once, in its row; all that follows are columns of that row, and bodies are rebuilt in one pass.
+    A request's spans are made in its row, without an exchange; all that follows are columns of that row, and bodies are rebuilt in one pass.
     """
     secrets, pii, action = config.secrets_detection, config.pii_detection, config.secrets_detection.action
-    spans = detect_secrets(EXTRACTORS[dialect](requests), secrets)
-    own = F.array_sort(F.collect_list(F.struct("span_ord", *KEYS, "role", "text", "secrets"))).alias("_s")
-    df = requests.select("request_id", "body", (F.size("errors") > 0).alias("_bad")).join(spans.groupBy("request_id").agg(own), "request_id", "left")
+    df = requests.select("request_id", "body", (F.size("errors") > 0).alias("_bad"), span_list(dialect).alias("_s"))
+    own = lambda x: F.when(role_scanned(secrets.scan_roles, x.role), secret_hits(x.text, secrets)).otherwise(no_hits())
+    df = df.withColumn("_s", F.transform("_s", lambda x: F.struct(*[x[k].alias(k) for k in (*KEYS, "role", "text")], own(x).alias("secrets"))))
     df = df.withColumn("secrets_types", F.coalesce(_types(F.transform("_s", lambda x: x.secrets)), F.array().cast("array<string>")))
     df = df.withColumn("_o", policy.secret_outcome(F.col("secrets_types"), action, secrets.enabled)).withColumn("status", policy.status_of(F.col("_bad") | F.col("_o.blocked")))
     df = df.withColumn("_s", F.coalesce(F.when(F.col("status") == 200, F.col("_s")), F.array().cast(df.schema["_s"].dataType)))
@@ -51,13 +50,7 @@ def guard(requests: DataFrame, config: Config, dialect: str) -> DataFrame:
         df = df.withColumns({"_t": F.transform("_s", lambda x: F.coalesce(x.text, F.lit(""))), "secrets": empty})
 
     df = df.withColumn("_p", F.zip_with("_s", "_t", lambda x, t: F.struct(x.role.alias("role"), x.message_idx.alias("message_idx"), t.alias("text"))))
-    if pii.enabled:
-        said = F.transform(F.filter("_p", lambda x: x.message_idx >= 0), lambda x: x.text)
-        df = df.withColumn("_l", language.detect_language(F.array_join(said, "\n"), list(pii.languages), pii.fallback_language))
-        scanned = lambda x, lang: F.when(role_scanned(pii.scan_roles, x.role) & (x.text != ""), pii_hits(x.text, pii, lang, config.masking.whitelist)).otherwise(no_hits())
-        df = df.withColumn("_h", once(F.struct(F.col("_p").alias("p"), F.col("_l.language").alias("lang")), lambda y: F.transform(y.p, lambda x: scanned(x, y.lang))))
-    else:
-        df = df.withColumns({"_l": language.answer(F.lit("en"), F.lit(False), F.lit(None).cast("string")), "_h": F.transform("_p", lambda x: no_hits())})
+    df = df.withColumn("_l", language_in(F.col("_p"), pii)).withColumn("_h", hits_in(F.col("_p"), F.col("_l.language"), pii, config.masking.whitelist))
     df = df.withColumns({"entity_types": _types(F.col("_h")), "has_pii": F.exists("_h", lambda hs: F.size(hs) > 0), "_h": F.col("_h").cast(f"array<{HIT}>")})
     if config.mode == "mask":
         df = placeholders.masked(df, F.zip_with("_p", "_h", lambda x, hs: F.struct(x.text.alias("text"), resolved_pii(hs).alias("hits"))), "_pii")
@@ -71,8 +64,11 @@ def guard(requests: DataFrame, config: Config, dialect: str) -> DataFrame:
         "has_pii": F.col("has_pii"), "entity_types": F.col("entity_types"), "language": F.col("_l.language"), "language_fallback": F.col("_l.used_fallback"), "detected_language": F.col("_l.detected"),
         "secrets_detected": F.col("_o.detected"), "secrets_types": F.col("secrets_types"), "pii": F.col("pii"), "secrets": F.col("secrets"),
     }
+    body = F.when(F.col("status") == 200, F.col("body")).alias("body")
+    if config.mode != "mask" and not (secrets.enabled and action == "mask"):  # no text changes, so bodies pass as they are
+        return df.select("request_id", body, F.lit(None).cast("string").alias("masked_content"), *[c.alias(n) for n, c in result.items()])
     rest = F.to_json(F.struct(*[c.alias(n) for n, c in result.items()]))  # what is found goes along as one string
-    out = rebuilt(df.select("request_id", F.when(F.col("status") == 200, F.col("body")).alias("body"), changed.alias("_spans"), rest.alias("_rest")), dialect, "_rest")
+    out = rebuilt(df.select("request_id", body, changed.alias("_spans"), rest.alias("_rest")), dialect, "_rest")
     if config.mode == "mask":
         out = log_text(source.parsed(out), dialect, "body", "_rest").withColumnRenamed("log_text", "masked_content")
     else:

@@ -238,8 +238,8 @@ def chat_log_text_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS request_id, 'EMAIL_ADDRESS' AS entity_types, CAST(3 AS INTEGER) AS n_entities, 'en' AS language, true AS language_fallback FROM orders")
 def chat_rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types, number of hits and language of requests of which the user's and the assistant's texts are scanned."""
-    found = detect.analyze(extract.spans_b(_chat_b(spark, sf_dir)), replace(PII, scan_roles=("user", "assistant", "system")))
-    return detect.roll_up(found).select("request_id", F.array_join("entity_types", ",").alias("entity_types"), "n_entities", "language", "language_fallback")
+    found = detect.analyze_requests(_chat_b(spark, sf_dir), "B", replace(PII, scan_roles=("user", "assistant", "system")))
+    return found.select("request_id", F.array_join("entity_types", ",").alias("entity_types"), "n_entities", "language", "language_fallback")
 
 
 @query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS request_id, false AS has_pii, 'en' AS language, false AS language_fallback, CAST(NULL AS VARCHAR) AS detected_language FROM conversations")

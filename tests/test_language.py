@@ -69,3 +69,9 @@ def test_a_long_text_of_any_kind(spark):
 def test_learning_from_nothing(spark):
     none = language.learned(spark.createDataFrame([], "lang string, text string"))
     assert detected(spark, ["Ich liebe dich", "the house of the king and the queen"], none) == [None, "en"]
+
+
+def test_profiles_are_worked_out_when_planned(spark):
+    # what a lambda function makes of a literal is worked out for each row: a map of all n-grams, each time
+    plan = spark.range(1).select(language.raw_language(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and plan.count("split(") == 2  # the text in words, and a word beyond ASCII in letters

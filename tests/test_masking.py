@@ -337,3 +337,13 @@ def test_flow_with_requests_of_every_kind(spark):
     assert json.loads(rows["3"].body)["messages"][0]["content"] == "[[API_KEY_AWS_1]] [[EMAIL_ADDRESS_1]]" and rows["3"].secrets == {"[[API_KEY_AWS_1]]": "AKIA" + "A" * 16}
     blocked = flow.guard(chat(spark, "A", bodies[3]), Config(pii_detection=PII, local=Local(model="m"), secrets_detection=Secrets(action="block", entities=("API_KEY_AWS",))), "A").first()
     assert (blocked.status, blocked.blocked_types, blocked.body, blocked.has_pii) == (400, "API_KEY_AWS", None, False)
+
+
+def test_requests_are_analyzed_and_guarded_in_their_rows(spark):
+    for dialect, body in (("A", BODY_A), ("B", BODY_B)):
+        df, config = chat(spark, dialect, body), Pii(entities=("EMAIL_ADDRESS",), scan_roles=("user",))
+        whole = detect.analyze_requests(df, dialect, config)
+        apart = detect.roll_up(detect.analyze(extract.EXTRACTORS[dialect](df), config)).select(whole.columns)
+        assert whole.collect() == apart.collect() and whole.count() == 1
+        for plan in (whole, flow.guard(df, Config(), dialect)):
+            assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
