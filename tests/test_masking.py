@@ -347,3 +347,11 @@ def test_requests_are_analyzed_and_guarded_in_their_rows(spark):
         assert whole.collect() == apart.collect() and whole.count() == 1
         for plan in (whole, flow.guard(df, Config(), dialect)):
             assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_masked_spans_stay_in_their_rows(spark):
+    good = chat(spark, "B", BODY_B)
+    spans = extract.spans_b(good).withColumn("hits", detect.resolved_pii(detect.pii_hits(F.col("text"), Pii(entities=("EMAIL_ADDRESS",)))))
+    plan = mask.mask_bodies(good, mask.mask_requests(spans, "hits"), "B")._jdf.queryExecution().optimizedPlan().toString()
+    # a filter before an explode would hold the whole masking once more
+    assert plan.count("Aggregate [") == 1 and plan.count("Generate explode") == 0
