@@ -355,3 +355,10 @@ def test_masked_spans_stay_in_their_rows(spark):
     plan = mask.mask_bodies(good, mask.mask_requests(spans, "hits"), "B")._jdf.queryExecution().optimizedPlan().toString()
     # a filter before an explode would hold the whole masking once more
     assert plan.count("Aggregate [") == 1 and plan.count("Generate explode") == 0
+
+
+def test_maps_are_made_once_for_restoring(spark):
+    df = spark.createDataFrame([("[[A_1]] x", ["[[A_1]]"])], "t string, k array<string>").withColumn("m", F.map_from_arrays("k", F.transform("k", lambda k: F.lit("v"))))
+    out = df.select(mask.restored_choices(F.array(F.struct(F.lit(0).alias("index"), F.struct(F.lit("r").alias("role"), F.col("t").alias("content")).alias("message"))), F.col("m")).alias("c"))
+    assert out.first().c[0].message.content == "v x"
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays(") == 1
