@@ -362,3 +362,13 @@ def test_maps_are_made_once_for_restoring(spark):
     out = df.select(mask.restored_choices(F.array(F.struct(F.lit(0).alias("index"), F.struct(F.lit("r").alias("role"), F.col("t").alias("content")).alias("message"))), F.col("m")).alias("c"))
     assert out.first().c[0].message.content == "v x"
     assert out._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays(") == 1
+
+
+def test_sooner_patterns_find_the_same(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "b1", "@", ".", "co", "-", ":", "f:", "10.", "255", "1", " ", "x@y.com", "é"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    texts += ["a@b.co1x@y.com", "a@b.co.x@y.com", "::1", "1:2:3:4:5:6:7:8", "1.2.3.4.5.6.7.8"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = [F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(f"x{i}{n}") for n, pair in enumerate(patterns.SOONER.items()) for i, p in enumerate(pair)]
+    rows = df.select(*both, *[F.split("t", p, -1).alias(f"s{i}{n}") for n, pair in enumerate(patterns.SOONER.items()) for i, p in enumerate(pair)]).collect()
+    assert all(r.x00 == r.x10 and r.x01 == r.x11 and r.s00 == r.s10 and r.s01 == r.s11 for r in rows) and sum(len(r.x00) for r in rows) > 200 and sum(len(r.x01) for r in rows) > 20
