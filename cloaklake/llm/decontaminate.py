@@ -10,7 +10,8 @@ counts less; one that no item has weighs as one that a single item has.
 2. Fingerprints. Each distinct window and each item gets a 64-bit SimHash of its weighted shingles.
 3. Multi-index. Fingerprints fall into `blocks` blocks. Two that differ in `radius` bits at most differ in at most
    radius // blocks bits in some block; items are entered in every block under all values that near, so one equi-join
-   on (block, value) finds all items within the radius of a window, and the whole distance confirms it.
+   on (block, value) finds all items within the radius of a window, and the whole distance confirms it. An item has
+   thousands of entries, so both sides are dealt out by (block, value): the index never passes through the driver.
    Similar pairs can lie beyond any radius, so the same join has one block more, with shingles as values: of each set the
    heaviest ones, for as long as they and what follows have a share of `threshold` of its weight. Two sets of at least that
    similarity both have the heaviest shingle that they share among these, so no pair is left out.
@@ -78,8 +79,8 @@ def block_values(fingerprint: str, blocks: int, radius: int) -> tuple[Column, Co
     return F.lit(near).cast("array<bigint>"), F.flatten(F.array(*parts))
 
 
-#: Bytes of a broadcast row: a shingle's place or weight, an index entry, and of each shingle in an item's array.
-PLACE, ENTRY, SHINGLE = 64, 120, 40
+#: Bytes of a broadcast row: a shingle's place or weight, an item, and of each shingle in an item's array.
+PLACE, ITEM, SHINGLE = 64, 120, 40
 HEAVIEST_FIRST = "array_sort(transform(x, e -> struct(-e.w as v, e.h as h)))"
 
 
@@ -134,14 +135,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     near, entered = block_values("f", blocks, radius)
     index = known.withColumn("m", near).withColumn("o", F.expr(HEAVIEST_FIRST)).withColumn("leading", _leading(threshold)).select("item_id", "digest", F.col("x").alias("y"), F.col("f").alias("g"), F.explode(F.concat(entered, "leading")).alias("e")).select("item_id", "digest", "y", "g", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
     fingers = index.drop("y")
-    entries = number * blocks * sum(1 for n in range(radius // blocks + 1) for _ in combinations(range(64 // blocks), n)) + words
     _, own = block_values("f", blocks, 0)
     asked = seen.withColumn("m", F.lit([0]).cast("array<bigint>")).withColumn("o", F.expr(HEAVIEST_FIRST)).withColumn("leading", _leading(threshold))
     asked = asked.select("doc_id", "start", "x", "f", F.explode(F.concat(own, "leading")).alias("e")).select("doc_id", "start", "x", "f", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
     within = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius
-    # the further block is for what the others leave
-    close = asked.join(_bounded(fingers, entries * ENTRY, broadcast_bytes), (asked.block == fingers.block) & (asked.value == fingers.value) & ((asked.block >= 0) == within))
-    pairs = close.join(_bounded(known.select(F.col("item_id").alias("own_id"), F.col("digest").alias("own"), F.col("x").alias("y")), number * ENTRY + words * SHINGLE, broadcast_bytes), F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own")))
+    # the further block is for what the others leave; by the hint, for Spark takes the index for no larger than the items
+    close = asked.join(fingers.hint("merge"), (asked.block == fingers.block) & (asked.value == fingers.value) & ((asked.block >= 0) == within))
+    pairs = close.join(_bounded(known.select(F.col("item_id").alias("own_id"), F.col("digest").alias("own"), F.col("x").alias("y")), number * ITEM + words * SHINGLE, broadcast_bytes), F.col("item_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own")))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.w)
     both = total(F.filter("x", lambda e: F.array_contains(F.transform("y", lambda o: o.h), e.h)))
     similarity = both / (total("x") + total("y") - both)

@@ -122,6 +122,26 @@ def test_rows_without_doc_id_keep_their_own_windows_beyond_broadcasts(spark):
     assert both[0] == both[1] and len(both[0]) == 6
 
 
+def broadcasts(node):
+    """Rows of each table that an executed plan has broadcast."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return broadcasts(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return broadcasts(node.plan())
+    own = [node.metrics().apply("numOutputRows").value()] if kind == "BroadcastExchangeExec" else []
+    return own + [n for i in range(node.children().size()) for n in broadcasts(node.children().apply(i))]
+
+
+def test_index_is_not_broadcast(spark):
+    texts = [" ".join(f"{i}w{n}" for n in range(10)) for i in range(20)]
+    docs = [(i, f"before it {t} after it") for i, t in enumerate(texts)]
+    found = decontaminate.find_leaks(frame(spark, docs, "doc_id"), frame(spark, list(enumerate(texts)), "item_id"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(20)]
+    sent = broadcasts(found._jdf.queryExecution().executedPlan())
+    assert sent and max(sent) <= 20 * 10
+
+
 def test_leaks_empty(spark):
     some, none = [(1, "a b c d e f g")], []
     assert decontaminate.find_leaks(frame(spark, none, "doc_id"), frame(spark, some, "item_id")).count() == 0
