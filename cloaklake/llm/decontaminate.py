@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import fresh, once
-from .shared import written
+from .shared import scratch, written
 
 
 def words_of(text: Column) -> Column:
@@ -95,13 +95,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     """doc_id, item_id, similarity, first_word (where the window starts) of each document and item that it holds."""
     if 64 % blocks:
         raise ValueError("blocks must divide 64")
-    table = item_table(items, k)
+    # each part is a written table: plans stay small, as adaptive execution plans all of a query anew on the driver after each stage
+    table = written(item_table(items, k), "items")
     number, words = table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     posts = table.select("item_id", "digest", "size", F.least("size", F.lit(k)).alias("k"), F.explode("hs").alias("h"))
     weight = posts.groupBy("h").agg(F.count("*").alias("df")).select("h", (1 + F.log(F.lit(float(max(1, number))) / F.greatest(F.col("df"), F.lit(1)))).alias("w"))
     # every place of a shingle in an item gives the place of a window
     at = F.expr("explode(transform(sequence(0, size - k), i -> struct(i, case k " + " ".join(f"when {n} then xxhash64({', '.join(f'get(words, i + {j})' for j in range(n))})" for n in range(1, k + 1)) + " end as h)))")
     places = table.withColumn("k", F.least("size", F.lit(k))).select("size", "k", at.alias("x")).select("k", F.col("x.h").alias("h"), "size", F.col("x.i").alias("at")).distinct()
+    places = written(places, "places")
     seeds = places.count()
     sizes = [r.k for r in places.select("k").distinct().collect()]
     # the mark tells rows of one doc_id, or without one, apart
@@ -123,15 +125,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = 5, radius: int = 15,
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, similarity double, first_word long"
     if windows is None:
         return docs.sparkSession.createDataFrame([], schema)
-    windows = windows.groupBy("doc_id", "window").agg(F.min("start").alias("start"))
+    windows = written(windows.groupBy("doc_id", "window").agg(F.min("start").alias("start")), "windows")
     # few bytes and much to compute: dealt out over all partitions
-    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "window", "doc_id")  # in another order than grouped by: else taken for the same exchange
+    windows = windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "window", "doc_id")
     shingled = windows.withColumn("ws", F.filter(F.split("window", " "), lambda x: x != "")).select("doc_id", "window", "start", F.explode(_shingles("ws", k)).alias("h"))
     default = F.lit(1.0) + F.log(F.lit(float(max(1, number))))
     small_weights = _bounded(weight, seeds * PLACE, broadcast_bytes)
     weigh = lambda df, *keys: df.join(small_weights, "h", "left").withColumn("w", F.coalesce("w", default)).groupBy(*keys).agg(F.collect_list(F.struct("h", "w")).alias("x"))
     seen = weigh(shingled, "doc_id", "window", "start").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
     known = weigh(posts.select("item_id", "digest", "h"), "item_id", "digest").withColumn("x", F.array_sort("x")).withColumn("f", _simhash("x"))
+    seen, known = written(seen, "seen"), written(known, "known")
     near, entered = block_values("f", blocks, radius)
     index = known.withColumn("m", near).withColumn("o", F.expr(HEAVIEST_FIRST)).withColumn("leading", _leading(threshold)).select("item_id", "digest", F.col("x").alias("y"), F.col("f").alias("g"), F.explode(F.concat(entered, "leading")).alias("e")).select("item_id", "digest", "y", "g", F.col("e.block").alias("block"), F.col("e.value").alias("value"))
     fingers = index.drop("y")
@@ -155,5 +158,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, broadcast_ids: int = 2_000_
     """The documents that hold no item. Each row is judged by its own text, whatever other rows have its doc_id, or none."""
     digest = F.unhex(F.md5("text"))
     leak = fresh(docs, "leak")
-    bad = written(find_leaks(docs.select(digest.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    with scratch(docs.sparkSession) as keep:
+        bad = written(find_leaks(docs.select(digest.alias("doc_id"), "text"), items, **options).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+        keep(bad)
     return docs.join(_bounded(bad, bad.count(), broadcast_ids), digest == F.col(leak), "left_anti")

@@ -251,6 +251,7 @@ def may_link(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
     pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "candidates")
     pairs = pairs.join(signs.select(F.col("set").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a")
     pairs = pairs.join(signs.select(F.col("set").alias("b"), "n", F.col("bits").alias("y")), "b")
     return written(pairs.select("a", "b", "m", "n", "x", "y").mapInArrow(work, "a binary, b binary"), "pairs")
@@ -338,9 +339,10 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, cells: int, picks: int
     levels = sketch_levels(found.filter(F.col("chunk").isNotNull()).select("chunk", "counts"), cells)
     rows = found.filter(F.col("chunk").isNull()).select("doc_id", "n", "set")
     prefix = written(prefixes(docs, k, levels, num, den), "prefixes")
-    members = prefix.select("set", "g", *FOLDS).distinct()
-    signs = prefix.select("set", "n", "bits").distinct()
-    first = members.groupBy("g").agg(F.min("set").alias("rep"))
+    # each is read several times; and plans stay small, as adaptive execution plans all of a query anew on the driver after each stage
+    members = written(prefix.select("set", "g", *FOLDS).distinct(), "members")
+    signs = written(prefix.select("set", "n", "bits").distinct(), "signs")
+    first = written(members.groupBy("g").agg(F.min("set").alias("rep")), "groups")
     postings = prefix.select("g", "n", F.posexplode("tokens").alias("p", "token")).select("token", "g", "n", F.col("p").cast("long").alias("p"))
     picked = written(runs(postings.repartition(parts, "token").sortWithinPartitions("token", "n", "g"), num, den, picks), "runs")
     chosen = picked.select("g", F.explode("picks").alias("pick")).distinct()

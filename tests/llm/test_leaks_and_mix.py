@@ -142,6 +142,16 @@ def test_index_is_not_broadcast(spark):
     assert sent and max(sent) <= 20 * 10
 
 
+def test_plan_of_leaks_is_small(spark):
+    """Adaptive execution plans a whole query anew on the driver after each of its exchanges."""
+    item = " ".join(f"w{n}" for n in range(30))
+    found = decontaminate.find_leaks(frame(spark, [(1, f"before it {item} after it"), (2, "none of it")], "doc_id"), frame(spark, [(7, item)], "item_id"))
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(1, 7)]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Aggregate") <= 2
+    kept = decontaminate.without_leaks(frame(spark, [(1, item), (2, "none of it")], "doc_id"), frame(spark, [(7, item)], "item_id"))
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_leaks_empty(spark):
     some, none = [(1, "a b c d e f g")], []
     assert decontaminate.find_leaks(frame(spark, none, "doc_id"), frame(spark, some, "item_id")).count() == 0
