@@ -75,3 +75,18 @@ def test_profiles_are_worked_out_when_planned(spark):
     # what a lambda function makes of a literal is worked out for each row: a map of all n-grams, each time
     plan = spark.range(1).select(language.raw_language(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and plan.count("split(") == 2  # the text in words, and a word beyond ASCII in letters
+
+
+def test_weights_are_added_without_sorting(spark):
+    # sorting the weights of all n-grams and stepping over them took most of a request's time
+    plan = spark.range(1).select(language.by_grams(F.split(F.col("id").cast("string"), ","), language.PROFILES).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan
+
+
+def test_every_language_can_win_wherever_its_sum_is_kept(spark):
+    codes = [f"l{i:02d}" for i in range(2 * language.LANES + 1)]
+    profiles = language.Profiles({c: {chr(0x4E00 + i): 5, "ж": 1} for i, c in enumerate(codes)})
+    # beyond a block, where the sums of a lane are greatest; of equal sums the first
+    texts = [w for i in range(len(codes)) for w in (chr(0x4E00 + i), chr(0x4E00 + i) * (3 * language.GRAMS + 1))] + ["ж" * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(language.by_grams(F.array("t"), profiles).alias("x"))
+    assert [r.x for r in df.collect()] == [c for c in codes for _ in range(2)] + [codes[0]]
